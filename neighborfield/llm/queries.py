@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, packing
+from neighborfield.llm import bpe, packing, simhash
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -34,9 +34,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_packing": op8_packing,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
