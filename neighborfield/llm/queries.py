@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, packing, simhash
+from neighborfield.llm import bpe, packing, simhash, suffix_merge
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -39,10 +39,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_merge.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_packing": op8_packing,
+    "op9_suffix_merge": op9_suffix_merge,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}

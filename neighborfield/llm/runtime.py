@@ -68,7 +68,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects; decides how many parts there are, never which rows count."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, mb_each: int, least: int = 8) -> int:
