@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, packing, simhash, suffix_merge
+from neighborfield.llm import bpe, fm_index, packing, simhash, suffix_merge
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -44,8 +44,14 @@ def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_fm_index": op3_fm_index,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_packing": op8_packing,
     "op9_suffix_merge": op9_suffix_merge,
