@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, fm_index, packing, simhash, suffix_merge
+from neighborfield.llm import bpe, fm_index, packing, pivot_index, simhash, suffix_merge
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -49,10 +49,15 @@ def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fm_index": op3_fm_index,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_pivot_index": op7_pivot_index,
     "op8_packing": op8_packing,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_simhash": op10_simhash,
