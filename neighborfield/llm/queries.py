@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, fm_index, packing, pivot_index, simhash, suffix_merge
+from neighborfield.llm import bpe, fm_index, license_scan, packing, pivot_index, simhash, suffix_merge
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -53,13 +53,18 @@ def op7_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fm_index": op3_fm_index,
+    "op4_license_scan": op4_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pivot_index": op7_pivot_index,
     "op8_packing": op8_packing,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.scan_sql()}
