@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, fm_index, license_scan, packing, pivot_index, simhash, suffix_merge, toxicity
+from neighborfield.llm import bpe, fm_index, license_scan, line_dedup, packing, pivot_index, simhash, suffix_merge, toxicity
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -63,7 +63,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_fm_index": op3_fm_index,
     "op4_license_scan": op4_license_scan,
@@ -74,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_merge": op9_suffix_merge,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.scan_sql()}
