@@ -216,8 +216,19 @@ def _resolve(w: Windows):
     return resolve
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept): row holds the input's columns, kept the remaining bytes of its text."""
+def whole_characters(covered: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """covered where all bytes of a UTF-8 character are, so that the rest is still UTF-8."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts):
+        return covered
+    sizes = np.diff(np.append(starts, len(data)))
+    return np.repeat(np.minimum.reduceat(covered, starts), sizes)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): row holds the input's columns, kept the remaining bytes of its text.
+
+    as_text: kept is a string; a character of which only some bytes repeat stays."""
     w = Windows(window, gram)
     assert 1 <= gram <= window and w.steps <= 64
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
@@ -248,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     masks = written(runs.groupBy("range").applyInArrow(_resolve(w), "block long, spots binary, masks binary"), "masks")
     none = F.lit(None)
     replies = flags.select("block", "range", "flags", none.cast("binary").alias("spots"), none.cast("binary").alias("masks")).union(masks.select("block", none.cast("long"), none.cast("binary"), "spots", "masks"))
-    schema = T.StructType([T.StructField("row", structs(docs)), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("row", structs(docs)), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def finish(block: pa.Table, sent: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -279,9 +290,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         inner = at[:-1][at[:-1] < len(raw)]
         begins[inner] = covered[inner]
         total, spans = np.concatenate([[0], np.cumsum(covered)]), np.concatenate([[0], np.cumsum(begins)])
-        kept_data = data[~covered].tobytes()
-        kept_at = np.concatenate([[0], np.cumsum(~covered)])[at]
+        gone = whole_characters(covered, data) if as_text else covered
+        kept_data = data[~gone].tobytes()
+        kept_at = np.concatenate([[0], np.cumsum(~gone)])[at]
         kept = pa.array([kept_data[a:b] for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)], pa.binary())
+        if as_text:
+            kept = kept.cast(pa.string())
         row = pa.StructArray.from_arrays([c.combine_chunks() for c in rows.columns], names=names)
         return pa.table([row, pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.array(np.diff(spans[at])), kept], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
