@@ -1,0 +1 @@
+"""Stochastic-neighbour graph embedding and sparse-matrix analytics as DataFrame plans."""
