@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from neighborfield.functions.kernels import bind, floor_at_realmin, gaussian, total
 from neighborfield.params import DBL_MIN
 
-ROW = Window.partitionBy("i")
+
+def _row():
+    return Window.partitionBy("i")
 
 
 def fixed_beta(knn: DataFrame, beta: float) -> DataFrame:
@@ -27,7 +29,7 @@ def max_normalised(knn: DataFrame) -> DataFrame:
 
 def row_stochastic(edges: DataFrame, tol: float = 1e-12) -> DataFrame:
     """Rows divided by their sums; rows that sum to 1 within tol, or to 0, stay."""
-    s = F.sum("v").over(ROW)
+    s = F.sum("v").over(_row())
     return edges.select("i", "j", "v", s.alias("s")).select("i", "j", F.when((F.abs(F.col("s") - 1) <= tol) | (F.col("s") == 0), F.col("v")).otherwise(F.col("v") / F.col("s")).alias("v"))
 
 
@@ -102,7 +104,7 @@ def lambda_rescale(edges: DataFrame, lam: float, tol: float = 1e-5, steps: int =
 
 def drop_leaves(edges: DataFrame) -> DataFrame:
     """The only edge of a row becomes 0."""
-    return edges.select("i", "j", F.when(F.count("*").over(ROW) == 1, 0.0).otherwise(F.col("v")).alias("v"))
+    return edges.select("i", "j", F.when(F.count("*").over(_row()) == 1, 0.0).otherwise(F.col("v")).alias("v"))
 
 
 def drop_diagonal(edges: DataFrame) -> DataFrame:
