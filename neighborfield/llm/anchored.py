@@ -33,8 +33,9 @@ from neighborfield.llm.runtime import input_bytes, texts_of, written
 
 BLOCK_BYTES = 6 << 20
 #: Hashes that a task compares, about, and context bytes that a task resolves.
-RANGE_TEXT_BYTES = 24 << 20
-SEGMENT = 1 << 20
+RANGE_TEXT_BYTES = 16 << 20
+#: Symbols that are hashed at a time; small enough for a processor's cache.
+SEGMENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -75,13 +76,27 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
         span *= 2
 
 
+def byte_gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """The same for bytes and grams of eight or more: the words that start at each byte, times a constant each."""
+    n = len(data) - gram + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = np.zeros(n, np.uint64)
+    for k, first in enumerate([*range(0, gram - 8, 8), gram - 8]):
+        out += words[first : first + n] * np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * k & (1 << 64) - 1)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
 def anchors(symbols: np.ndarray, at: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash, first window, last window) of each anchor; documents are symbols[at[i]:at[i+1]]."""
     found: list[tuple] = []
     n = len(symbols)
     for lo in range(0, max(0, n - w.size + 1), SEGMENT):
         hi = min(n, lo + SEGMENT + w.size - 1)
-        h = gram_hashes(symbols[lo:hi], w.gram)
+        h = (byte_gram_hashes if symbols.dtype == np.uint8 else gram_hashes)(symbols[lo:hi], w.gram)
         key = (h & ~np.uint64(2 * SEGMENT - 1)) | np.arange(len(h), dtype=np.uint64)
         least, span = key, 1
         while 2 * span <= w.steps:
@@ -100,13 +115,16 @@ def anchors(symbols: np.ndarray, at: np.ndarray, w: Windows) -> tuple[np.ndarray
     if not found:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # an anchor that a segment's edge cuts is there twice, with windows of its own each time
+    # An anchor that a segment's edge cuts is there twice, with windows of its own each time. An anchor's hash is the
+    # least of many, so it is mixed once more: the ranges that hashes are dealt by then get equal shares.
+    place, hashes, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    return place, mixed(hashes, np.full(len(hashes), 0x2545F4914F6CDD1D, np.uint64)), first, last
 
 
-def ranges_for(docs: DataFrame) -> tuple[int, int]:
-    """(hash ranges, hash bits) for an input of this size."""
+def ranges_for(docs: DataFrame, text_bytes: int = RANGE_TEXT_BYTES) -> tuple[int, int]:
+    """(hash ranges, hash bits) for an input of this size; a range has the anchors of about text_bytes of text."""
     size = input_bytes(docs)
-    ranges = max(12, min(1 << 20, 2 * size // RANGE_TEXT_BYTES + 1))
+    ranges = max(12, min(1 << 20, 2 * size // text_bytes + 1))
     return ranges, min(62, max(40, (2 * size).bit_length() + 11))
 
 

@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neighborfield.llm.anchored import Windows, anchors, arrow, blocks_of, flagged, mixed, packed, ranges_for, repeated_anchors, rows_of, structs, unpacked, utf8_texts
+from neighborfield.llm.anchored import Windows, anchors, arrow, blocks_of, flagged, packed, ranges_for, repeated_anchors, rows_of, structs, unpacked, utf8_texts
 from neighborfield.llm.runtime import ids_of, written
 
 #: 50-byte windows; a gram of 24 bytes makes about one byte in 14 an anchor.
 WINDOW, GRAM = 50, 24
 #: A byte that UTF-8 never has ends the part of a suffix from its anchor on.
 END = b"\xff"
-BYTE_HASHES = mixed(np.arange(256, dtype=np.uint64), np.full(256, 0x5851F42D4C957F2D, np.uint64))
-RESOLVE_AT = 200_000
+#: Contexts that are settled together; those of one gram always are.
+RESOLVE_AT = 30_000
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -55,24 +55,25 @@ def front_coded(keys: list[bytes]) -> tuple[bytes, bytes]:
     return packed(lengths), zstandard.ZstdCompressor(level=3).compress(b"".join(rests))
 
 
-def front_decoded(lengths: bytes, rests: bytes) -> tuple[list[bytes], list[int]]:
-    lcps, sizes = unpacked(lengths, "<u2").reshape(2, -1).tolist()
+def front_decoded(lengths: bytes, rests: bytes) -> Iterator[tuple[bytes, int]]:
+    """(key, prefix shared with the key before), one at a time."""
+    lcps, sizes = unpacked(lengths, "<u2").reshape(2, -1)
     raw = zstandard.ZstdDecompressor().decompress(rests)
-    keys, at, last = [], 0, b""
-    for n, size in zip(lcps, sizes, strict=True):
+    at, last = 0, b""
+    for n, size in zip(lcps.tolist(), sizes.tolist(), strict=True):
         last = last[:n] + raw[at : at + size]
-        keys.append(last)
+        yield last, n
         at += size
-    return keys, lcps
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, int, int, int]]:
-    """(key, prefix shared with the key before, run, place in run) in sorted order, by a loser tree with known prefixes."""
+def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes, int, int]]:
+    """(key, prefix shared with the key before, run) in sorted order, by a loser tree with known prefixes."""
     k = 1
     while k < len(runs):
         k *= 2
-    heads: list[bytes | None] = [keys[0] if keys else None for keys, _ in runs] + [None] * (k - len(runs))
-    known, place, losers = [0] * k, [0] * k, [0] * k
+    nothing: tuple[None, int] = (None, 0)
+    heads: list[bytes | None] = [next(run, nothing)[0] for run in runs] + [None] * (k - len(runs))
+    known, losers = [0] * k, [0] * k
 
     def play(a: int, b: int) -> tuple[int, int]:
         """(winner, loser); the loser's known prefix becomes the one shared with the winner."""
@@ -100,13 +101,8 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, in
         winners = new
     w = winners[0]
     while heads[w] is not None:
-        yield heads[w], known[w], w, place[w]
-        keys, lcps = runs[w]
-        place[w] += 1
-        if place[w] < len(keys):
-            heads[w], known[w] = keys[place[w]], lcps[place[w]]
-        else:
-            heads[w] = None
+        yield heads[w], known[w], w
+        heads[w], known[w] = next(runs[w], nothing)
         node = (w + k) // 2
         while node:
             w, losers[node] = play(w, losers[node])
@@ -117,7 +113,7 @@ def _read(w: Windows, text_at: int):
     def read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes]:
         texts = utf8_texts(rows, text_at)
         raw = b"".join(texts)
-        return BYTE_HASHES[np.frombuffer(raw, np.uint8)], np.cumsum([0, *map(len, texts)]), raw
+        return np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]), raw
 
     return read
 
@@ -142,73 +138,74 @@ def _contexts(rows: pa.Table, replies: pa.Table, read, w: Windows, ids: np.ndarr
     return at, raw, place, first, last, doc, of, number, list(numbers), least, spot
 
 
-def window_minima(keys: list[bytes], lcps: list[int], least: np.ndarray, w: Windows) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def window_minima(keys: list[bytes], lcps: np.ndarray, least: np.ndarray, w: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For sorted distinct contexts: (offset, contexts that have a window there, smallest document of each one's window)."""
     right = np.array([k.rindex(END) for k in keys])
     left = np.array([len(k) for k in keys]) - right - 1
-    lcp = np.minimum(np.array(lcps), right)
-    width = w.steps - 1
-    letters = np.zeros((len(keys), width + 1), np.uint8)
-    for i, k in enumerate(keys):
-        tail = k[right[i] + 1 :]
-        letters[i, : len(tail)] = np.frombuffer(tail, np.uint8)
-    out = []
-    same_left = np.zeros(len(keys), np.int64)
+    together = lcps >= w.gram  # shares its gram with the context before
+    several = np.flatnonzero(together | np.append(together[1:], False))  # others' windows are theirs alone
+    lcp = np.minimum(lcps, right)[several]
+    letters = np.zeros((len(several), w.steps), np.uint8)
+    for row, i in enumerate(several.tolist()):
+        tail = keys[i][right[i] + 1 :]
+        letters[row, : len(tail)] = np.frombuffer(tail, np.uint8)
+    same_left = np.zeros(len(several), np.int64)
     for offset in range(w.steps):
-        if offset:
-            same_left = np.unique(same_left * 256 + letters[:, offset - 1], return_inverse=True)[1]
         own = np.flatnonzero((left >= offset) & (right >= w.size - offset))
-        if not len(own):
-            continue
-        run = np.cumsum(lcp < w.size - offset)[own]
-        group = np.unique(run * (len(keys) + 1) + same_left[own], return_inverse=True)[1]
-        smallest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, group, least[own])
-        out.append((offset, own, smallest[group]))
-    return out
+        smallest = least.copy()
+        if len(several):
+            if offset:
+                same_left = np.unique(same_left * 256 + letters[:, offset - 1], return_inverse=True)[1]
+            has = np.flatnonzero((left[several] >= offset) & (right[several] >= w.size - offset))
+            if len(has):
+                run = np.cumsum(lcp < w.size - offset)[has]
+                group = np.unique(run * (len(several) + 1) + same_left[has], return_inverse=True)[1]
+                first = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, group, least[several[has]])
+                smallest[several[has]] = first[group]
+        yield offset, own, smallest[own]
 
 
 def _resolve(w: Windows):
     def resolve(part: pa.Table) -> pa.Table:
         """For each block: the places of contexts, and a bit for each offset whose window starts in a smaller document."""
         blocks = part["block"].to_pylist()
-        runs = [front_decoded(a.as_py(), b.as_py()) for a, b in zip(part["lengths"], part["rests"], strict=True)]
         docs = [unpacked(x.as_py(), "<i8") for x in part["docs"]]
         spots = [unpacked(x.as_py(), "<u4") for x in part["spots"]]
-        masks = [np.zeros(len(d), np.uint64) for d in docs]
-        keys: list[bytes] = []
-        lcps: list[int] = []
-        members: list[tuple[int, int, int]] = []  # number of the key, run, place in run
+        doc, begin = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+        mask, done = np.zeros(len(doc), np.uint64), np.zeros(len(blocks), np.int64)
+        none = np.iinfo(np.int64).max
 
-        def settle(keys: list[bytes], lcps: list[int], members: list[tuple[int, int, int]]) -> None:
+        def settle(keys: list[bytes], lcps: list[int], number: list[int], run: list[int]) -> None:
             if not keys:
                 return
-            number, run, at = (np.array(x) for x in zip(*members, strict=True))
-            doc = np.array([docs[r][i] for _, r, i in members])
-            least = np.full(len(keys), np.iinfo(np.int64).max)
-            np.minimum.at(least, number, doc)
-            mask = np.zeros(len(members), np.uint64)
-            for offset, own, smallest in window_minima(keys, lcps, least, w):
-                bound = np.full(len(keys), np.iinfo(np.int64).max)
+            runs, numbers = np.array(run), np.array(number)
+            by_run = np.argsort(runs, kind="stable")  # a run's contexts come in its own order
+            counts = np.bincount(runs, minlength=len(blocks))
+            at = np.empty(len(runs), np.int64)
+            at[by_run] = np.repeat(begin[:-1] + done - (np.cumsum(counts) - counts), counts) + np.arange(len(runs))
+            done[:] += counts
+            least = np.full(len(keys), none)
+            np.minimum.at(least, numbers, doc[at])
+            for offset, own, smallest in window_minima(keys, np.array(lcps), least, w):
+                bound = np.full(len(keys), none)
                 bound[own] = smallest
-                mask |= np.where(bound[number] < doc, np.uint64(1 << offset), np.uint64(0))
-            for r in np.unique(run):
-                of = run == r
-                masks[r][at[of]] = mask[of]
-
-        for key, lcp, run, place in merge(runs):
-            if keys and lcp == len(key) == len(keys[-1]):
-                members.append((len(keys) - 1, run, place))
-                continue
-            if lcp < w.gram and len(keys) >= RESOLVE_AT:
-                settle(keys, lcps, members)
-                keys, lcps, members = [], [], []
-            lcps.append(lcp if keys else 0)
-            keys.append(key)
-            members.append((len(keys) - 1, run, place))
-        settle(keys, lcps, members)
+                mask[at[bound[numbers] < doc[at]]] |= np.uint64(1 << offset)
+
+        keys, lcps, number, run = [], [], [], []
+        for key, lcp, r in merge([front_decoded(a.as_py(), b.as_py()) for a, b in zip(part["lengths"], part["rests"], strict=True)]):
+            if not keys or not lcp == len(key) == len(keys[-1]):
+                if lcp < w.gram and len(keys) >= RESOLVE_AT:
+                    settle(keys, lcps, number, run)
+                    keys, lcps, number, run = [], [], [], []
+                lcps.append(lcp if keys else 0)
+                keys.append(key)
+            number.append(len(keys) - 1)
+            run.append(r)
+        settle(keys, lcps, number, run)
         rows = []
-        for b, s, m in zip(blocks, spots, masks, strict=True):
+        for i, (b, s) in enumerate(zip(blocks, spots, strict=True)):
+            m = mask[begin[i] : begin[i + 1]]
             if (hit := m > 0).any():
                 rows.append((b, packed(s[hit]), packed(m[hit])))
         return arrow("block long, spots binary, masks binary", rows)
@@ -230,7 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
 
     as_text: kept is a string; a character of which only some bytes repeat stays."""
     w = Windows(window, gram)
-    assert 1 <= gram <= window and w.steps <= 64
+    assert 8 <= gram <= window and w.steps <= 64
     text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
     read = _read(w, text_at)
     blocks = blocks_of(docs, text_col, "blocks")
