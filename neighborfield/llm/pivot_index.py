@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. A vector is described by its nearest pivots in order; the
+Reference points (pivots) are a bounded sample of the vectors, none close to another. A vector is described by its nearest pivots in order; the
 inverted list of (label, pivot) holds the vectors that have the pivot among those. Two vectors of a list are candidates
 when they share at least `shared` pivots; they are compared in the list of their smallest shared pivot only, so that
 each pair counts once, by cosine in double precision. A list longer than a block is dealt out as pairs of blocks; no
@@ -26,6 +26,8 @@ from neighborfield.llm.runtime import written
 
 THRESHOLD = 0.93
 PREFIX, SHARED = 16, 2
+#: Largest cosine between two pivots.
+APART = 0.7
 #: Pivots: 4 * sqrt(vectors) within these bounds; the index is fitted on so many vectors, all are indexed.
 PIVOTS = (64, 4096)
 BLOCK = 1024
@@ -51,6 +53,15 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def spread(x: np.ndarray, closest: float = APART) -> np.ndarray:
+    """Those rows that are no closer than a cosine of `closest` to one taken before: a group of near copies, however
+    large its share of the sample, gets one pivot, which all of it has in common, instead of many that split it."""
+    taken = np.zeros(len(x), bool)
+    for i in range(len(x)):
+        taken[i] = not (x[:i][taken[:i]] @ x[i] > closest).any()
+    return x[taken]
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of each row's nearest pivots, nearest first."""
     prefix = min(prefix, len(pivots))
@@ -81,9 +92,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     points = written(rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")), "vectors")
     n = points.count()
     n_pivots = int(min(PIVOTS[1], max(PIVOTS[0], 4 * n**0.5)))
-    share = min(1_000_000, int(1_000_000 * 1.3 * n_pivots / max(n, 1)) + 1)
-    sample = points.filter(F.pmod(F.xxhash64("label", "v"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("label", "v")).limit(n_pivots).select("v").toArrow()["v"].combine_chunks()
-    pivots = units(matrix(sample)) if len(sample) else np.zeros((1, 1))
+    share = min(1_000_000, int(1_000_000 * 2.6 * n_pivots / max(n, 1)) + 1)
+    sample = points.filter(F.pmod(F.xxhash64("label", "v"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("label", "v")).limit(2 * n_pivots).select("v").toArrow()["v"].combine_chunks()
+    pivots = spread(units(matrix(sample)))[:n_pivots] if len(sample) else np.zeros((1, 1))
     width = pivots.shape[1]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
