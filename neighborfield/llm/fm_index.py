@@ -26,6 +26,8 @@ from neighborfield.llm.anchored import Windows, anchors, arrow, blocks_of, flagg
 from neighborfield.llm.runtime import ids_of, written
 
 WINDOW, GRAM = 20, 6
+#: Text whose anchors one index serves, about.
+RANGE_TEXT_BYTES = 8 << 20
 SENT = "range long, block long, contexts binary, offsets binary, docs binary, starts binary, spots binary"
 FAR = np.iinfo(np.int64).max
 
@@ -254,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     text_at, id_at, names = docs.columns.index(text_col), docs.columns.index(id_col), docs.columns
     read = _read(text_at)
     blocks = blocks_of(docs, text_col, "word-blocks")
-    ranges, bits = ranges_for(docs)
+    ranges, bits = ranges_for(docs, RANGE_TEXT_BYTES)
     flags = repeated_anchors(blocks, read, w, ranges, bits)
 
     def send(block: pa.Table, replies: pa.Table) -> pa.Table:
