@@ -29,8 +29,8 @@ from neighborfield.llm.runtime import documents, written
 SEED = 42
 LEAF_POINTS = 4096
 BUCKET_POINTS = 256
-#: The top tree is fitted on so many fingerprints at most; all are indexed.
-SAMPLE_POINTS = 200_000
+#: The top tree is fitted on so many fingerprints at most (a 64th of them, until then); all are indexed.
+SAMPLE_POINTS, SAMPLE_PER_LEAF = 200_000, 64
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -158,9 +158,12 @@ def leaf_links(points: np.ndarray, radius: int, bucket: int = BUCKET_POINTS) ->
 def near_fingerprints(points: DataFrame, radius: int = 2, leaf_points: int = LEAF_POINTS, sample_points: int = SAMPLE_POINTS) -> DataFrame:
     """points: (fp) distinct. Edges (a, b) whose components are those of all pairs within radius bits."""
     n = points.count()
-    per_million = 1_000_000 if n <= sample_points else int(1_000_000 * sample_points / n)
-    sample = np.array([x.fp for x in points.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < per_million).collect()], np.int64).view(np.uint64)
-    nodes = top_tree(sample, n // leaf_points, radius)
+    leaves = n // leaf_points
+    nodes = [(0, -1, 0, 0)]  # one leaf
+    if leaves > 1:
+        share = min(sample_points, SAMPLE_PER_LEAF * leaves) / n
+        sample = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()["fp"].to_numpy()
+        nodes = top_tree(sample.view(np.uint64), leaves, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
