@@ -6,27 +6,29 @@ pair has changed meanwhile is stale and skipped. Each merge costs a constant num
 heap, so a pre-token of n bytes takes about n log n steps however long it is.
 
 Texts split at white space into chunks that no match of the pattern crosses; chunks of up to CACHED_CHARS are
-remembered in a bounded cache. Nulls count as empty texts, which have no ids. A null doc_id stays null. Repeated rows
+remembered in a bounded cache. Short pre-tokens that are not in it are merged together, by one queue. Nulls count as empty texts, which have no ids. A null doc_id stays null. Repeated rows
 are encoded each. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import re
 import regex
 from pyspark.sql import DataFrame
 
-from neighborfield.llm.runtime import documents, texts_of
+from neighborfield.llm.runtime import documents, slices, texts_of
 
 CACHED_CHARS = 64
 CACHE_ENTRIES = 250_000
+#: Pre-tokens up to this size share one queue; texts of so many bytes are encoded together.
+SHORT_BYTES, TOGETHER_BYTES = 64, 20 << 20
 OUT_TOKENS = 1 << 20
 #: Unicode's White_Space, which \\s means to the pattern's engine.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -40,6 +42,12 @@ class BytePairEncoder:
         self.ranks = ranks
         self.vocab = {v: k for k, v in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+        #: (left id << 32 | right id) -> rank, for every cut of every token into two tokens.
+        self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pair_keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.byte_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        self.byte_pairs = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], np.int32)
         top = max(ranks.values(), default=0)
         self.low = [0] * ((top >> 6) + 1)
         self.mid = [0] * ((top >> 12) + 1)
@@ -50,6 +58,9 @@ class BytePairEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        return self._merge(piece)
+
+    def _merge(self, piece: bytes) -> list[int]:
         n, get = len(piece), self.ranks.get
         low, mid, buckets, top = self.low, self.mid, self.buckets, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -110,28 +121,102 @@ class BytePairEncoder:
             i = after[i]
         return out
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        """A chunk's ids as int32."""
-        return np.array([t for m in self.pattern.findall(chunk) for t in self.merge(m.encode())], np.int32).tobytes()
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        keys = left.astype(np.int64) << 32 | right
+        if len(keys) <= 32:
+            return np.array([self.pairs.get(k, -1) for k in keys.tolist()], np.int64)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Each pre-token's ids as int32, all by one queue: a bucket then holds positions of many pre-tokens. Those of
+        one bucket merge together, but only the first of each pre-token; the others stay in the bucket."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, sizes = len(data), np.array(list(map(len, pieces)))
+        if not n:
+            return [b""] * len(pieces)
+        word = np.append(np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), np.int32(-1))
+        ids = np.append(self.byte_ids[data], np.int32(-1))
+        after, before, alive = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n, bool)
+        pair = self.byte_pairs[data.astype(np.int32) << 8 | np.append(data[1:], 0)]
+        pair[word[1:] != word[:-1]] = -1
+        order = np.argsort(pair, kind="stable").astype(np.int32)
+        order = order[np.searchsorted(pair[order], 0) :]
+        first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        waiting = {int(pair[order[a]]): [order[a:b]] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)}
+        low, mid, top, more = self.low, self.mid, 0, {}
+        for r in waiting:
+            low[r >> 6] |= 1 << (r & 63)
+            mid[r >> 12] |= 1 << (r >> 6 & 63)
+            top |= 1 << (r >> 12)
+        while top:
+            a = (top & -top).bit_length() - 1
+            bits = mid[a]
+            b = a << 6 | (bits & -bits).bit_length() - 1
+            bits = low[b]
+            r = b << 6 | (bits & -bits).bit_length() - 1
+            parts, single = waiting.pop(r, []), more.pop(r, None)
+            if single:
+                parts.append(np.array(single))
+            i = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            i = i[pair[i] == r]
+            if len(parts) > 1 or single:
+                i = np.unique(i)
+            if len(i) > 1:
+                own = word[i]
+                again = np.flatnonzero(own[1:] == own[:-1]) + 1
+                if len(again):
+                    waiting[r] = [i[again]]
+                    i = np.delete(i, again)
+            if r not in waiting:
+                low[b] = bits & (bits - 1)
+                if not low[b]:
+                    mid[a] &= mid[a] - 1
+                    if not mid[a]:
+                        top &= top - 1
+            if not len(i):
+                continue
+            j = after[i]
+            k = after[j]
+            alive[j] = False
+            pair[j] = -1
+            pair[i] = -1
+            ids[i] = r
+            after[i] = k
+            before[k] = i
+            p = before[i]
+            right, left = word[k] == word[i], word[p] == word[i]
+            at = np.concatenate([i[right], p[left]])
+            new = self._ranks_of(np.concatenate([ids[i[right]], ids[p[left]]]), np.concatenate([ids[k[right]], ids[i[left]]]))
+            pair[at] = new
+            for x, y in zip(new.tolist(), at.tolist(), strict=True):
+                if x >= 0:
+                    if x in more:
+                        more[x].append(y)
+                    else:
+                        more[x] = [y]
+                        low[x >> 6] |= 1 << (x & 63)
+                        mid[x >> 12] |= 1 << (x >> 6 & 63)
+                        top |= 1 << (x >> 12)
+        left_ids, counts = ids[:-1][alive].astype(np.int32).tobytes(), np.bincount(word[:-1][alive], minlength=len(pieces))
+        ends = np.cumsum(counts) * 4
+        return [left_ids[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist(), strict=True)]
 
-class ChunkCache(dict):
-    """chunk -> value; forgets all when full, so that its memory is bounded."""
-
-    def __init__(self, make: Callable[[str], bytes], entries: int = CACHE_ENTRIES, longest: int = CACHED_CHARS):
-        super().__init__()
-        self.make, self.entries, self.longest = make, entries, longest
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's ids as int32."""
+        found = [self.pattern.findall(c) for c in chunks]
+        known = {p: b"" for pieces in found for p in pieces}
+        raw = [p.encode() for p in known]
+        short = [i for i, p in enumerate(raw) if len(p) <= SHORT_BYTES and p not in self.ranks]
+        out = [np.array(self.merge(p), np.int32).tobytes() if len(p) > SHORT_BYTES or p in self.ranks else b"" for p in raw]
+        for i, made in zip(short, self.merge_many([raw[i] for i in short]), strict=True):
+            out[i] = made
+        known = dict(zip(known, out, strict=True))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
 
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.make(chunk)
-        if len(chunk) <= self.longest:
-            if len(self) >= self.entries:
-                self.clear()
-            self[chunk] = value
-        return value
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.vocab.__getitem__, ids))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,9 +225,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str, pattern: str) -> tuple[BytePairEncoder, ChunkCache]:
-    encoder = BytePairEncoder(read_ranks(path), pattern)
-    return encoder, ChunkCache(encoder.encode_chunk)
+def _loaded(path: str, pattern: str) -> tuple[BytePairEncoder, dict[str, bytes]]:
+    return BytePairEncoder(read_ranks(path), pattern), {}
+
+
+def encode_texts(texts: list[str], encoder: BytePairEncoder, cache: dict[str, bytes]) -> Iterator[bytes]:
+    """Each text's ids as int32. What the cache lacks is encoded together, which costs a second split of the texts."""
+    if len(cache) > CACHE_ENTRIES:
+        cache.clear()
+    fresh: set[str] = set()
+    for t in texts:
+        fresh.update(c for c in CHUNKS.findall(t) if c not in cache)
+    new = list(fresh)
+    cache.update(zip(new, encoder.encode_chunks(new), strict=True))
+    for t in texts:
+        yield b"".join(map(cache.__getitem__, CHUNKS.findall(t)))
+    for c in new:
+        if len(c) > CACHED_CHARS:
+            del cache[c]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,13 +254,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)], names=["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = _loaded(path, pattern)
-        for b in batches:
+        encoder, cache = _loaded(path, pattern)
+        for b in slices(batches, "text", TOGETHER_BYTES):
             ids, parts, size = [], [], 0
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+            for doc_id, raw in zip(b["doc_id"].to_pylist(), encode_texts(texts_of(b["text"]), encoder, cache), strict=True):
                 ids.append(doc_id)
-                parts.append(b"".join(map(cache.__getitem__, CHUNKS.findall(text.as_py() or ""))))
-                size += len(parts[-1])
+                parts.append(raw)
+                size += len(raw)
                 if size >= 4 * OUT_TOKENS:
                     yield flush(ids, parts)
                     ids, parts, size = [], [], 0
@@ -176,7 +276,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _loaded(path, pattern)
         for b in batches:
-            raw = [encoder.decode(x or []) for x in (b["ids"][i].as_py() for i in range(b.num_rows))]
+            at, values = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy()
+            raw = [encoder.decode(values[lo:hi].tolist()) for lo, hi in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(raw, pa.binary())], names=["doc_id", "ids", "raw"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, raw binary")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about `most` bytes of a column each (a single longer text stays whole)."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield b.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects; decides how many parts there are, never which rows count."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
