@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from neighborfield.llm.runtime import documents, slices, texts_of
 
 CACHED_CHARS = 64
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 #: Pre-tokens up to this size share one queue; texts of so many bytes are encoded together.
-SHORT_BYTES, TOGETHER_BYTES = 64, 20 << 20
+SHORT_BYTES, TOGETHER_BYTES = 64, 14 << 20
 OUT_TOKENS = 1 << 20
 #: Unicode's White_Space, which \\s means to the pattern's engine.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
