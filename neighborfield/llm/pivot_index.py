@@ -96,6 +96,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     sample = points.filter(F.pmod(F.xxhash64("label", "v"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("label", "v")).limit(2 * n_pivots).select("v").toArrow()["v"].combine_chunks()
     pivots = spread(units(matrix(sample)))[:n_pivots] if len(sample) else np.zeros((1, 1))
     width = pivots.shape[1]
+    shared = min(shared, len(pivots))  # up to PREFIX pivots are shared by all vectors, so that all pairs are compared
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -52,6 +52,16 @@ def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want
 
 
+@pytest.mark.parametrize("n, noise", [(80, 0.05), (2, 0.001), (40, 0.3)])
+def test_few_pivots_lose_no_link(spark, n, noise):
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.ones(8) + noise * rng.normal(size=8)).tolist(), 1) for i in range(n)]
+    found = pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = brute(rows)
+    assert any(links for links, _ in want.values())
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want
+
+
 def test_toxic_words_are_learned_and_held_out_rows_are_not_used(spark):
     rng = np.random.default_rng(0)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
