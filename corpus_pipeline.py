@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import packing, simhash, suffix_merge, toxicity
+from neighborfield.llm import packing, shingle_links, suffix_merge, toxicity
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table, written
 
-#: Near copies in the pipeline: five-word shingles; four of 64 bits is an estimated similarity above 0.95.
+#: The former rule for near copies (SimHash within four bits); no stage uses it, only a test reads it.
 WORDS, RADIUS = 5, 4
 
 
@@ -39,10 +39,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked fingerprints."""
-    found = simhash.near_duplicates(docs, words=WORDS, radius=RADIUS)
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return _columns(docs.withColumn("_id", F.col("doc_id").cast("long")).join(dropped, "_id", "left_anti"), docs.columns)
+    """The document with the smallest doc_id of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    found = shingle_links.near_copies(docs)
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return _columns(keyed.join(dropped, ["_id", "_node"], "left_anti"), docs.columns)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,3 +152,27 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
 def test_run_covers_what_is_kept(spark, stages):
     found = corpus_pipeline.run(spark, SF)
     assert found.select("doc_id").distinct().count() == stages[3][2].count()
+
+
+def test_near_copies_match_brute_force(spark):
+    from neighborfield.llm.shingle_links import shingles
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(2000)]
+    rows = []
+    for i in range(60):
+        text = list(rng.choice(words, int(rng.integers(30, 400))))
+        rows.append((len(rows), " ".join(text)))
+        for part in (0.005, 0.015, 0.025, 0.05):  # one changed word breaks five shingles
+            at = rng.choice(len(text), max(1, int(part * len(text))), replace=False)
+            rows.append((len(rows), " ".join("new" + w if k in at else w for k, w in enumerate(text))))
+    hub = list(rng.choice(words, 300))  # a large group of near copies
+    rows += [(len(rows) + i, " ".join(hub[: 150 + i] + ["x" + str(i)] + hub[150 + i :])) for i in range(100)]
+    rows += [(900, "two words"), (901, "Two  WORDS"), (902, ""), (903, " "), (904, None), (905, "two"), (906, rows[3][1])]
+    sets = {k: set(shingles(t or "")) for k, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.8 <= s < 0.9 for s in alike.values()) > 30 and sum(0.6 < s < 0.8 for s in alike.values()) > 30
+    root = h.components(sets, [p for p, s in alike.items() if s >= 0.8])
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(k for k, v in root.items() if k == v) and kept.count(None) == 1
