@@ -306,15 +306,15 @@ query("random_rows")(lambda s, d: synthetic.random_rows(points(s, d), 100).selec
 # neighbours without a short SQL form, generated data, whole embeddings
 
 query("knn_ivf_k10")(lambda s, d: rounded(knn.ivf_knn(points(s, d), 10)))
-query("knn_ivfpq_k10")(lambda s, d: rounded(knn.ivfpq_knn(points(s, d), 10, codes=64)))
+query("knn_ivfpq_k10")(lambda s, d: rounded(knn.ivfpq_knn(points(s, d), 10)))
 query("knn_lsh_k10")(lambda s, d: rounded(knn.lsh_knn(points(s, d), 10, 4.0)))
 query("source_two_blobs")(lambda s, d: rounded(preprocess.components(synthetic.two_blobs(s, 200, 3))))
 query("source_four_blobs")(lambda s, d: rounded(preprocess.components(synthetic.four_blobs(s, 200, 3))))
 query("source_clusters")(lambda s, d: rounded(preprocess.components(synthetic.clusters(s, 200, 4))))
 query("source_random_graph")(lambda s, d: rounded(synthetic.random_graph(s, 200)))
 query("initial_layout")(lambda s, d: rounded(optimizer.initial_layout(points(s, d), 2), 12))
-query("embed_graph")(lambda s, d: rounded(optimizer.embed_graph(trade(s, d), lam=5.0, max_iter=300, early_iter=100)))
-query("embed_points")(lambda s, d: rounded(optimizer.embed_points(points(s, d), max_iter=300, early_iter=100)))
+query("embed_graph")(lambda s, d: rounded(optimizer.embed_graph(trade(s, d), lam=5.0)))
+query("embed_points")(lambda s, d: rounded(optimizer.embed_points(points(s, d))))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
