@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from neighborfield.llm.runtime import documents, written
+from neighborfield.llm.runtime import Remembered, documents, laid_out, places, slices, texts_of, written
 
 WINDOW = 4096
 CACHED_CHARS = 64
@@ -37,12 +37,24 @@ KINDS = bytes(ord("P") if c in ".," else ord(" ") if c == " " else ord("L") if u
 CACHE_ENTRIES = 400_000
 
 
+#: Texts of so many bytes are tokenised together.
+TOGETHER_BYTES = 8 << 20
+#: Texts on which a tokenizer must give the same ids by chunks as in one call; else it is called for whole texts.
+PROBES = ("The Cat. And, the dog's 12 ÉTÉ straße\tX\ny  z", "a.b c., d ,e (f). G! h... 3.5, 7", "naïve Ünïcode «quoted». 日本 語. x")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """(tokenizer, remembered chunks; None where chunks can't be told apart in this tokenizer)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    plain = [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(list(PROBES), add_special_tokens=False)]
+    if tokenizer.token_to_id(MARK) is None:
+        return tokenizer, None
+    found, at = _by_chunks(list(PROBES), tokenizer, Remembered(CACHE_ENTRIES))
+    return tokenizer, Remembered(CACHE_ENTRIES) if all(np.array_equal(x, found[a:b]) for x, a, b in zip(plain, at[:-1], at[1:], strict=True)) else None
 
 
 def alike(text: str) -> str:
@@ -61,49 +73,56 @@ def alike(text: str) -> str:
     return text.lower().replace(". ", " . ").replace(", ", " , ")
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian uint32, by the tokenizer without its special tokens added. Texts are cut at
-    spaces, tabs and line ends, which no match of the tokenizer crosses."""
-    tokenizer, cache = _tokenizer(path)
-    split = [alike(t).split(" ") for t in texts]
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    new = set().union(*split) - cache.keys()
-    fresh = list(new)
-    alone = [c for c in fresh if MARK[:2] in c]
-    for chunk in alone:
-        cache[chunk] = array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-    together = [c for c in fresh if MARK[:2] not in c] if alone else fresh
+def _by_chunks(texts: list[str], tokenizer, remembered: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and where each text's start. Texts are cut at spaces, tabs and line ends, which no match crosses; each
+    different chunk is looked up once, and those that the cache lacks are encoded together."""
+    chunks, numbers, at = places([alike(t) for t in texts], " ")
+    fresh = remembered.missing(chunks)
+    cache = remembered.new
+    together, word = [], tokenizer.model.tokenize
+    for chunk in fresh:
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():  # one pre-token that no step before the merges alters
+            cache[chunk] = array("I", [t.id for t in word(chunk)]).tobytes()
+        elif MARK[:2] in chunk:
+            cache[chunk] = array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        else:
+            together.append(chunk)
     mark = tokenizer.token_to_id(MARK)
     for lo in range(0, len(together), 512):
         part = together[lo : lo + 512]
         ids = np.array(tokenizer.encode_batch_fast([MARK.join(part)], add_special_tokens=False)[0].ids, "<u4")
         raw, cuts = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
         cache.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
-    out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
-    for chunk in fresh:
-        if len(chunk) > CACHED_CHARS:
-            del cache[chunk]
+    out = laid_out(list(map(cache.__getitem__, chunks)), numbers, at)
+    remembered.forget(fresh, CACHED_CHARS)
     return out
 
 
+def token_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, by the tokenizer without its special tokens added, and where each text's start."""
+    tokenizer, remembered = _tokenizer(path)
+    if remembered is not None:
+        return _by_chunks(texts, tokenizer, remembered)
+    each = [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return np.concatenate([np.zeros(0, np.int32), *each]), np.cumsum([0, *map(len, each)])
+
+
 def cut(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces: (doc_id, start, length, ids_crc32, doc_tokens)."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                rows: list[tuple] = []
-                for doc_id, raw in zip(b["doc_id"].to_pylist(), token_bytes([x or "" for x in b["text"].to_pylist()], path), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    for at in range(0, n, window):
-                        part = raw[4 * at : 4 * (at + window)]
-                        rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for b in slices(batches, "text", TOGETHER_BYTES):
+            ids, at = token_ids(texts_of(b["text"]), path)
+            raw = memoryview(np.insert(ids, at[1:], end_id).astype("<u4", copy=False)).cast("B")
+            at = at + np.arange(len(at))
+            n = np.diff(at)
+            pieces = -(-n // window)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(window, n[doc] - start)
+            first = 4 * (at[:-1][doc] + start)
+            crc = [zlib.crc32(raw[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

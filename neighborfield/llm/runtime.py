@@ -47,8 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
-    """Ids for comparisons; null counts as the largest."""
-    return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+    """Ids of any integer type for comparisons; null counts as the largest."""
+    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +68,54 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def places(texts: list[str], mark: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts cut at mark: the different chunks, the number of the one at each place, and where each text's places start."""
+    cut = pc.split_pattern(pa.array(texts, pa.string()), mark)
+    coded = cut.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
+
+
+class Remembered:
+    """What chunks gave, for the last `entries` chunks or more: two halves, of which the older is dropped when the newer
+    is full, so that chunks that keep coming stay."""
+
+    def __init__(self, entries: int):
+        self.most, self.new, self.old = entries // 2, {}, {}
+
+    def missing(self, chunks: list[str]) -> list[str]:
+        """Those chunks that aren't here; the others count as new again."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for c in chunks:
+            if c not in new:
+                if (known := old.get(c)) is None:
+                    out.append(c)
+                else:
+                    new[c] = known
+        return out
+
+    def forget(self, chunks: list[str], longer: int) -> None:
+        for c in chunks:
+            if len(c) > longer:
+                del self.new[c]
+
+
+def laid_out(parts: list[bytes], numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """parts[k] for each k of numbers, one after the other, as 32-bit ids; and where each text starts among them."""
+    values = np.frombuffer(b"".join(parts), np.int32)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    ends = np.concatenate([[0], np.cumsum(sizes[numbers])])
+    out = np.empty(ends[-1], np.int32)
+    for lo in range(0, len(numbers), 1 << 18):  # places at a time: memory stays bounded in a long text
+        own = numbers[lo : lo + (1 << 18)]
+        n = sizes[own]
+        a, b = ends[lo], ends[lo + len(own)]
+        out[a:b] = values[np.repeat(starts[own] + a - ends[lo : lo + len(own)], n) + np.arange(b - a)]
+    return out, ends[at]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut to about `most` bytes of a column each (a single longer text stays whole)."""
     for b in batches:
