@@ -6,33 +6,41 @@ pair has changed meanwhile is stale and skipped. Each merge costs a constant num
 heap, so a pre-token of n bytes takes about n log n steps however long it is.
 
 Texts split at white space into chunks that no match of the pattern crosses; chunks of up to CACHED_CHARS are
-remembered in a bounded cache. Short pre-tokens that are not in it are merged together, by one queue. Nulls count as empty texts, which have no ids. A null doc_id stays null. Repeated rows
-are encoded each. An empty table gives no rows. Other columns of the input are ignored.
+remembered in a bounded cache. Short pre-tokens that are not in it are merged together, by one queue. Nulls count as
+empty texts, which have no ids. A null doc_id stays null. Repeated rows are encoded each. A very long text is one
+row's work; beside it, its ids and its different chunks are held. An empty table gives no rows. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from neighborfield.llm.runtime import documents, slices, texts_of
+from neighborfield.llm.runtime import Remembered, documents, laid_out, places, slices, texts_of
 
 CACHED_CHARS = 64
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 #: Pre-tokens up to this size share one queue; texts of so many bytes are encoded together.
-SHORT_BYTES, TOGETHER_BYTES = 64, 14 << 20
-OUT_TOKENS = 1 << 20
+SHORT_BYTES, TOGETHER_BYTES = 64, 6 << 20
 #: Unicode's White_Space, which \\s means to the pattern's engine.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: White space that texts seldom hold, and what tells of a run of it that a cut before each space might split wrongly.
+RARE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Kinds of Latin-1 characters: L letters and numbers, P full stop and comma, S space and line end, Q all others.
+KINDS = bytes(ord("P") if c in ".," else ord("S") if c in " \n" else ord("L") if unicodedata.category(c)[0] in "LN" else ord("Q") for c in map(chr, range(256)))
+RUNS = ("  ", "\t ", "\n ", "\v ", "\f ", "\r ")
 
 
 class BytePairEncoder:
@@ -40,7 +48,6 @@ class BytePairEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.vocab = {v: k for k, v in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         #: (left id << 32 | right id) -> rank, for every cut of every token into two tokens.
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
@@ -144,7 +151,7 @@ class BytePairEncoder:
         order = np.argsort(pair, kind="stable").astype(np.int32)
         order = order[np.searchsorted(pair[order], 0) :]
         first = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        waiting = {int(pair[order[a]]): [order[a:b]] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)}
+        waiting = {int(pair[order[a]]): [order[a:b]] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)][: len(first)], strict=True)}
         low, mid, top, more = self.low, self.mid, 0, {}
         for r in waiting:
             low[r >> 6] |= 1 << (r & 63)
@@ -215,9 +222,6 @@ class BytePairEncoder:
         known = dict(zip(known, out, strict=True))
         return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -225,59 +229,72 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str, pattern: str) -> tuple[BytePairEncoder, dict[str, bytes]]:
-    return BytePairEncoder(read_ranks(path), pattern), {}
-
-
-def encode_texts(texts: list[str], encoder: BytePairEncoder, cache: dict[str, bytes]) -> Iterator[bytes]:
-    """Each text's ids as int32. What the cache lacks is encoded together, which costs a second split of the texts."""
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    fresh: set[str] = set()
-    for t in texts:
-        fresh.update(c for c in CHUNKS.findall(t) if c not in cache)
-    new = list(fresh)
-    cache.update(zip(new, encoder.encode_chunks(new), strict=True))
-    for t in texts:
-        yield b"".join(map(cache.__getitem__, CHUNKS.findall(t)))
-    for c in new:
-        if len(c) > CACHED_CHARS:
-            del cache[c]
+def _loaded(path: str, pattern: str) -> tuple[BytePairEncoder, Remembered]:
+    return BytePairEncoder(read_ranks(path), pattern), Remembered(CACHE_ENTRIES)
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> dict[int, bytes]:
+    return {v: k for k, v in read_ranks(path).items()}
+
+
+def absent(texts: list[str]) -> str:
+    """A character that no text has: the null byte, else a noncharacter, else any other."""
+    return next(c for c in map(chr, chain([0], range(0xFDD0, 0xFDF0), range(0x10000, 0x110000))) if not any(c in t for t in texts))
+
+
+def marked(text: str, mark: str) -> str:
+    """The text with mark between chunks that no match of the pattern crosses. A match starts before a space, unless the
+    space is inside a run of white space or in a run at the end; texts with such runs are cut by CHUNKS."""
+    if any(r in text for r in RUNS) or text[-2:].isspace() or not text.isascii() and any(c in text for c in RARE_SPACE):
+        return mark.join(CHUNKS.findall(text))
+    cut = text.replace(" ", mark + " ")
+    if any(r in text for r in ("\n\n", "\t", "\r", "\v", "\f")):
+        return cut
+    try:
+        kinds = text.encode("latin-1").translate(KINDS)
+    except UnicodeEncodeError:
+        return cut
+    if b"PPS" in kinds or b"QPS" in kinds or b"SPS" in kinds:
+        return cut
+    # a lone line end is a match, and so is a stop between a letter and white space
+    return cut.replace("\n", mark + "\n" + mark).replace("." + mark, mark + "." + mark).replace("," + mark, mark + "," + mark)
+
+
+def encode_texts(texts: list[str], encoder: BytePairEncoder, remembered: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, and where each text's start. A chunk is looked up once; those that the cache lacks are
+    encoded together."""
+    mark = absent(texts)
+    chunks, numbers, at = places([marked(t, mark) for t in texts], mark)
+    fresh = remembered.missing(chunks)
+    remembered.new.update(zip(fresh, encoder.encode_chunks(fresh), strict=True))
+    out = laid_out(list(map(remembered.new.__getitem__, chunks)), numbers, at)
+    remembered.forget(fresh, CACHED_CHARS)
+    return out
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids). path: a rank file that lies at the same place on every machine (an installed package's data)."""
 
-    def flush(ids: list, parts: list[bytes]) -> pa.RecordBatch:
-        at = np.cumsum([0, *map(len, parts)]) // 4
-        values = pa.array(np.frombuffer(b"".join(parts), np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)], names=["doc_id", "ids"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = _loaded(path, pattern)
+        encoder, remembered = _loaded(path, pattern)
         for b in slices(batches, "text", TOGETHER_BYTES):
-            ids, parts, size = [], [], 0
-            for doc_id, raw in zip(b["doc_id"].to_pylist(), encode_texts(texts_of(b["text"]), encoder, cache), strict=True):
-                ids.append(doc_id)
-                parts.append(raw)
-                size += len(raw)
-                if size >= 4 * OUT_TOKENS:
-                    yield flush(ids, parts)
-                    ids, parts, size = [], [], 0
-            if ids:
-                yield flush(ids, parts)
+            ids, at = encode_texts(texts_of(b["text"]), encoder, remembered)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded's rows (doc_id, ids) with raw, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _loaded(path, pattern)
-        for b in batches:
-            at, values = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy()
-            raw = [encoder.decode(values[lo:hi].tolist()) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(raw, pa.binary())], names=["doc_id", "ids", "raw"])
+        token = _vocabulary(path).__getitem__
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                at, values = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy()
+                raw = [b"".join(map(token, values[x:y].tolist())) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["ids"], pa.array(raw, pa.binary())], names=["doc_id", "ids", "raw"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, raw binary")

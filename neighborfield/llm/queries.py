@@ -26,7 +26,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
 

@@ -142,7 +142,7 @@ def test_bpe_matches_the_library_and_decodes(docs):
 
     ranks = bpe.read_ranks(BPE)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    both = bpe.decode(bpe.encode(docs, BPE, public_tokenizers.PATTERN), BPE, public_tokenizers.PATTERN).collect()
+    both = bpe.decode(bpe.encode(docs, BPE, public_tokenizers.PATTERN), BPE).collect()
     want = sorted((-1 if r.doc_id is None else r.doc_id, library.encode_ordinary(r.text or "")) for r in docs.collect())
     assert sorted((-1 if r.doc_id is None else r.doc_id, list(r.ids)) for r in both) == want
     assert all(bytes(r.raw) == library.decode_bytes(list(r.ids)) for r in both)
@@ -152,6 +152,39 @@ def test_bpe_matches_the_library_and_decodes(docs):
         assert encoder.merge(text.encode()) == library.encode_ordinary(text)
 
 
+def odd_texts(n, seed):
+    import random
+
+    r = random.Random(seed)
+    parts = ["*", ">", "ª", "b", "½", "_", " ", "\x00", "\n", "\t", "\r", "\v", "\f", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "'s", "'", "é", "日", "1", "²", ".", ",", "the", " and", "  ", "\ufdd0", "\U00010000", "😀", "\u200b", "e\u0301", "X", "<|", "<|startoftext|>"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(n)]
+
+
+def test_bpe_of_odd_texts_alone_and_together():
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BPE), special_tokens={})
+    encoder, remembered = bpe._loaded(BPE, public_tokenizers.PATTERN)
+    texts = ["*>", "ªb", "½_", " \x00", "a" * 200_000, *odd_texts(6000, 1)]
+    want = [library.encode_ordinary(t) for t in texts]
+    for t, ids in zip(texts, want, strict=True):
+        assert bpe.encode_texts([t], encoder, bpe.Remembered(4))[0].tolist() == ids, t  # nothing is known yet
+        assert bpe.encode_texts([t], encoder, remembered)[0].tolist() == ids, t
+    ids, at = bpe.encode_texts(texts, encoder, bpe.Remembered(100))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_tokens_of_odd_texts_and_of_a_tokenizer_without_short_cuts():
+    from tokenizers import Tokenizer
+
+    texts = [*odd_texts(6000, 2), "word, word. Word " * 30_000]
+    for path, cut in ((WORD, True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        plain = Tokenizer.from_file(path)
+        ids, at = packing.token_ids(texts, path)
+        assert (packing._tokenizer(path)[1] is not None) == cut
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_places_every_id_once(docs):
     from tokenizers import Tokenizer
 
