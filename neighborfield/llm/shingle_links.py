@@ -1,14 +1,10 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates from MinHash bands, each verified exactly.
+"""What verifies near copies that SimHash can't tell: word shingles, minima of their hashes, and exact similarities.
 
 A text's shingles are those of the fingerprints (bytes between ASCII white space, A-Z in lower case); a text of at most
 `words` words is one shingle. Equal texts collapse to one node first. Two nodes that agree on a band of minima are
 candidates: at similarity s that happens with probability 1 - (1 - s^ROWS)^BANDS, 0.99995 at 0.8. Candidates whose
 sizes or low bits of the minima rule the similarity out (bits: seven deviations away) are not read. The rest are
 verified by the shingles themselves.
-
-First each member of a band's bucket is compared with the bucket's smallest node, which joins a group of near copies of
-any size without its pairs; then members outside the bucket's largest group are compared with all members of other
-groups. So components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.llm.components import components
-from neighborfield.llm.runtime import documents, slices, written
+from neighborfield.llm.runtime import slices, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -52,9 +47,18 @@ def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(number of different shingles, minima) of each text."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def signatures(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of different shingles, minima, SimHash fingerprint) of each text."""
     sizes, out = np.empty(len(texts), np.int64), np.full((len(texts), HASHES), (1 << 32) - 1, np.uint32)
+    prints = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
     rows: list[int] = []
     runs: list[np.ndarray] = []
@@ -70,7 +74,10 @@ def signatures(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.nda
 
     held = 0
     for i, text in enumerate(texts):
-        h = np.unique(np.fromiter((digest(s, 42) for s in shingles(text, words)), np.uint64))
+        own = shingles(text, words)
+        h = np.fromiter((digest(s, 42) for s in own), np.uint64, len(own))
+        prints[i] = majority(h) if own != [b""] else 0
+        h = np.unique(h)
         sizes[i] = len(h)
         h = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)
         for lo in range(0, len(h), PIECE):
@@ -81,7 +88,7 @@ def signatures(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.nda
                 flush()
                 held = 0
     flush()
-    return sizes, out
+    return sizes, out, prints
 
 
 def similarity(a: set[bytes], b: set[bytes]) -> float:
@@ -89,15 +96,18 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+DESCRIBED = "node long, size long, fp long, bits1 long, bits2 long, bands array<long>"
+
+
+def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(iter([whole]), "text", 4 << 20):
-            sizes, least = signatures(b["text"].to_pylist())
+            sizes, least, prints = signatures(b["text"].to_pylist())
             own = np.ascontiguousarray(least[:, : BANDS * ROWS]).view(np.uint8).reshape(len(sizes), BANDS, ROWS * 4)
             bands = np.array([[xxhash.xxh64_intdigest(own[i, k].tobytes(), k) for k in range(BANDS)] for i in range(len(sizes))], np.uint64).view(np.int64)
             bits = np.packbits((least & 1).astype(np.uint8), axis=1).view(np.int64)
             at = pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sizes), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1)))], names=["node", "size", "bits1", "bits2", "bands"])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sizes), pa.array(prints.view(np.int64)), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.ListArray.from_arrays(at, pa.array(bands.reshape(-1)))], names=["node", "size", "fp", "bits1", "bits2", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,41 +121,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([p["a"], p["b"]], names=["a", "b"]).filter(pa.array(found))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Those pairs (a, b) of nodes whose similarity is SIMILARITY or more."""
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("left")), texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").sortWithinPartitions("a")
     return written(both.mapInArrow(_verify, "a long, b long"), name)
 
 
-def _possible(x: str, y: str) -> Column:
+def possible(x: str, y: str) -> Column:
     """Whether sizes and bits let rows x and y be similar enough."""
     size, other = F.col(f"{x}.size"), F.col(f"{y}.size")
     differ = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("bits1", "bits2"))
     return (F.least(size, other) >= SIMILARITY * F.greatest(size, other) - 1e-6) & (differ <= BITS)
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, component_id): node is the text's XXH64, component_id the smallest doc_id reachable over links."""
-    rows = documents(docs, id_col, text_col).withColumn("node", F.xxhash64("text"))
-    made = written(rows.select("node", "text").mapInArrow(_describe, "node long, size long, bits1 long, bits2 long, bands array<long>"), "shingle-minima").dropDuplicates(["node"])
-    every = made.select("node", F.explode("bands").alias("bucket"))
-    firsts = written(every.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shingle-firsts")
-    kept = ["node", "size", "bits1", "bits2"]
-    members = written(made.select(*kept, F.explode("bands").alias("bucket")).join(firsts, "bucket"), "shingle-buckets")
-    texts = written(rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "shingle-texts")
-
-    heads = members.filter("node = first").select("bucket", F.struct(*kept).alias("x"))
-    pairs = members.filter("node <> first").select("bucket", F.struct(*kept).alias("y")).join(heads, "bucket").filter(_possible("x", "y"))
-    links = _linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts, "shingle-links")
-
-    named = written(members.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "shingle-groups")
-    largest = named.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").select("bucket", F.col("top.label").alias("top"))
-    mixed = named.filter("node <> first").join(largest, "bucket")
-    own, other = mixed.filter("label <> top").select("bucket", F.struct("label", *kept).alias("x")), mixed.select("bucket", F.struct("label", *kept).alias("y"))
-    pairs = own.join(other, "bucket").filter((F.col("x.label") != F.col("y.label")) & _possible("x", "y"))
-    more = _linked(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), texts, "shingle-more-links")
-
-    roots = components(links.union(more))
-    found = written(rows.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-roots")
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "component_id")

@@ -6,6 +6,10 @@ all blocks with a loser tree that keeps, for each head, the prefix it shares wit
 different shared lengths are ordered without looking at bytes, and equal ones are compared from that length on only.
 The merged order and its shared prefixes give, for every window of every suffix, the smallest document that has it.
 
+What it is not: suffixes between anchors are neither sorted nor sent, since a window is decided at its anchor; runs are
+dealt to ranges by the anchor's hash, not by leading bytes; and copies of a whole context within one block go as one
+suffix. A text longer than a block is a block of its own, whose bytes one task holds about ten times.
+
 A document without text, or with fewer bytes than a window, loses nothing. Rows with equal doc_id do not remove each
 other's bytes; a null doc_id comes after all others. Removal is judged on the input. An empty table gives no rows.
 All input columns come back in one column named row, so that no name can clash.
@@ -118,24 +122,44 @@ def _read(w: Windows, text_at: int):
     return read
 
 
-def _contexts(rows: pa.Table, replies: pa.Table, read, w: Windows, ids: np.ndarray, ranges: int, bits: int):
-    """Places, first and last windows, documents and ranges of the block's candidate anchors; number of each one's
-    context among the block's; and for each context its bytes, smallest document and the first place there."""
-    symbols, at, raw = read(rows)
-    place, hashes, first, last = anchors(symbols, at, w)
-    flags, of = flagged(hashes, replies, ranges, bits)
-    place, first, last, of = place[flags], first[flags], last[flags], of[flags]
-    doc = ids[np.searchsorted(at, place, "right") - 1] if len(place) else np.zeros(0, np.int64)
-    numbers: dict[bytes, int] = {}
-    number = np.zeros(len(place), np.int64)
-    for i, (s, p, e) in enumerate(zip(first.tolist(), place.tolist(), (last + w.size).tolist(), strict=True)):
-        number[i] = numbers.setdefault(raw[p:e] + END + raw[s:p][::-1], len(numbers))
-    least = np.full(len(numbers), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, doc)
-    spot = np.full(len(numbers), np.iinfo(np.int64).max)
-    here = doc == least[number]
-    np.minimum.at(spot, number[here], place[here])
-    return at, raw, place, first, last, doc, of, number, list(numbers), least, spot
+class Contexts:
+    """A block's candidate anchors (place, first and last window, document, range), the number of each one's context
+    among the block's, and for each context its smallest document and the first place there. Contexts are compared hash
+    by hash, so only those of one hash are held as bytes; key() makes one again."""
+
+    def __init__(self, rows: pa.Table, replies: pa.Table, read, w: Windows, ids: np.ndarray, ranges: int, bits: int):
+        self.w = w
+        symbols, self.at, self.raw = read(rows)
+        place, hashes, first, last = anchors(symbols, self.at, w)
+        flags, of = flagged(hashes, replies, ranges, bits)
+        order = np.flatnonzero(flags)
+        order = order[np.argsort(hashes[order], kind="stable")]
+        self.place, self.first, self.last, self.of = place[order], first[order], last[order], of[order]
+        hashes = hashes[order]
+        self.doc = ids[np.searchsorted(self.at, self.place, "right") - 1] if len(order) else np.zeros(0, np.int64)
+        begins = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+        alone = begins & np.append(begins[1:], True)[: len(hashes)]
+        self.number, n = np.cumsum(alone) - 1, int(alone.sum())
+        several, known = np.flatnonzero(~alone), {}
+        for lo in range(0, len(several), 1 << 15):
+            part = several[lo : lo + (1 << 15)]
+            for i, new in zip(part.tolist(), begins[part].tolist(), strict=True):
+                if new:
+                    known.clear()
+                number = known.setdefault(self.key(i), n)
+                self.number[i] = number
+                n += number == n
+        self.one = np.zeros(n, np.int64)
+        self.one[self.number] = np.arange(len(self.number))
+        self.least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.number, self.doc)
+        self.spot = np.full(n, np.iinfo(np.int64).max)
+        here = self.doc == self.least[self.number]
+        np.minimum.at(self.spot, self.number[here], self.place[here])
+
+    def key(self, i: int) -> bytes:
+        s, p, e = self.first[i], self.place[i], self.last[i] + self.w.size
+        return self.raw[p:e] + END + self.raw[s:p][::-1]
 
 
 def window_minima(keys: list[bytes], lcps: np.ndarray, least: np.ndarray, w: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -213,10 +237,35 @@ def _resolve(w: Windows):
     return resolve
 
 
+def _covered(c: Contexts, found: pa.Table) -> np.ndarray:
+    """For each byte of a block: is it in a window that starts in a smaller document. found: places and masks."""
+    w, change = c.w, np.zeros(len(c.raw) + 1, np.int32)
+    later = c.doc > c.least[c.number]
+    np.add.at(change, c.first[later], 1)
+    np.add.at(change, c.last[later] + w.size, -1)
+    if found.num_rows and len(c.least):
+        spots = np.concatenate([unpacked(x.as_py(), "<u4") for x in found["spots"]])
+        masks = np.concatenate([unpacked(x.as_py(), "<u8") for x in found["masks"]])
+        #: A place may be two contexts' where a segment's edge cut its windows; offsets then tell them apart.
+        order = np.argsort(spots, kind="stable")
+        spots = spots[order]
+        begin = np.flatnonzero(np.diff(spots.astype(np.int64), prepend=-1))
+        masks, spots = np.bitwise_or.reduceat(masks[order], begin), spots[begin]
+        at = np.minimum(np.searchsorted(spots, c.spot), len(spots) - 1)
+        mask_of = np.where(spots[at] == c.spot, masks[at], np.uint64(0))
+        open_ = np.flatnonzero((mask_of[c.number] > 0) & ~later)
+        mask, place, first, last = mask_of[c.number[open_]], c.place[open_], c.first[open_], c.last[open_]
+        for offset in range(w.steps):
+            hit = (mask >> np.uint64(offset) & np.uint64(1)).astype(bool) & (place - offset >= first) & (place - offset <= last)
+            np.add.at(change, place[hit] - offset, 1)
+            np.add.at(change, place[hit] - offset + w.size, -1)
+    return np.cumsum(change, out=change)[:-1] > 0
+
+
 def whole_characters(covered: np.ndarray, data: np.ndarray) -> np.ndarray:
     """covered where all bytes of a UTF-8 character are, so that the rest is still UTF-8."""
     starts = np.flatnonzero((data & 0xC0) != 0x80)
-    if not len(starts):
+    if len(starts) in (0, len(data)):
         return covered
     sizes = np.diff(np.append(starts, len(data)))
     return np.repeat(np.minimum.reduceat(covered, starts), sizes)
@@ -239,17 +288,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         if not block.num_rows:
             return arrow("range long, block long, lengths binary, rests binary, docs binary, spots binary", [])
         rows = rows_of(block["payload"][0].as_py())
-        *_, of, number, keys, least, spot = _contexts(rows, replies, read, w, ids_of(rows.column(id_at).combine_chunks()), ranges, bits)
-        range_of = np.zeros(len(keys), np.int64)
-        range_of[number] = of
+        c = Contexts(rows, replies, read, w, ids_of(rows.column(id_at).combine_chunks()), ranges, bits)
+        own_range = c.of[c.one]
+        by_range = np.argsort(own_range, kind="stable")
+        cuts = np.flatnonzero(np.diff(own_range[by_range], prepend=-1)).tolist()
         out = []
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        by_range: dict[int, list[int]] = {}
-        for i in order:
-            by_range.setdefault(int(range_of[i]), []).append(i)
-        for r, own in by_range.items():
-            lengths, rests = front_coded([keys[i] for i in own])
-            out.append((r, block["block"][0].as_py(), lengths, rests, packed(least[own].astype("<i8")), packed(spot[own].astype("<u4"))))
+        for lo, hi in zip(cuts, [*cuts[1:], len(by_range)], strict=False):
+            keys = {c.key(c.one[i]): i for i in by_range[lo:hi].tolist()}
+            order = sorted(keys)
+            own = np.array(list(map(keys.__getitem__, order)))
+            lengths, rests = front_coded(order)
+            out.append((int(own_range[by_range[lo]]), block["block"][0].as_py(), lengths, rests, packed(c.least[own].astype("<i8")), packed(c.spot[own].astype("<u4"))))
         return arrow("range long, block long, lengths binary, rests binary, docs binary, spots binary", out)
 
     runs = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send, "range long, block long, lengths binary, rests binary, docs binary, spots binary")
@@ -264,36 +313,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         rows = rows_of(block["payload"][0].as_py())
         known = sent.filter(pc.is_valid(sent["range"]))
         found = sent.filter(pc.is_valid(sent["spots"]))
-        at, raw, place, first, last, doc, _, number, keys, least, spot = _contexts(rows, known, read, w, ids_of(rows.column(id_at).combine_chunks()), ranges, bits)
-        change = np.zeros(len(raw) + 1, np.int64)
-        later = doc > least[number] if len(number) else np.zeros(0, bool)
-        np.add.at(change, first[later], 1)
-        np.add.at(change, last[later] + w.size, -1)
-        if found.num_rows and len(keys):
-            spots = np.concatenate([unpacked(x.as_py(), "<u4") for x in found["spots"]]).astype(np.int64)
-            bits_of = np.concatenate([unpacked(x.as_py(), "<u8") for x in found["masks"]])
-            #: A place may be two contexts' where a segment's edge cut its windows; offsets then tell them apart.
-            mask_at = np.zeros(len(raw) + 1, np.uint64)
-            np.bitwise_or.at(mask_at, spots, bits_of)
-            mask = mask_at[spot[number]]
-            for offset in range(w.steps):
-                hit = (mask >> np.uint64(offset) & np.uint64(1)).astype(bool) & ~later & (place - offset >= first) & (place - offset <= last)
-                np.add.at(change, place[hit] - offset, 1)
-                np.add.at(change, place[hit] - offset + w.size, -1)
-        covered = np.cumsum(change)[:-1] > 0
-        data = np.frombuffer(raw, np.uint8)
+        c = Contexts(rows, known, read, w, ids_of(rows.column(id_at).combine_chunks()), ranges, bits)
+        at, raw = c.at, c.raw
+        covered = _covered(c, found)
         begins = covered.copy()
         begins[1:] &= ~covered[:-1]
-        inner = at[:-1][at[:-1] < len(raw)]
-        begins[inner] = covered[inner]
-        total, spans = np.concatenate([[0], np.cumsum(covered)]), np.concatenate([[0], np.cumsum(begins)])
-        gone = whole_characters(covered, data) if as_text else covered
-        kept_data = data[~gone].tobytes()
-        kept_at = np.concatenate([[0], np.cumsum(~gone)])[at]
-        kept = pa.array([kept_data[a:b] for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist(), strict=True)], pa.binary())
+        full = np.flatnonzero(np.diff(at))
+        begins[at[full]] = covered[at[full]]
+        n_removed, n_spans = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+        if len(full):
+            n_removed[full] = np.add.reduceat(covered, at[full], dtype=np.int64)
+            n_spans[full] = np.add.reduceat(begins, at[full], dtype=np.int64)
+        del c, begins
+        data = np.frombuffer(raw, np.uint8)
+        kept = []
+        for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), n_removed.tolist(), strict=True):
+            gone = covered[a:b]
+            if n and as_text:
+                gone = whole_characters(gone, data[a:b])
+            kept.append(data[a:b][~gone].tobytes() if n else raw[a:b])
+        kept = pa.array(kept, pa.binary())
         if as_text:
             kept = kept.cast(pa.string())
         row = pa.StructArray.from_arrays([c.combine_chunks() for c in rows.columns], names=names)
-        return pa.table([row, pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.array(np.diff(spans[at])), kept], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([row, pa.array(np.diff(at)), pa.array(n_removed), pa.array(n_spans), kept], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)

@@ -102,6 +102,13 @@ def test_byte_windows(docs, size, gram):
     assert suffix_merge.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_ids_of_narrow_types(docs):
+    narrow = docs.select(F.col("doc_id").cast("int").alias("doc_id"), "text")
+    for remove, size, plain, column in ((fm_index.remove_repeats, 20, h.cut_words, 2), (suffix_merge.remove_repeats, 50, h.cut_bytes, 2)):
+        found = remove(narrow, size).select("row.doc_id", "n_removed").collect()
+        assert sorted((BIG if r.doc_id is None else r.doc_id, r.n_removed) for r in found) == sorted((r[0], r[column]) for r in plain(rows_of(docs), size))
+
+
 def test_merge_is_sorted_and_knows_prefixes():
     import random
 
