@@ -11,39 +11,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import packing, shingle_links, suffix_merge, toxicity
+from neighborfield.llm import packing, simhash, suffix_merge, toxicity
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table, written
 
-#: The former rule for near copies (SimHash within four bits); no stage uses it, only a test reads it.
-WORDS, RADIUS = 5, 4
+KEY = ["_id", "_text"]
 
 
-def _columns(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*(F.col(f"`{n}`") for n in names))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, _id, _text): whole rows in one column, so that no column of theirs can clash; _text is the text's SHA-256."""
+    return docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_text"))
+
+
+def _rows(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    return keyed.select(*(F.col(f"row.`{n}`").alias(n) for n in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the operator's threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _columns(toxicity.score(docs, model, name="_toxic_score").filter(F.col("_toxic_score") < toxicity.THRESHOLD), docs.columns)
+    scored = toxicity.score(docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), "text"), model, name="score")
+    return _rows(scored.filter(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; of equal rows with one doc_id and text, one."""
-    kept = written(exact_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_rows")), "kept")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    single = keyed.join(kept.filter("_rows = 1"), ["_id", "_sha"], "left_semi")
-    repeated = keyed.join(kept.filter("_rows > 1"), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
-    return _columns(single.unionByName(repeated).unionByName(keyed.filter("_id is null")), docs.columns)
+    kept = written(exact_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).agg(F.count("*").alias("_rows")), "kept")
+    keyed = _keyed(docs)
+    single = keyed.join(kept.filter("_rows = 1"), KEY, "left_semi")
+    repeated = keyed.join(kept.filter("_rows > 1"), KEY, "left_semi").dropDuplicates(KEY)
+    return _rows(single.unionByName(repeated).unionByName(keyed.filter("_id is null")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked by five-word shingles with a similarity of 0.8 or more."""
-    found = shingle_links.near_copies(docs)
+    found = simhash.near_documents(docs)
     dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return _columns(keyed.join(dropped, ["_id", "_node"], "left_anti"), docs.columns)
+    keyed = _keyed(docs).withColumn("_node", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
+    return _rows(keyed.join(dropped, ["_id", "_node"], "left_anti"), docs)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
