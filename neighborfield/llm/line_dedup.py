@@ -1,21 +1,29 @@
-"""Removal of repeated line runs by distributed prefix doubling, in DataFrame functions.
-
-The lines of all documents are one sequence of line ids with a break after each document. Ranks of prefixes of length h
-are joined with the ranks h places on to rank prefixes of length 2h; the last step overlaps, so any length is reached in
-log2 steps. Suffixes with equal ranks at the least run length are the LCP intervals of that depth: every maximal repeated
-run is made of them, and deeper ranks would not change which lines repeat, so doubling stops there. A suffix that is
-alone in its rank is dropped at once; only repeated lines are carried on. A rank is named by its earliest suffix, so a
-later copy is one that isn't its rank's name. Ranks come from aggregates that combine before the shuffle and are joined
-back, so that a line in a third of all documents is no hot task.
-
-Lines end at \\n; lines of spaces only are kept and don't count. Earlier means a smaller doc_id, or a smaller place in
-the same document. A null doc_id comes last. Rows with the same doc_id and text are treated alike and don't remove each
-other's lines. A null text is empty. An empty table gives no rows. Other columns of the input are ignored.
+"""Removal of repeated line runs: a suffix array over line ids by distributed prefix doubling, in DataFrame functions.
+
+The lines of all documents are one sequence, addressed in order of (doc_id, text hash, line), and a suffix ends with its
+document. The rank of a suffix at length h names the class of suffixes that share their next h lines; it is the address
+of the earliest one. Ranks of length h joined with the ranks h lines on give those of length 2h, until no class has two
+suffixes. A suffix that is alone is dropped at once, for no longer prefix of it repeats either.
+
+A class is an LCP interval of at least its length. A suffix that isn't its class's earliest is a later copy; its longest
+class names the source, and the common prefix with the source is found exactly by going down the lengths (add h lines
+where both have the same rank of length h). Copies that only go on with a copy that starts a line before, from the same
+source, are dropped; the rest are the maximal repeated runs. Runs of at least two lines are removed.
+
+Classes come from aggregates that combine before the shuffle and are written before they are joined, so that both sides
+of the join can be split where a line is in a third of all documents.
+
+Lines end at \\n; lines of spaces only are kept and don't count. A null doc_id comes last. Rows with the same doc_id and
+text are one document, share the decision and don't remove each other's lines; of several texts under one doc_id the one
+with the smaller hash is earlier. A null text is empty. A very long text is one row; beside it, 16 bytes a line are held.
+An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neighborfield.llm.runtime import NULL_ID, documents, written
@@ -25,36 +33,66 @@ LEAST_LINES = 2
 KEY = ["d", "k"]
 
 
-def _ranked(suffixes: DataFrame, parts: list[str], name: str) -> DataFrame:
-    """(d, k, pos, first_d, first_pos) of suffixes that share their parts with another; first_* is the earliest of them."""
-    first = suffixes.groupBy(*parts).agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return written(suffixes.join(first, parts).select("d", "k", "pos", F.col("first.d").alias("first_d"), F.col("first.pos").alias("first_pos")), name)
+def line_ids(base: DataFrame) -> DataFrame:
+    """base: (d, k, text). (g, past, d, k, pos, id1, id2): each line that counts; g is its address, past the first address
+    after its document, pos its place."""
+    ids = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(x).alias("id1"), F.xxhash64(F.lit("second"), x).alias("id2")))
+    texts = written(base.select("d", "k", ids.alias("ids")).filter("size(ids) > 0"), "line-ids")
+    placed = texts.dropDuplicates(KEY).orderBy(*KEY).select("d", "k", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "id")).withColumn("g", F.monotonically_increasing_id())
+    return written(placed.select("g", (F.col("g") - F.col("pos") + F.col("n")).alias("past"), "d", "k", "pos", "id.id1", "id.id2"), "lines")
+
+
+def _ranked(suffixes: DataFrame, parts: list[str], length: int) -> DataFrame:
+    """(g, past, rank) of suffixes (g, past, and parts) that share their parts with another; rank is the smallest g."""
+    classes = written(suffixes.groupBy(*parts).agg(F.min("g").alias("rank"), F.count("*").alias("n")).filter("n > 1").drop("n"), f"line-classes-{length}")
+    return written(suffixes.join(classes, parts).select("g", "past", "rank"), f"line-ranks-{length}")
+
+
+def ranks(lines: DataFrame) -> list[DataFrame]:
+    """Ranks (g, past, rank) of suffixes at lengths 1, 2, 4, ... as long as any class has two suffixes."""
+    out, length = [_ranked(lines.select("g", "past", "id1", "id2"), ["id1", "id2"], 1)], 1
+    while not out[-1].isEmpty():
+        ahead = out[-1].select((F.col("g") - length).alias("g"), F.col("rank").alias("next"))
+        pairs = out[-1].filter(F.col("g") + 2 * length <= F.col("past")).join(ahead, "g").withColumnRenamed("rank", "own")
+        length *= 2
+        out.append(_ranked(pairs, ["own", "next"], length))
+    return out[:-1]
 
 
-def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
-    """lines: (d, k, pos, id1, id2). Suffixes (d, k, pos) whose first `least` lines also start earlier."""
-    ranks, length = _ranked(lines, ["id1", "id2"], "line-ranks-1"), 1
-    while length < least:
-        step = min(length, least - length)
-        ahead = ranks.select("d", "k", (F.col("pos") - step).alias("pos"), F.col("first_d").alias("next_d"), F.col("first_pos").alias("next_pos"))
-        length += step
-        ranks = _ranked(ranks.join(ahead, ["d", "k", "pos"]), ["first_d", "first_pos", "next_d", "next_pos"], f"line-ranks-{length}")
-    return ranks.filter((F.col("first_d") < F.col("d")) | (F.col("first_pos") < F.col("pos"))).select("d", "k", "pos").distinct()
+def maximal_runs(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+    """(g, source, length): runs of at least `least` lines that start at g and have their earliest copy at source."""
+    levels = ranks(lines)
+    none = lines.select("g", F.col("g").alias("source"), F.lit(0).alias("level")).limit(0)
+    copies = [r.filter("rank < g").select("g", F.col("rank").alias("source"), F.lit(j).alias("level")) for j, r in enumerate(levels) if 2 << j > least]
+    deepest = reduce(DataFrame.union, copies, none).groupBy("g").agg(F.max(F.struct("level", "source")).alias("top")).select("g", "top.source", "top.level")
+    deepest = written(deepest, "line-copies")
+    follows = deepest.select((F.col("g") + 1).alias("g"), (F.col("source") + 1).alias("source"))
+    ends = [lines.select(F.col("g").alias(c), F.col("past").alias(p)) for c, p in (("g", "past"), ("source", "source_past"))]
+    runs = deepest.join(follows, ["g", "source"], "left_anti").join(ends[0], "g").join(ends[1], "source")
+    runs = written(runs.withColumn("length", F.expr("shiftleft(1L, level)")), "line-runs")
+    for j in range(len(levels) - 2, -1, -1):
+        here = levels[j].select(F.col("g").alias("at"), F.col("rank").alias("here"))
+        there = levels[j].select(F.col("g").alias("from"), F.col("rank").alias("there"))
+        placed = runs.withColumn("at", F.col("g") + F.col("length")).withColumn("from", F.col("source") + F.col("length"))
+        same = (F.col("level") > j) & (F.col("at") < F.col("past")) & (F.col("from") < F.col("source_past")) & (F.col("here") == F.col("there"))
+        runs = placed.join(here, "at", "left").join(there, "from", "left").withColumn("length", F.col("length") + F.when(same, F.lit(1 << j)).otherwise(0))
+        runs = written(runs.drop("at", "from", "here", "there"), f"line-runs-{j}")
+    return runs.filter(F.col("length") >= least).select("g", "source", "length")
 
 
 def remove_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, kept): removed are numbers of lines from 0, kept is the text without them."""
-    base = documents(docs, id_col, text_col)
+    base = documents(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
+    lines = line_ids(base.select("d", "k", "text"))
+    runs = maximal_runs(lines, least).join(lines.select("g", "d", "k", "pos"), "g")
+    before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("to", F.col("pos") + F.col("length")).withColumn("done", F.coalesce(F.max("to").over(before), F.lit(0)))
+    spans = runs.filter("to > done").groupBy(*KEY).agg(F.collect_list(F.struct(F.greatest("pos", "done").alias("a"), F.col("to").alias("b"))).alias("spans"))
     own = F.split("text", "\n", -1)
-    counted = base.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), F.filter(own, lambda x: F.trim(x) != "").alias("own"))
-    lines = counted.select("d", "k", F.posexplode("own").alias("pos", "line")).select("d", "k", "pos", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit("second"), "line").alias("id2"))
-    runs = repeated_runs(lines, least)
-    starts = runs.groupBy("d", "k").agg(F.collect_set("pos").alias("starts"))
-    texts = base.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
-    both = texts.join(starts, KEY, "left").withColumn("own", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(own))
+    both = base.join(spans, KEY, "left").withColumn("own", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(own))
     filled = F.filter(F.transform("own", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    places = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (least - 1)))))
-    both = both.withColumn("filled", F.when(F.col("starts").isNotNull(), filled)).withColumn("removed", F.coalesce(F.array_sort(F.transform(places, lambda p: F.get("filled", p))), F.array().cast("array<int>")))
+    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["a"].cast("int"), (s["b"] - 1).cast("int"))))
+    both = both.withColumn("filled", F.when(F.col("spans").isNotNull(), filled)).withColumn("removed", F.coalesce(F.array_sort(F.transform(places, lambda p: F.get("filled", p))), F.array().cast("array<int>")))
     rest = F.array_except(F.transform("own", lambda x, i: i), "removed")
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("own", i)), "\n"))
     return both.select("doc_id", F.size("own").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", kept.alias("kept"))

@@ -50,6 +50,40 @@ def test_lines(docs):
     assert line_dedup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_runs_of_any_length(spark):
+    import random
+
+    r = random.Random(5)
+    base = [f"line {i}" for i in range(260)]
+    rows = [(0, base[:230])]
+    for k, n in enumerate([2, 3, 5, 8, 31, 64, 127, 200]):
+        at = r.randint(0, 230 - n)
+        rows.append((k + 1, [f"own {k}", *base[at : at + n], "   ", f"end {k}", *(["same"] * (k + 2))]))
+    rows += [(20, ["x"] * 150), (21, rows[3][1]), (22, ["alone"]), (23, ["alone"]), (24, rows[5][1][3:] + rows[2][1])]
+    rows += [(30 + i, ["hot a", "hot b", f"tail {i % 3}", f"{i}"]) for i in range(40)]
+    docs = spark.createDataFrame([(k, "\n".join(x)) for k, x in rows], "doc_id long, text string").repartition(3)
+    first, want = {}, {}
+    counted = {k: [(i, x) for i, x in enumerate(lines) if x.strip(" ")] for k, lines in rows}
+    for k, own in counted.items():
+        for p in range(len(own) - 1):
+            first.setdefault((own[p][1], own[p + 1][1]), (k, p))
+    for k, own in counted.items():
+        want[k] = sorted({own[q][0] for p in range(len(own) - 1) if first[own[p][1], own[p + 1][1]] < (k, p) for q in (p, p + 1)})
+    found = line_dedup.remove_repeated_lines(docs).collect()
+    assert {x.doc_id: x.removed for x in found} == want and all(x.n_removed == len(x.removed) for x in found)
+    # each run's length is its longest common prefix with an earlier source
+    base = docs.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
+    lines = line_dedup.line_ids(base)
+    at = {x.g: (x.d, x.pos) for x in lines.collect()}
+    runs = line_dedup.maximal_runs(lines).collect()
+    text = {k: [x for _, x in own] for k, own in counted.items()}
+    for x in runs:
+        (k, p), (j, q) = at[x.g], at[x.source]
+        a, b = text[k][p:], text[j][q:]
+        assert (j, q) < (k, p) and x.length == next((i for i, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+    assert {200, 127, 64, 31} <= {x.length for x in runs} and len({(x.g, x.source) for x in runs}) == len(runs)
+
+
 @pytest.mark.parametrize("bits", [62, 3])
 def test_exact_copies_even_where_fingerprints_collide(docs, bits):
     plain = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
