@@ -7,6 +7,7 @@ into it with map-side combine and never meet each other.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,6 @@ from neighborfield.operators.forces import axes, forces_from_phi, zeta_from_phi
 from neighborfield.operators.linalg import kernel_product
 from neighborfield.params import BOX_POINTS, EPS, box_count
 
-#: Cells a side up to which cells are joined with cells; beyond, a Fourier transform in one task.
-JOINED_SIDE = 40
-
 
 def centre(y: DataFrame) -> DataFrame:
     """Coordinates less their means."""
@@ -80,23 +78,49 @@ def convolve(cells: DataFrame) -> DataFrame:
     return numbered.select("i", *places).join(sums, "i").select(*places, *(F.col(c).alias(f"phi{c[1:]}") for c in charges))
 
 
-def convolve_fft(cells: DataFrame) -> DataFrame:
-    """The same by one padded Fourier transform; the grid's bounded table is one task's."""
+def _padded(grid: np.ndarray, step: float) -> np.ndarray:
+    lags = (np.fft.fftfreq(2 * len(grid)) * 2 * len(grid)) * step
+    kernel = np.fft.rfftn(1 / (1 + sum(np.meshgrid(*[lags * lags] * grid.ndim, indexing="ij"))) ** 2)
+    size, every = [2 * len(grid)] * grid.ndim, range(grid.ndim)
+    return np.fft.irfftn(np.fft.rfftn(grid, size, every) * kernel, size, every)[tuple(slice(0, n) for n in grid.shape)]
+
+
+def _unpadded(grid: np.ndarray, step: float) -> np.ndarray:
+    """The same sums without padding. Along an axis a Toeplitz matrix is half the sum of a circulant one and a
+    skew-circulant one, which modulation makes circulant; so 2^d transforms of the grid's own size replace one of 2^d
+    times its size."""
+    side, d = len(grid), grid.ndim
+    lag = np.arange(side) * step
+    twist = np.exp(1j * np.pi * np.arange(side) / side)
+    shaped = lambda v, m: v.reshape([-1 if k == m else 1 for k in range(d)])
+    out = np.zeros(grid.shape)
+    for skew in product((False, True), repeat=d):
+        kernel = np.zeros(grid.shape)
+        for wrapped in product((False, True), repeat=d):
+            d2 = sum(shaped((lag - side * step * w) ** 2, m) for m, w in enumerate(wrapped))
+            kernel += (-1) ** sum(s and w for s, w in zip(skew, wrapped, strict=True)) / (1 + d2) ** 2
+        turn = np.ones([1] * d)
+        for m, s in enumerate(skew):
+            if s:
+                turn = turn * shaped(twist, m)
+        out += (np.fft.ifftn(np.fft.fftn(grid * turn) * np.fft.fftn(kernel * turn)) / turn).real
+    return out / 2**d
+
+
+def convolve_fft(cells: DataFrame, padded: bool = True) -> DataFrame:
+    """The same by Fourier transforms; the grid's bounded table is one task's. padded: one transform of twice the side,
+    else 2^d of the grid's own, with a 2^d-th of the memory."""
     places, charges = _cell_axes(cells), sorted(c for c in cells.columns if c.startswith("q"))
     schema = ", ".join([*(f"{c} int" for c in places), *(f"phi{c[1:]} double" for c in charges)])
 
     def transform(part: pa.Table) -> pa.Table:
         at = tuple(part[c].to_numpy() for c in places)
         step = part["step"][0].as_py()
-        side = max(int(a.max()) for a in at) + 1
-        lags = (np.fft.fftfreq(2 * side) * 2 * side) * step
-        d2 = sum(np.meshgrid(*[lags * lags] * len(places), indexing="ij"))
-        kernel = np.fft.rfftn(1 / (1 + d2) ** 2)
         out = []
         for c in charges:
-            grid = np.zeros([2 * side] * len(places))
+            grid = np.zeros([max(int(a.max()) for a in at) + 1] * len(places))
             grid[at] = part[c].to_numpy()
-            out.append(np.fft.irfftn(np.fft.rfftn(grid) * kernel, grid.shape)[at])
+            out.append((_padded if padded else _unpadded)(grid, step)[at])
         return pa.table([*(a.astype(np.int32) for a in at), *out], names=[*places, *(f"phi{c[1:]}" for c in charges)])
 
     return cells.groupBy(F.lit(0).alias("whole")).applyInArrow(transform, schema)
@@ -109,11 +133,11 @@ def gather(stencils: DataFrame, potentials: DataFrame) -> DataFrame:
     return stencils.join(potentials, cells).groupBy("i", *dims).agg(*(F.sum(F.col("w") * F.col(p)).alias(p) for p in phis))
 
 
-def nuconv(y: DataFrame, h: float | None = None, nodes: int | None = None, fft: bool = False, weights: Callable[[Column], Column] = lagrange_weights) -> DataFrame:
+def nuconv(y: DataFrame, h: float | None = None, nodes: int | None = None, fft: bool = False, weights: Callable[[Column], Column] = lagrange_weights, padded: bool = True) -> DataFrame:
     """(i, y0.., phi0..) of the points shifted to the origin: the fast kernel sum."""
     own = stencil(placed(shift_to_origin(y), h, nodes), weights)
     cells = scatter(own)
-    return gather(own, convolve_fft(cells) if fft else convolve(cells))
+    return gather(own, convolve_fft(cells, padded) if fft else convolve(cells))
 
 
 def repulsion_grid(y: DataFrame, h: float | None = None, nodes: int | None = None, fft: bool = False) -> DataFrame:
@@ -134,7 +158,7 @@ def shifted_average(y: DataFrame, shifts: int, nodes: int) -> DataFrame:
         own = stencil(placed(moved, nodes=nodes + 1))
         cells = scatter(own)
         # charges move with the points; put the potentials of y back to the unmoved ones
-        phi = gather(own, convolve(cells)).crossJoin(F.broadcast(most))
+        phi = gather(own, convolve_fft(cells)).crossJoin(F.broadcast(most))
         phi = phi.select("i", "phi0", *((F.col(f"phi{m + 1}") - F.col("phi0") * step * (s / (shifts + 1))).alias(f"phi{m + 1}") for m in range(len(dims))))
         every = phi if every is None else every.unionByName(phi)
     names = [f"phi{m}" for m in range(len(dims) + 1)]
@@ -160,4 +184,4 @@ def box_interpolation(y: DataFrame, boxes: int | None = None, nodes: int | None
         w = w * F.col(f"w{c[1:]}")
     # nodes are equispaced over all boxes, so that cell c stands at (c + 1/2) * step / k and gaps are those of a grid
     own = out.select("i", *dims, F.lit(boxes * k).alias("nodes"), (F.col("step") / k).alias("step"), *(f"c{c[1:]}" for c in dims), w.alias("w"))
-    return gather(own, convolve(scatter(own)))
+    return gather(own, convolve_fft(scatter(own), padded=d < 3))

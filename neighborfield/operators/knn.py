@@ -94,8 +94,9 @@ def ivf_knn(points: DataFrame, k: int, cells: int | None = None, probes: int = 2
     return ranked(queries.join(listed, "cell").filter("i <> j").select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), k)
 
 
-def ivfpq_knn(points: DataFrame, k: int, cells: int | None = None, probes: int = 20, parts: int = 2, codes: int = 256, seed: int = 0) -> DataFrame:
-    """As ivf_knn, but distances are to the nearest code of each of `parts` sub-vectors of the other point."""
+def ivfpq_knn(points: DataFrame, k: int, cells: int | None = None, probes: int = 20, parts: int = 2, codes: int = 256, seed: int = 0, short_list: int = 32) -> DataFrame:
+    """As ivf_knn, but distances are to the nearest code of each of `parts` sub-vectors of the other point; the nearest
+    short_list * k by them are ranked by their true distance."""
     n, width = points.count(), len(points.first()["x"])
     edges = np.linspace(0, width, parts + 1).astype(int)
     books = [centroids(points.select(F.slice("x", int(a) + 1, int(b - a)).alias("x")), min(codes, n), seed) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -115,7 +116,9 @@ def ivfpq_knn(points: DataFrame, k: int, cells: int | None = None, probes: int =
     dealt = points.select("i", "x").mapInArrow(near, "i long, x array<double>, coded array<double>, cells array<int>")
     queries = dealt.select("i", F.col("x").alias("xi"), F.explode("cells").alias("cell"))
     listed = dealt.select(F.col("i").alias("j"), F.col("coded").alias("xj"), F.get("cells", F.lit(0)).alias("cell"))
-    return ranked(queries.join(listed, "cell").filter("i <> j").select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), k)
+    nearest = ranked(queries.join(listed, "cell").filter("i <> j").select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), short_list * k)
+    both = nearest.select("i", "j").join(points.select("i", F.col("x").alias("xi")), "i").join(points.select(F.col("i").alias("j"), F.col("x").alias("xj")), "j")
+    return ranked(both.select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), k)
 
 
 def lsh_knn(points: DataFrame, k: int, bucket: float, tables: int = 8, seed: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,31 @@ def kernel_product(cells: DataFrame, kernel: Callable[[Column], Column], places:
     other = cells.select(*(F.col(p).alias(f"_{p}") for p in places), *charges)
     d2 = sum((F.col(p) - F.col(f"_{p}")) * (F.col(p) - F.col(f"_{p}")) for p in places)
     return own.crossJoin(other).select("i", kernel(d2).alias("_k"), *charges).groupBy("i").agg(*(F.sum(F.col("_k") * F.col(c)).alias(c) for c in charges))
+
+
+def toeplitz_edges(lags: DataFrame, n: int) -> DataFrame:
+    """Entries (i, j, v) of the n by n Toeplitz matrix whose entry depends on i - j: lags (lag, v)."""
+    rows = lags.filter(F.abs("lag") < n).select("v", "lag", F.explode(F.sequence(F.greatest(F.col("lag"), F.lit(0)), F.least(F.lit(n - 1) + F.col("lag"), F.lit(n - 1)))).alias("i"))
+    return rows.select(F.col("i").cast("long").alias("i"), (F.col("i") - F.col("lag")).cast("long").alias("j"), "v")
+
+
+def toeplitz_multiply(lags: DataFrame, x: DataFrame) -> DataFrame:
+    """(i0, .., x): sum over places j of lags[i - j] * x[j], for lags (l0, .., v) and a vector (i0, .., x) of places from 0
+    in one or several dimensions (a block-Toeplitz matrix). By Fourier transforms of the padded vector, in one task: both
+    tables are those of a grid, which is bounded."""
+    places, steps = sorted(c for c in x.columns if c != "x"), sorted(c for c in lags.columns if c != "v")
+    both = x.select(F.lit(True).alias("vector"), *(F.col(c).cast("long").alias(f"p{m}") for m, c in enumerate(places)), F.col("x").alias("v"))
+    both = both.unionByName(lags.select(F.lit(False).alias("vector"), *(F.col(c).cast("long").alias(f"p{m}") for m, c in enumerate(steps)), "v"))
+
+    def run(part: pa.Table) -> pa.Table:
+        own = part["vector"].to_numpy()
+        at, v = np.stack([part[f"p{m}"].to_numpy() for m in range(len(places))]), part["v"].to_numpy()
+        size = at[:, own].max(1) + 1
+        near = ~own & (np.abs(at) < size[:, None]).all(0)
+        values, kernel = np.zeros(2 * size), np.zeros(2 * size)
+        values[tuple(at[:, own])] = v[own]
+        kernel[tuple(at[:, near] % (2 * size)[:, None])] = v[near]
+        out = np.fft.irfftn(np.fft.rfftn(values) * np.fft.rfftn(kernel), values.shape)
+        return pa.table([*at[:, own], out[tuple(at[:, own])]], names=[*places, "x"])
+
+    return both.groupBy(F.lit(0).alias("whole")).applyInArrow(run, ", ".join([*(f"{c} long" for c in places), "x double"]))

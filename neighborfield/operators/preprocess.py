@@ -98,7 +98,7 @@ def extract(points: DataFrame, dims: list[int]) -> DataFrame:
 
 
 def tangle(y: DataFrame, bits: int = 10) -> DataFrame:
-    """Points with the Morton code of their quantised coordinates, sorted by it within range partitions."""
+    """Points with the Morton code of their quantised coordinates, in order of it over range partitions."""
     from neighborfield.functions.kernels import morton
     from neighborfield.operators.forces import axes
     from neighborfield.operators.grid import shift_to_origin
@@ -107,4 +107,11 @@ def tangle(y: DataFrame, bits: int = 10) -> DataFrame:
     own = shift_to_origin(y)
     most = own.agg(F.max(F.greatest(*dims) if len(dims) > 1 else F.col(dims[0])).alias("_most"))
     cell = lambda c: F.when(F.col("_most") > 0, F.floor(F.col(c) / F.col("_most") * ((1 << bits) - 1))).otherwise(0)
-    return own.crossJoin(F.broadcast(most)).withColumn("code", morton([cell(c) for c in dims], bits)).drop("_most")
+    return own.crossJoin(F.broadcast(most)).withColumn("code", morton([cell(c) for c in dims], bits)).drop("_most").orderBy("code", "i")
+
+
+def bins(y: DataFrame, bits: int = 10) -> DataFrame:
+    """(code, start, count): where each occupied bin of the tangled points begins, and how many it has."""
+    from neighborfield.operators.formats import offsets
+
+    return offsets(tangle(y, bits), "code").withColumnRenamed("degree", "count")

@@ -12,33 +12,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.operators import affinity, forces, grid, knn
+from neighborfield.functions.kernels import dot
+from neighborfield.operators import affinity, forces, grid, knn, preprocess
+from neighborfield.sources.synthetic import normal, uniform
 from neighborfield.params import FLT_MIN, EmbeddingParams, grid_size
 
 #: Points (with their edges) up to which a whole optimisation fits one task's memory.
 ONE_TASK_POINTS, ONE_TASK_EDGES = 200_000, 40_000_000
+#: Points up to which repulsion is the exact sum: a grid that few points stretch over has too few in a cell, and its sum
+#: of interpolated kernels can even be negative.
+EXACT_POINTS = 1024
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """A written copy in the shared folder: the lineage of a long loop ends here, and losing an executor costs nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="embedding-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if known.isDefined():
+            return known.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="embedding-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """A written copy in the shared folder: the lineage of a long loop ends here, and losing an executor costs nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def initial_layout(ids: DataFrame, d: int, scale: float = 1e-4, seed: int = 0, gaussian: bool = True) -> DataFrame:
     """(i, y0, ..): scale * N(0, 1) (or U(0, 1)) from a hash of i and the seed, the same in any partitioning."""
-    def uniform(m: int, salt: int):
-        return (F.pmod(F.xxhash64("i", F.lit(seed), F.lit(m), F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-
-    value = lambda m: (F.sqrt(-2 * F.ln(uniform(m, 0))) * F.cos(2 * np.pi * uniform(m, 1)) if gaussian else uniform(m, 0)) * scale
+    value = lambda m: (normal if gaussian else uniform)(seed, "i", F.lit(m)) * scale
     return ids.select("i", *(value(m).alias(f"y{m}") for m in range(d)))
 
 
@@ -54,6 +63,10 @@ def update(state: DataFrame, gradient: DataFrame, p: EmbeddingParams, momentum:
     return out.crossJoin(F.broadcast(means)).withColumns({f"y{m}": F.col(f"y{m}") - F.col(f"_m{m}") for m in dims}).select(*state.columns)
 
 
+def by_size(p: EmbeddingParams, n: int) -> EmbeddingParams:
+    return replace(p, repulsion="exact") if n <= EXACT_POINTS else p
+
+
 def step_gradient(edges: DataFrame, y: DataFrame, p: EmbeddingParams, alpha: float) -> DataFrame:
     repulsive = forces.repulsion(y) if p.repulsion == "exact" else grid.repulsion_grid(y, p.spacing, p.grid, fft=True)
     return forces.gradient(forces.attraction(edges, y), repulsive, alpha)
@@ -73,6 +86,7 @@ def optimise(edges: DataFrame, y: DataFrame, p: EmbeddingParams, callback: Calla
     """The loop with one job chain for each few steps; edges and state stay distributed. callback may stop it by True."""
     edges = _table(edges.select("i", "j", "v"), "edges")
     state = _table(start_state(y), "state")
+    p = by_size(p, state.count())
     dims = forces.axes(y)
     for step in range(p.max_iter):
         alpha, momentum = schedule(p, step)
@@ -125,36 +139,50 @@ def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
     for c in range(d + 1):
         charge = weight if c == 0 else weight * y[:, c - 1, None]
         cells = np.bincount(cell.ravel(), weights=charge.ravel(), minlength=side**d).reshape([side] * d)
-        padded = np.fft.irfftn(np.fft.rfftn(cells, [2 * side] * d) * kernel, [2 * side] * d)
+        padded = np.fft.irfftn(np.fft.rfftn(cells, [2 * side] * d, range(d)) * kernel, [2 * side] * d, range(d))
         phi[:, c] = (weight * padded[tuple(slice(0, side) for _ in range(d))].ravel()[cell]).sum(1)
     z = float(((1 + 2 * (y * y).sum(1)) * phi[:, 0] - 2 * (y * phi[:, 1:]).sum(1)).sum() - n)
+    if not z > 0:
+        raise ValueError(f"the grid's zeta is {z}: {n} points spread over {spread} are too few for {g} nodes a side")
     return (y * phi[:, :1] - phi[:, 1:]) / z, z
 
 
-def descend(y: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, list[tuple[int, float]]]:
-    """The same loop on arrays: (layout, [(step, cost)])."""
-    u, gains, costs = np.zeros_like(y), np.ones_like(y), []
+def descend(y: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, p: EmbeddingParams, every: int = 50) -> list[tuple[int, float, np.ndarray]]:
+    """The same loop on arrays: (step, cost, layout) before the first step, after each `every`-th and after the last. The
+    costs are those without exaggeration."""
+    u, gains, seen = np.zeros_like(y), np.ones_like(y), []
     n, d = y.shape
+    p = by_size(p, n)
+
+    def look(step: int) -> None:
+        gap = y[i] - y[j]
+        q = 1 / (1 + (gap * gap).sum(1))
+        seen.append((step, float((v * np.log((v + FLT_MIN) / (q / _repulsion(y, p)[1] + FLT_MIN))).sum()), y))
+
+    look(-1)
     for step in range(p.max_iter):
         alpha, momentum = schedule(p, step)
         gap = y[i] - y[j]
         q = 1 / (1 + (gap * gap).sum(1))
         pull = np.stack([np.bincount(i, weights=v * q * gap[:, m], minlength=n) for m in range(d)], 1)
-        push, z = _repulsion(y, p)
-        if step % 50 == 0 or step == p.max_iter - 1:
-            costs.append((step, float((alpha * v * np.log((alpha * v + FLT_MIN) / (q / z + FLT_MIN))).sum())))
+        push, _ = _repulsion(y, p)
         dy = alpha * pull - push
         gains = np.maximum(np.where(np.sign(dy) != np.sign(u), gains + p.gain_up, gains * p.gain_down), p.least_gain)
         u = momentum * u - p.eta * gains * dy
         y = y + u
         y = y - y.mean(0)
-        if p.tol > 0 and np.abs(dy).sum(1).max() < p.tol:
+        done = step == p.max_iter - 1 or p.tol > 0 and np.abs(dy).sum(1).max() < p.tol
+        if done or (step + 1) % every == 0:
+            look(step)
+        if done:
             break
-    return y, costs
+    return seen
 
 
-def optimise_one_task(edges: DataFrame, y: DataFrame, p: EmbeddingParams) -> DataFrame:
-    """(i, y0, ..) for graphs that fit a task: the loop runs where the edges are gathered, not on the driver."""
+def optimise_one_task(edges: DataFrame, y: DataFrame, p: EmbeddingParams, every: int | None = None) -> DataFrame:
+    """(i, y0, ..) for graphs that fit a task: the loop runs where the edges are gathered, not on the driver.
+
+    every: rows (iter, kl, i, y0, ..) of the start (iter -1), each `every`-th step and the last one instead."""
     dims = forces.axes(y)
     both = edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "v", *(F.lit(None).cast("double").alias(c) for c in dims)).unionByName(y.select(F.col("i").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("v"), *dims))
 
@@ -167,30 +195,72 @@ def optimise_one_task(edges: DataFrame, y: DataFrame, p: EmbeddingParams) -> Dat
         start = np.stack([part[c].to_numpy()[point] for c in dims], 1)[order]
         a, b, v = part["a"].to_numpy()[~point], b[~point].astype(np.int64), part["v"].to_numpy()[~point]
         sort = np.lexsort((b, a))
-        out, _ = descend(start, np.searchsorted(ids, a[sort]), np.searchsorted(ids, b[sort]), v[sort], p)
-        return pa.table([ids, *out.T], names=["i", *dims])
+        seen = descend(start, np.searchsorted(ids, a[sort]), np.searchsorted(ids, b[sort]), v[sort], p, every or p.max_iter)
+        if every is None:
+            return pa.table([ids, *seen[-1][2].T], names=["i", *dims])
+        n = len(ids)
+        parts = [pa.table([np.full(n, step, np.int32), np.full(n, kl), ids, *out.T], names=["iter", "kl", "i", *dims]) for step, kl, out in seen]
+        return pa.concat_tables(parts)
 
-    return both.groupBy(F.lit(0).alias("whole")).applyInArrow(run, ", ".join(["i long", *(f"{c} double" for c in dims)]))
+    schema = ["i long", *(f"{c} double" for c in dims)]
+    return both.groupBy(F.lit(0).alias("whole")).applyInArrow(run, ", ".join(schema if every is None else ["iter int", "kl double", *schema]))
 
 
-def embed_graph(edges: DataFrame, p: EmbeddingParams | None = None, y0: DataFrame | None = None, **overrides) -> DataFrame:
-    """(i, y0, ..) of a weighted graph (i, j, v): stochastic, rescaled, symmetric, joint, optimised."""
-    p = replace(p or EmbeddingParams(), **overrides)
+def graph_weights(edges: DataFrame, p: EmbeddingParams) -> DataFrame:
+    """The joint weights of a weighted graph (i, j, v): stochastic, rescaled, symmetric, total 1."""
     rows = affinity.row_stochastic(affinity.drop_diagonal(edges))
     if p.lam != 1:
         rows = affinity.lambda_rescale(rows, p.lam, drop_leaf=p.drop_leaf).select("i", "j", "v")
-    weights = _table(affinity.joint(rows), "joint")
+    return affinity.joint(rows)
+
+
+def embed_graph(edges: DataFrame, p: EmbeddingParams | None = None, y0: DataFrame | None = None, callback: Callable[[int, DataFrame, dict], bool | None] | None = None, every: int = 50, **overrides) -> DataFrame:
+    """(i, y0, ..) of a weighted graph (i, j, v): its joint weights, optimised.
+
+    callback(step, layout, {"iter", "kl"}) is given each `every`-th layout in order; where it returns True that layout is
+    the result. A graph of one task is run to its end first, a larger one stops there."""
+    p = replace(p or EmbeddingParams(), **overrides)
+    weights = _table(graph_weights(edges, p), "joint")
     ids = weights.select("i").distinct()
     start = y0 if y0 is not None else initial_layout(ids, p.d, seed=p.seed)
     small = start.count() <= ONE_TASK_POINTS and weights.count() <= ONE_TASK_EDGES
-    return optimise_one_task(weights, start, p) if small else optimise(weights, start, p)
+    if not small:
+        return optimise(weights, start, p, callback, every)
+    if callback is None:
+        return optimise_one_task(weights, start, p)
+    seen = _table(optimise_one_task(weights, start, p, every), "snapshots")
+    for step, cost in seen.filter("iter >= 0").select("iter", "kl").distinct().orderBy("iter").toLocalIterator():
+        own = seen.filter(F.col("iter") == step).drop("iter", "kl")
+        if callback(step, own, {"iter": step, "kl": cost}):
+            break
+    return own
 
 
-def embed_points(points: DataFrame, p: EmbeddingParams | None = None, neighbours: str = "exact", y0: DataFrame | None = None, **overrides) -> DataFrame:
-    """(i, y0, ..) of points (i, x): neighbours, perplexity, then embed_graph."""
+def cost_log(edges: DataFrame, p: EmbeddingParams | None = None, every: int = 50, **overrides) -> DataFrame:
+    """(iter, kl) along the optimisation of a graph that fits a task; iter -1 is the start."""
     p = replace(p or EmbeddingParams(), **overrides)
+    weights = graph_weights(edges, p)
+    start = initial_layout(weights.select("i").distinct(), p.d, seed=p.seed)
+    return optimise_one_task(weights, start, p, every).groupBy("iter").agg(F.first("kl").alias("kl"))
+
+
+def embed_points(points: DataFrame, p: EmbeddingParams | None = None, neighbours: str = "exact", y0: DataFrame | None = None, callback=None, every: int = 50, distance: str = "euclidean", standardise: bool = False, pca: int | None = None, **overrides) -> DataFrame:
+    """(i, y0, ..) of points (i, x): prepared, neighbours, perplexity, then embed_graph.
+
+    distance: euclidean, cosine (of unit vectors) or mahalanobis (of whitened ones); pca: so many components first."""
+    p = replace(p or EmbeddingParams(), **overrides)
+    if standardise:
+        points = preprocess.standardise(points)
+    if pca:
+        points = preprocess.pca(points, pca)
+    if distance == "cosine":
+        points = points.select("i", F.transform("x", lambda v: v / F.sqrt(dot(F.col("x"), F.col("x")))).alias("x"))
+    elif distance == "mahalanobis":
+        points = preprocess.whiten(points)
+    elif distance != "euclidean":
+        raise ValueError(f"no distance {distance}")
     find = {"exact": knn.exact_knn, "ivf": knn.ivf_knn, "ivfpq": knn.ivfpq_knn}[neighbours]
-    return embed_graph(affinity.perplexity_edges(find(points, p.k), p.u), p, y0)
+    return embed_graph(affinity.perplexity_edges(find(points, p.k), p.u), p, y0, callback, every)
 
 
 class GradientService:
@@ -220,7 +290,3 @@ def twin_errors(edges: DataFrame, y: DataFrame, p: EmbeddingParams, steps: int)
         alpha, momentum = schedule(p, step)
         state = _table(update(state, step_gradient(edges, own, p, alpha), p, momentum), "twin")
     return out
-
-
-def spread_ids(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("i"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from neighborfield.functions import kernels
 from neighborfield.operators import affinity, forces, formats, grid, knn, linalg, preprocess
 from neighborfield.plans import optimizer
 from neighborfield.params import EmbeddingParams
-from neighborfield.sources import synthetic
+from neighborfield.sources import readers, sinks, synthetic
 
 DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _u(seed: int, *keys: str | int) -> str:
+    """The generators' U(0, 1) of integer keys."""
+    m = synthetic.PRIME
+    return f"((list_reduce([{', '.join(f'({k})::BIGINT' for k in (seed + 1, *keys, 11, 5, 2))}], lambda s, k: (((s + k * 7919 + 1) % {m}) * ((s + k * 104729 + 3) % {m})) % {m}) + 0.5)::DOUBLE / {m})"
+
+
+def _gauss(seed: int, *keys: str | int) -> str:
+    return f"(sqrt(-2 * ln({_u(2 * seed + 1, *keys)})) * cos(2 * pi() * {_u(2 * seed + 2, *keys)}))"
+
+
 # neighbours and distances
 
 for _k in (10, 90):
@@ -214,6 +225,20 @@ for _axis, _by in ((1, "i"), (0, "j")):
     query(f"reduce_axis{_axis}", f"{E} SELECT {_by}, 0.5 * sum(v) AS s FROM e GROUP BY {_by}")(lambda s, d, a=_axis: linalg.reduce_axis(trade(s, d), a, 0.5))
     query(f"divide_axis{_axis}", f"{E} SELECT i, j, {_r(f'v / sum(v) OVER (PARTITION BY {_by})', 'v')} FROM e")(lambda s, d, a=_axis: rounded(linalg.divide_axis(trade(s, d), linalg.reduce_axis(trade(s, d), a), a)))
 
+_LAGS = "g AS (SELECT range - 24 AS lag, 1 / (1 + (range - 24) ** 2 / 9.0) + (range - 24) / 50.0 AS v FROM range(49))"
+
+
+def lags(spark: SparkSession) -> DataFrame:
+    lag = F.col("id") - 24
+    return spark.range(49).select(lag.alias("lag"), (1 / (1 + lag * lag / 9.0) + lag / 50.0).alias("v"))
+
+
+query("toeplitz_edges", f"{_LAGS} SELECT a.range AS i, b.range AS j, {_r('v', 'v')} FROM range(25) a, range(25) b, g WHERE lag = a.range - b.range")(lambda s, d: rounded(linalg.toeplitz_edges(lags(s), 25)))
+query("toeplitz_multiply", f"{X}, {_LAGS} SELECT a.i AS i0, {_r('sum(v * b.x)', 'x')} FROM x a, x b, g WHERE lag = a.i - b.i GROUP BY a.i")(lambda s, d: rounded(linalg.toeplitz_multiply(lags(s).withColumnRenamed("lag", "l0"), nation_vector(s, d).select(F.col("i").alias("i0"), "x"))))
+query("block_toeplitz_multiply", f"{X} SELECT a.i // 5 AS i0, a.i % 5 AS i1, {_r('sum(b.x / (1 + (a.i // 5 - b.i // 5) ** 2 + abs(a.i % 5 - b.i % 5)))', 'x')} FROM x a, x b GROUP BY a.i")(
+    lambda s, d: rounded(linalg.toeplitz_multiply(s.range(81).select(F.expr("id div 9 - 4").alias("l0"), F.expr("id % 9 - 4").alias("l1")).withColumn("v", 1 / (1 + F.col("l0") * F.col("l0") + F.abs("l1"))), nation_vector(s, d).select(F.expr("i div 5").alias("i0"), F.expr("i % 5").alias("i1"), "x")))
+)
+
 # forces and the optimiser's step
 
 query("center_mean", f"{Y} SELECT i, {_r('y0 - (SELECT avg(y0) FROM y)', 'y0')}, {_r('y1 - (SELECT avg(y1) FROM y)', 'y1')} FROM y")(lambda s, d: rounded(grid.centre(layout(s, d))))
@@ -289,8 +314,34 @@ _ZG = ", zg AS (SELECT sum((1 + 2 * (y0 * y0 + y1 * y1)) * phi0 - 2 * (y0 * phi1
 query("repulsive_grid_2d", GRID(2, _NODES(0.7)) + _ZG + f" SELECT i, {_r('f0', 'f0', 8)}, {_r('f1', 'f1', 8)} FROM fg")(lambda s, d: rounded(grid.repulsion_grid(layout(s, d), 0.7), 8))
 query("repulsive_grid_fft_2d", GRID(2, _NODES(0.7)) + _ZG + f" SELECT i, {_r('f0', 'f0', 8)}, {_r('f1', 'f1', 8)} FROM fg")(lambda s, d: rounded(grid.repulsion_grid(layout(s, d), 0.7, fft=True), 8))
 query("force_error", GRID(2, _NODES(0.7)) + _ZG + ", " + FREP[len(Y) + 2 :] + f", er AS (SELECT sqrt(sum((fg.f0 - fr.f0) ** 2 + (fg.f1 - fr.f1) ** 2) / sum(fr.f0 ** 2 + fr.f1 ** 2)) AS error FROM fg JOIN fr ON fg.i = fr.i) SELECT {_r('error', 'error')}, {_r('log10(error)', 'log10_error')} FROM er")(lambda s, d: rounded(forces.relative_error(grid.repulsion_grid(layout(s, d), 0.7), forces.repulsion(layout(s, d)))))
-query("shifted_grids")(lambda s, d: rounded(grid.shifted_average(layout(s, d), 2, 24), 5))
-query("box_interpolation_2d")(lambda s, d: rounded(grid.box_interpolation(layout(s, d)), 5))
+def _shifted(turn: int, shifts: int = 2, nodes: int = 24) -> str:
+    """Potentials on the grid that is moved by a part of a cell: GRID with moved points instead of those at the origin."""
+    whole = GRID(2, str(nodes + 1))
+    rest = whole[whole.index(", sp AS (") :]
+    part = f"st * {turn} / {shifts + 1}.0"
+    return f"""(WITH st AS (SELECT greatest(max(y0), max(y1)) / ({nodes} - 1) AS st FROM o0), o AS (SELECT i, y0 + {part} AS y0, y1 + {part} AS y1 FROM o0, st){rest}
+SELECT i, phi0, phi1 - phi0 * {part} AS phi1, phi2 - phi0 * {part} AS phi2 FROM r, st)"""
+
+
+_ORIGIN = Y + ", o0 AS (SELECT i, y0 - (SELECT min(y0) FROM y) AS y0, y1 - (SELECT min(y1) FROM y) AS y1 FROM y)"
+_MEANS = ", ".join(_r(f"avg(phi{m})", f"phi{m}", 5) for m in range(3))
+query("shifted_grids", _ORIGIN + ", u AS (" + " UNION ALL ".join(map(_shifted, range(3))) + f") SELECT o0.i, {_r('any_value(y0)', 'y0', 5)}, {_r('any_value(y1)', 'y1', 5)}, {_MEANS} FROM o0 JOIN u ON o0.i = u.i GROUP BY o0.i")(lambda s, d: rounded(grid.shifted_average(layout(s, d), 2, 24), 5))
+_SPOTS = [(2 * k + 1) / 6 for k in range(3)]
+_BASIS = lambda x: "[" + ", ".join(" * ".join(f"(({x} - {_SPOTS[m]!r}) / {_SPOTS[k] - _SPOTS[m]!r})" for m in range(3) if m != k) for k in range(3)) + "]"
+_BOX = _ORIGIN + f""", st AS (SELECT (most + 2.220446049250313e-16) / boxes AS step, boxes FROM (SELECT greatest(max(y0), max(y1)) AS most, greatest(50, least(240, ceil(greatest(max(y0), max(y1))))) AS boxes FROM o0)),
+b AS (SELECT i, y0, y1, step, least(floor(y0 / step), boxes - 1)::BIGINT AS b0, least(floor(y1 / step), boxes - 1)::BIGINT AS b1 FROM o0, st),
+l AS (SELECT *, {_BASIS('(y0 / step - b0)')} AS w0, {_BASIS('(y1 / step - b1)')} AS w1 FROM b),
+w AS (SELECT i, y0, y1, step / 3 AS step, b0 * 3 + k0.range AS c0, b1 * 3 + k1.range AS c1, w0[k0.range + 1] * w1[k1.range + 1] AS w FROM l, range(3) k0, range(3) k1),
+v AS (SELECT c0, c1, any_value(step) AS step, sum(w) AS q0, sum(w * y0) AS q1, sum(w * y1) AS q2 FROM w GROUP BY c0, c1),
+k AS (SELECT a.c0, a.c1, b.q0, b.q1, b.q2, 1 / (1 + ((a.c0 - b.c0) * a.step) ** 2 + ((a.c1 - b.c1) * a.step) ** 2) ** 2 AS k FROM v a, v b),
+phi AS (SELECT c0, c1, sum(k * q0) AS phi0, sum(k * q1) AS phi1, sum(k * q2) AS phi2 FROM k GROUP BY c0, c1),
+r AS (SELECT i, any_value(y0) AS y0, any_value(y1) AS y1, sum(w * phi0) AS phi0, sum(w * phi1) AS phi1, sum(w * phi2) AS phi2 FROM w JOIN phi USING (c0, c1) GROUP BY i)"""
+query("box_interpolation_2d", _BOX + " SELECT i, " + ", ".join(_r(c, c, 5) for c in ("y0", "y1", "phi0", "phi1", "phi2")) + " FROM r")(lambda s, d: rounded(grid.box_interpolation(layout(s, d)), 5))
+for _d, _h in ((1, 0.5), (2, 0.7), (3, 4.0)):
+    _ps = ", ".join(_r(f"phi{m}", f"phi{m}", 5) for m in range(_d + 1))
+    query(f"nuconv_unpadded_{_d}d", GRID(_d, _NODES(_h)) + f" SELECT i, {_ps} FROM r")(lambda s, d, n=_d, h=_h: rounded(grid.nuconv(layout(s, d, n), h, fft=True, padded=False).select("i", *(f"phi{m}" for m in range(n + 1))), 5))
+_CODE = lambda b: " + ".join(f"(((floor(y0 / most * {(1 << b) - 1})::BIGINT >> {k}) & 1) << {2 * k}) + (((floor(y1 / most * {(1 << b) - 1})::BIGINT >> {k}) & 1) << {2 * k + 1})" for k in range(b))
+query("grid_bins", f"{_ORIGIN}, c AS (SELECT {_CODE(4)} AS code FROM o0, (SELECT greatest(max(y0), max(y1)) AS most FROM o0)), g AS (SELECT code, count(*) AS n FROM c GROUP BY code) SELECT code, (sum(n) OVER (ORDER BY code) - n)::BIGINT AS start, n AS count FROM g")(lambda s, d: preprocess.bins(layout(s, d), 4))
 
 # preparation
 
@@ -301,18 +352,88 @@ query("pca_projection")(lambda s, d: rounded(preprocess.components(preprocess.pc
 query("metric_mahalanobis_knn")(lambda s, d: rounded(knn.exact_knn(preprocess.whiten(points(s, d)), 5), 4))
 query("without_nan", "SELECT vec_id AS i FROM embeddings WHERE len(list_filter(embedding, lambda v: isnan(v))) = 0")(lambda s, d: preprocess.without_nan(points(s, d)).select("i"))
 query("extract_dimensions", f"{P} SELECT i, x[4] AS a, x[1] AS b FROM p")(lambda s, d: preprocess.extract(points(s, d), [3, 0]).select("i", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b")))
-query("random_rows")(lambda s, d: synthetic.random_rows(points(s, d), 100).select("i"))
+query("random_rows", f"SELECT vec_id AS i FROM embeddings ORDER BY {_u(0, 'vec_id')}, vec_id LIMIT 100")(lambda s, d: synthetic.random_rows(points(s, d), 100).select("i"))
 
 # neighbours without a short SQL form, generated data, whole embeddings
 
 query("knn_ivf_k10")(lambda s, d: rounded(knn.ivf_knn(points(s, d), 10)))
 query("knn_ivfpq_k10")(lambda s, d: rounded(knn.ivfpq_knn(points(s, d), 10)))
 query("knn_lsh_k10")(lambda s, d: rounded(knn.lsh_knn(points(s, d), 10, 4.0)))
-query("source_two_blobs")(lambda s, d: rounded(preprocess.components(synthetic.two_blobs(s, 200, 3))))
-query("source_four_blobs")(lambda s, d: rounded(preprocess.components(synthetic.four_blobs(s, 200, 3))))
-query("source_clusters")(lambda s, d: rounded(preprocess.components(synthetic.clusters(s, 200, 4))))
-query("source_random_graph")(lambda s, d: rounded(synthetic.random_graph(s, 200)))
-query("initial_layout")(lambda s, d: rounded(optimizer.initial_layout(points(s, d), 2), 12))
+for _name, _find in (("ivf", lambda p: knn.ivf_knn(p, 10)), ("ivfpq", lambda p: knn.ivfpq_knn(p, 10)), ("lsh", lambda p: knn.lsh_knn(p, 10, 4.0))):
+    query(f"knn_{_name}_recall", "SELECT true AS at_least_nine_tenths")(lambda s, d, f=_find: knn.recall(f(points(s, d)), knn.exact_knn(points(s, d), 10)).select((F.col("recall") >= 0.9).alias("at_least_nine_tenths")))
+_GENERATED = "SELECT i.range AS i, m.range AS m, {} FROM range(200) i, range({}) m"
+query("source_two_blobs", _GENERATED.format(_r(f"CASE WHEN i.range < 100 THEN -10 ELSE 10 END + {_gauss(0, 'i.range', 'm.range')}", "v"), 3))(lambda s, d: rounded(preprocess.components(synthetic.two_blobs(s, 200, 3))))
+query("source_four_blobs", _GENERATED.format(_r(f"[-20, 20, 10, -10][i.range // 50 + 1] + 2 * {_gauss(0, 'i.range', 'm.range')}", "v"), 3))(lambda s, d: rounded(preprocess.components(synthetic.four_blobs(s, 200, 3))))
+query("source_clusters", _GENERATED.format(_r(f"CASE WHEN m.range >= i.range // 50 THEN 20 ELSE -20 END + 2 * {_gauss(0, 'i.range', 'm.range')}", "v"), 50))(lambda s, d: rounded(preprocess.components(synthetic.clusters(s, 200, 4))))
+query("source_uniform", _GENERATED.format(_r(_u(0, "i.range", "m.range"), "v"), 4))(lambda s, d: rounded(preprocess.components(synthetic.uniform_points(s, 200, 4))))
+_EDGES = f"e AS (SELECT j.range AS j, k.range + 1 AS k FROM range(200) j, range(11) k WHERE k.range < floor({_u(0, 'j.range', 1)} * 10) + 2)"
+query("source_random_graph", f"{_EDGES} SELECT floor({_u(0, 'j', 'k', 2)} * 200)::BIGINT AS i, j, {_r('sum(' + _u(0, 'j', 'k', 3) + ')', 'v')} FROM e GROUP BY 1, 2")(lambda s, d: rounded(synthetic.random_graph(s, 200)))
+query("source_charges", f"SELECT range AS i, {_r('y0', 'y0')}, {_r('sin(10 * y0) + cos(2000 * y0)', 'q')} FROM (SELECT range, {_u(0, 'range')} AS y0 FROM range(200))")(lambda s, d: rounded(synthetic.charge_signal(s, 200)))
+query("initial_layout", f"SELECT vec_id AS i, {_r('1e-4 * ' + _gauss(0, 'vec_id', 0), 'y0', 12)}, {_r('1e-4 * ' + _gauss(0, 'vec_id', 1), 'y1', 12)} FROM embeddings")(lambda s, d: rounded(optimizer.initial_layout(points(s, d), 2), 12))
+query("initial_layout_uniform", f"SELECT vec_id AS i, {_r('1e-4 * ' + _u(0, 'vec_id', 0), 'y0', 12)}, {_r('1e-4 * ' + _u(0, 'vec_id', 1), 'y1', 12)} FROM embeddings")(lambda s, d: rounded(optimizer.initial_layout(points(s, d), 2, gaussian=False), 12))
+
+# files, written and read again
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{optimizer.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("source_points_text", P + f" SELECT i, unnest(range(len(x))) AS m, {_r('unnest(x)', 'v')} FROM p")
+def _(s, d):
+    own, path = points(s, d), _file(s, "points")
+    sinks.points_text(own, path)
+    return rounded(preprocess.components(readers.points_text(s, path)))
+
+
+@query("source_points_plain", P + f" SELECT i, unnest(range(len(x))) AS m, {_r('unnest(x)', 'v')} FROM p WHERE i < 50")
+def _(s, d):
+    path = _file(s, "plain")
+    sinks.points_text(points(s, d), path, header=False)
+    return rounded(preprocess.components(readers.points_plain(s, path, 50)))
+
+
+@query("sink_layout_text", f"{Y} SELECT i, {_r('y0', 'y0')}, {_r('y1', 'y1')} FROM y")
+def _(s, d):
+    path = _file(s, "layout")
+    sinks.layout_text(layout(s, d), path)
+    return rounded(readers.layout_text(s, path))
+
+
+@query("source_matrix_market", f"{E} SELECT i, j, v FROM e")
+def _(s, d):
+    path = _file(s, "graph")
+    sinks.graph_text(trade(s, d), 25, path)
+    return rounded(readers.matrix_market(s, path))
+
+
+@query("source_matrix_symmetric", f"{E}, u AS (SELECT i, j, v FROM e WHERE i >= j) SELECT i, j, v FROM u UNION ALL SELECT j, i, v FROM u WHERE i <> j")
+def _(s, d):
+    path = _file(s, "graph")
+    sinks.graph_text(trade(s, d).filter("i >= j"), 25, path)
+    return rounded(readers.matrix_market(s, path, symmetric=True))
+
+
+@query("sink_snapshots", f"{Y} SELECT i, {_r('y0', 'y0')}, {_r('y1', 'y1')}, 0 AS iter FROM y UNION ALL SELECT i, {_r('2 * y0', 'y0')}, {_r('2 * y1', 'y1')}, 50 FROM y")
+def _(s, d):
+    path, y = _file(s, "snapshots"), layout(s, d)
+    sinks.snapshot(y, 0, path)
+    sinks.snapshot(y.select("i", (2 * F.col("y0")).alias("y0"), (2 * F.col("y1")).alias("y1")), 50, path)
+    return rounded(s.read.parquet(path))
+
+
+query("sink_stage_times", f"SELECT event_type AS stage, {_r('sum(value)', 'total_ms')}, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: rounded(sinks.stage_times(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("iter"), F.col("event_type").alias("stage"), F.col("value").alias("ms")))))
+
+# whole embeddings
+
+
+@query("embed_points_cost", "SELECT true AS falls, true AS finite, 21 AS logged")
+def _(s, d):
+    log = optimizer.cost_log(affinity.perplexity_edges(knn.exact_knn(points(s, d), 90), 30))
+    first, last = F.min(F.struct("iter", "kl"))["kl"], F.max(F.struct("iter", "kl"))["kl"]
+    return log.agg((last < first).alias("falls"), F.every(~F.isnan("kl") & (F.abs("kl") < 1e6)).alias("finite"), F.count("*").alias("logged"))
+
+
 query("embed_graph")(lambda s, d: rounded(optimizer.embed_graph(trade(s, d), lam=5.0)))
 query("embed_points")(lambda s, d: rounded(optimizer.embed_points(points(s, d))))
 

@@ -19,6 +19,15 @@ def layout_text(y: DataFrame, path: str, mode: str = "error") -> None:
     y.orderBy("i").select(F.concat_ws(" ", *(F.col(c).cast("string") for c in axes(y)))).write.mode(mode).text(path)
 
 
+def points_text(points: DataFrame, path: str, header: bool = True, mode: str = "error") -> None:
+    """A header "n d", then a line for each point in order of i: one file, written by one task line by line."""
+    lines = points.select(F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))).alias("value"), "i")
+    if header:
+        size = points.agg(F.concat_ws(" ", F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).alias("value"), F.lit(-1).cast("long").alias("i"))
+        lines = size.unionByName(lines)
+    lines.repartition(1).sortWithinPartitions("i").select("value").write.mode(mode).text(path)
+
+
 def layout_parquet(y: DataFrame, path: str, mode: str = "error") -> None:
     y.write.mode(mode).parquet(path)
 

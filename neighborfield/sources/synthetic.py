@@ -7,10 +7,25 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neighborfield.functions.kernels import bind
+
+
+#: Modulus of the integer hash; products of two remainders fit a signed long.
+PRIME = 2147483647
+
+
+def mixed(state: Column, key: Column) -> Column:
+    """The next state of an integer hash: plain arithmetic, the same in any engine."""
+    key = F.pmod(key, F.lit(PRIME))
+    return bind(state, lambda x: (F.pmod(x + key * 7919 + 1, F.lit(PRIME)) * F.pmod(x + key * 104729 + 3, F.lit(PRIME))) % PRIME)
+
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """U(0, 1) from a hash."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """U(0, 1) from a hash of integer keys."""
+    state = F.lit(seed + 1).cast("long")
+    for k in (*keys, F.lit(11), F.lit(5), F.lit(2)):
+        state = mixed(state, (F.col(k) if isinstance(k, str) else k).cast("long"))
+    return (state + 0.5) / float(PRIME)
 
 
 def normal(seed: int, *keys: Column | str) -> Column:
@@ -51,9 +66,9 @@ def layout(points: DataFrame, d: int) -> DataFrame:
 
 def random_graph(spark: SparkSession, n: int, least: int = 2, most: int = 11, seed: int = 0) -> DataFrame:
     """Edges (i, j, v): least..most entries in each column with U(0, 1) values; equal places add up."""
-    degree = F.floor(uniform(seed, F.col("id"), F.lit("degree")) * (most - least + 1)).cast("int") + least
+    degree = F.floor(uniform(seed, F.col("id"), F.lit(1)) * (most - least + 1)).cast("int") + least
     each = spark.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(1), degree)).alias("k"))
-    edges = each.select(F.floor(uniform(seed, "j", "k", F.lit("row")) * n).cast("long").alias("i"), "j", uniform(seed, "j", "k", F.lit("value")).alias("v"))
+    edges = each.select(F.floor(uniform(seed, "j", "k", F.lit(2)) * n).cast("long").alias("i"), "j", uniform(seed, "j", "k", F.lit(3)).alias("v"))
     return edges.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -65,4 +80,4 @@ def charge_signal(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 def random_rows(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n random points, by the order of a hash."""
-    return points.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(n)
+    return points.orderBy(uniform(seed, "i"), "i").limit(n)
