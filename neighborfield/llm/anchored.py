@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neighborfield.llm.runtime import input_bytes, texts_of, written
+from neighborfield.llm.runtime import input_bytes, releasing, texts_of, written
 
 BLOCK_BYTES = 6 << 20
 #: Hashes that a task compares, about, and context bytes that a task resolves.
@@ -158,7 +158,7 @@ def blocks_of(docs: DataFrame, text_col: str, name: str, block_bytes: int = BLOC
         if held:
             yield block()
 
-    return written(columns.mapInArrow(run, "block long, payload binary"), name)
+    return written(columns.mapInArrow(releasing(run), "block long, payload binary"), name)
 
 
 def rows_of(payload: bytes) -> pa.Table:
@@ -224,8 +224,8 @@ def repeated_anchors(blocks: DataFrame, read: Reader, w: Windows, ranges: int, b
             rows.append((b, number, np.packbits(hit).tobytes()))
         return arrow("block long, range long, flags binary", rows)
 
-    sent = blocks.mapInArrow(send, "range long, block long, hashes binary, own binary")
-    return written(sent.groupBy("range").applyInArrow(compare, "block long, range long, flags binary"), "flags")
+    sent = blocks.mapInArrow(releasing(send), "range long, block long, hashes binary, own binary")
+    return written(sent.groupBy("range").applyInArrow(releasing(compare), "block long, range long, flags binary"), "flags")
 
 
 def range_edges(ranges: int, bits: int) -> np.ndarray:

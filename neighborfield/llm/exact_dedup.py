@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.llm.runtime import documents, utf8, written
+from neighborfield.llm.runtime import documents, releasing, utf8, written
 
 CHUNK = 4096
 COMPARE_BYTES = 1 << 16
@@ -90,7 +90,7 @@ def _with_fingerprint(keep_text: bool, first_bits: int):
             rest = [b["text"]] if keep_text else [b["doc_id"], b["text_sha256"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), pa.array(fp), *rest], names=["n_bytes", "fp", *(["text"] if keep_text else ["doc_id", "text_sha256"])])
 
-    return run
+    return releasing(run)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_bits: int = 62) -> DataFrame:

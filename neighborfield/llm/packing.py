@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from neighborfield.llm.runtime import Remembered, documents, laid_out, places, slices, texts_of, written
+from neighborfield.llm.runtime import Remembered, documents, laid_out, places, releasing, slices, texts_of, written
 
 WINDOW = 4096
 CACHED_CHARS = 64
@@ -124,7 +124,10 @@ def cut(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: s
             crc = [zlib.crc32(raw[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+        if (remembered := _tokenizer(path)[1]) is not None:
+            remembered.clear()  # a worker lives on after its task
+
+    return documents(docs, id_col, text_col).mapInArrow(releasing(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(lengths: np.ndarray, window: int, per_length: int = 12, slack: int = 0) -> list[tuple[int, ...]]:

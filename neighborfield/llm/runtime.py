@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and Python: both hold it several times, and 10,000 texts can be very long.
+BATCH_BYTES = 8 << 20
 #: Order of rows without an id: after all others.
 NULL_ID = (1 << 63) - 1
 
@@ -37,12 +41,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives back what a worker has freed: workers live on after a task, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # only glibc has it
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """run, a function of a task's batches or of one or two tables of a group, with release() after it."""
+    if isgeneratorfunction(run):
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return each
+
+    def one(a: pa.Table) -> pa.Table:
+        try:
+            return run(a)
+        finally:
+            release()
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return run(a, b)
+        finally:
+            release()
+
+    return two if len(signature(run).parameters) == 2 else one
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), so that no other column's name can clash; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -95,6 +139,9 @@ class Remembered:
                     new[c] = known
         return out
 
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
     def forget(self, chunks: list[str], longer: int) -> None:
         for c in chunks:
             if len(c) > longer:

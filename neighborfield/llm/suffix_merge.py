@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neighborfield.llm.anchored import Windows, anchors, arrow, blocks_of, flagged, packed, ranges_for, repeated_anchors, rows_of, structs, unpacked, utf8_texts
-from neighborfield.llm.runtime import ids_of, written
+from neighborfield.llm.runtime import ids_of, releasing, written
 
 #: 50-byte windows; a gram of 24 bytes makes about one byte in 14 an anchor.
 WINDOW, GRAM = 50, 24
@@ -301,8 +301,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             out.append((int(own_range[by_range[lo]]), block["block"][0].as_py(), lengths, rests, packed(c.least[own].astype("<i8")), packed(c.spot[own].astype("<u4"))))
         return arrow("range long, block long, lengths binary, rests binary, docs binary, spots binary", out)
 
-    runs = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send, "range long, block long, lengths binary, rests binary, docs binary, spots binary")
-    masks = written(runs.groupBy("range").applyInArrow(_resolve(w), "block long, spots binary, masks binary"), "masks")
+    runs = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(releasing(send), "range long, block long, lengths binary, rests binary, docs binary, spots binary")
+    masks = written(runs.groupBy("range").applyInArrow(releasing(_resolve(w)), "block long, spots binary, masks binary"), "masks")
     none = F.lit(None)
     replies = flags.select("block", "range", "flags", none.cast("binary").alias("spots"), none.cast("binary").alias("masks")).union(masks.select("block", none.cast("long"), none.cast("binary"), "spots", "masks"))
     schema = T.StructType([T.StructField("row", structs(docs)), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
@@ -338,4 +338,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         row = pa.StructArray.from_arrays([c.combine_chunks() for c in rows.columns], names=names)
         return pa.table([row, pa.array(np.diff(at)), pa.array(n_removed), pa.array(n_spans), kept], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing(finish), schema)
