@@ -15,6 +15,7 @@ stay. An empty table gives no rows. Other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from neighborfield.llm import shingle_links
 from neighborfield.llm.components import components
-from neighborfield.llm.runtime import documents, written
+from neighborfield.llm.runtime import documents, releasing, written
 
 SEED = 42
 LEAF_POINTS = 4096
@@ -195,38 +196,30 @@ def near_documents(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", tex
     The trees give what fingerprints of five-word shingles link within radius bits. A similarity of 0.8 is about ten of
     64 bits, where no vantage point parts anything any more; so texts that agree on a band of minima are candidates as
     well (with probability 0.99995 at 0.8). Candidates whose sizes or low bits of the minima rule the similarity out
-    (seven deviations away) are not read, nor are pairs that earlier links join; each other one is verified by its
+    (seven deviations away) are not read; each other one is verified by its
     shingles. First the members of a band's bucket meet its smallest node, which joins a group of any size without its
-    pairs; then members outside the bucket's largest group meet members of other groups."""
+    pairs; then those in buckets with several groups go through an exact prefix filter."""
     rows = documents(docs, id_col, text_col).withColumn("node", F.xxhash64("text"))
-    made = written(rows.select("node", "text").mapInArrow(shingle_links.describe, shingle_links.DESCRIBED), "shingle-minima").dropDuplicates(["node"])
+    made = written(rows.select("node", "text").mapInArrow(releasing(shingle_links.describe), shingle_links.DESCRIBED), "shingle-minima").dropDuplicates(["node"])
     kept = ["node", "size", "bits1", "bits2"]
     every = made.select("node", F.explode("bands").alias("bucket"))
-    firsts = written(every.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shingle-firsts")
-    members = written(made.select(*kept, F.explode("bands").alias("bucket")).join(firsts, "bucket"), "shingle-buckets")
+    shared = written(every.groupBy("bucket").count().filter("count > 1").select("bucket"), "shingle-shared")
+    members = written(made.select(*kept, F.explode("bands").alias("bucket")).join(shared, "bucket", "left_semi"), "shingle-buckets")
 
     points = written(made.groupBy("fp").agg(F.min("node").alias("head")), "points")
     same = made.join(points, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     close = near_fingerprints(points.select("fp"), radius).join(points.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-    pairs = written(same.union(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "tree-pairs")
+    heads = written(members.groupBy("bucket").agg(F.min(F.struct(*kept)).alias("x")), "shingle-heads")
+    met = members.select("bucket", F.struct(*kept).alias("y")).join(heads, "bucket").filter((F.col("x.node") != F.col("y.node")) & shingle_links.possible("x", "y"))
+    pairs = written(reduce(DataFrame.union, [same, close.select("x", "y"), met.select("x.node", "y.node")]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     nodes = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = written(rows.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingle-texts")
-    links = shingle_links.linked(pairs, texts, "tree-links")
-
-    def grouped(found: DataFrame, name: str) -> DataFrame:
-        return written(members.join(components(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), name)
-
-    named = grouped(links, "tree-groups")
-    heads = named.filter("node = first").select("bucket", F.struct("label", *kept).alias("x"))
-    pairs = named.filter("node <> first").select("bucket", F.struct("label", *kept).alias("y")).join(heads, "bucket").filter((F.col("x.label") != F.col("y.label")) & shingle_links.possible("x", "y"))
-    links = links.union(shingle_links.linked(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts, "shingle-links"))
-
-    named = grouped(links, "shingle-groups")
-    largest = named.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("groups")).filter("groups > 1").select("bucket", F.col("top.label").alias("top"))
-    mixed = named.filter("node <> first").join(largest, "bucket")
-    own, other = mixed.filter("label <> top").select("bucket", F.struct("label", *kept).alias("x")), mixed.select("bucket", F.struct("label", *kept).alias("y"))
-    pairs = own.join(other, "bucket").filter((F.col("x.label") != F.col("y.label")) & shingle_links.possible("x", "y"))
-    links = links.union(shingle_links.linked(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), texts, "shingle-more-links"))
+    links = shingle_links.linked(pairs, texts, "shingle-links")
+
+    named = written(members.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "shingle-groups")
+    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
+    left = written(named.join(written(several, "shingle-unsettled"), "bucket", "left_semi").select("node", "label", "bits1", "bits2").distinct(), "shingle-left")
+    links = links.union(shingle_links.apart(left, texts))
 
     found = written(rows.select("doc_id", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-roots")
     return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "component_id")
