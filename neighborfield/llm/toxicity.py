@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.llm.runtime import texts_of
+from neighborfield.llm.runtime import release, texts_of
 
 #: At most about so many labelled rows are learned from.
 SAMPLE_ROWS = 10_000
@@ -84,25 +84,26 @@ class Model:
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """votes: rows x voters, 0 or 1. start: first posterior. (posterior, votes in class 1 and 0 by voter, evidence share)."""
-    posterior = start.astype(float)
+    posterior, votes = start.astype(float), votes.astype(np.float32)
     m = votes.shape[1]
     anchor = np.log(start / (1 - start))  # one more voter, whose accuracy is given: without it the classes may swap roles
     fired, quiet = votes, np.ones(m)
     for step in range(rounds):
-        on = (posterior @ votes + 0.5) / (posterior.sum() + 2)
-        off = ((1 - posterior) @ votes + 0.05) / ((1 - posterior).sum() + 2)
+        fit = posterior.astype(np.float32)
+        on = (fit @ votes + 0.5) / (posterior.sum() + 2)
+        off = ((1 - fit) @ votes + 0.05) / ((1 - posterior).sum() + 2)
         if step % 5 == 0:  # correlations within a class, beyond what the class explains
             strength = np.zeros((m, m))
             for weight, rate in ((posterior, on), (1 - posterior, off)):
                 total = weight.sum() + 1e-9
-                both = (votes * weight[:, None]).T @ votes / total - np.outer(rate, rate)
+                both = sum((votes[a : a + 1000] * weight[a : a + 1000, None]).T @ votes[a : a + 1000] for a in range(0, len(votes), 1000)) / total - np.outer(rate, rate)
                 spread = np.sqrt(rate * (1 - rate)) + 1e-6
                 strength = np.maximum(strength, np.clip(both / np.outer(spread, spread), 0, 1) * min(1.0, total / 20))
             np.fill_diagonal(strength, 0)
-            fired = votes / (1 + votes @ strength)  # a vote counts less beside others that it goes with
+            fired = np.concatenate([votes[a : a + 1000] / (1 + votes[a : a + 1000] @ strength) for a in range(0, len(votes), 1000)], dtype=np.float32)  # a vote counts less beside others that it goes with
             quiet = 1 / (1 + strength.sum(1))
         prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-        z = anchor + np.log(prior / (1 - prior)) + fired @ np.log(on / off) + (1 - votes) @ (quiet * np.log((1 - on) / (1 - off)))
+        z = anchor + np.log(prior / (1 - prior)) + fired @ np.log(on / off).astype(np.float32) + (silent := quiet * np.log((1 - on) / (1 - off))).sum() - votes @ silent.astype(np.float32)
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return posterior, np.stack([on, off]), quiet
 
@@ -129,9 +130,6 @@ def fit(rows: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray) -> Mode
         for w in LEXICON:
             weights[hashed("w " + w)] = 6
         return Model(weights, -3.0, len(LEXICON))
-    at = np.cumsum([0, *map(len, rows)])
-    columns = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), np.diff(at))
     size = 1 << HASH_BITS
     # Copies of one text would make its rare words look telling: of rows with the same four smallest hashes one counts.
     least = {}
@@ -141,7 +139,10 @@ def fit(rows: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray) -> Mode
     counts = np.zeros(len(rows))
     counts[list(least.values())] = 1
     n_on, n_off = max(1.0, (toxic * counts).sum()), max(1.0, ((1 - toxic) * counts).sum())
-    on, off = np.bincount(columns, weights=(toxic * counts)[row], minlength=size), np.bincount(columns, weights=((1 - toxic) * counts)[row], minlength=size)
+    on, off = np.zeros(size), np.zeros(size)
+    for f, label, counted in zip(rows, toxic, counts, strict=True):  # a row's features are distinct
+        if counted:
+            (on if label else off)[f] += 1
     base, rate = n_on / (n_on + n_off), np.clip(on / np.maximum(on + off, 1), 1e-9, 1 - 1e-9)
     #: Log-likelihood ratio of "goes with the label" against chance, for features that are likelier in toxic texts.
     evidence = np.where(rate > base, on * np.log(rate / base) + off * np.log((1 - rate) / (1 - base)), 0)
@@ -152,8 +153,9 @@ def fit(rows: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray) -> Mode
     number = np.full(size, -1)
     number[voters] = np.arange(len(voters))
     votes = np.zeros((len(rows), len(voters) + len(PATTERNS)), np.float32)
-    hit = number[columns] >= 0
-    votes[row[hit], number[columns[hit]]] = 1
+    for i, f in enumerate(rows):
+        own = number[f]
+        votes[i, own[own >= 0]] = 1
     for i in range(len(PATTERNS)):
         votes[:, len(voters) + i] = patterns >> i & 1
     lexical = votes[:, number[[hashed("w " + w) for w in LEXICON]]].max(1)
@@ -163,9 +165,8 @@ def fit(rows: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray) -> Mode
     chosen = np.unique(np.concatenate([chosen[evidence[chosen] >= FEATURE_EVIDENCE], voters]))
     number = np.full(size, -1)
     number[chosen] = np.arange(len(chosen))
-    own = number[columns]
-    keep = own >= 0
-    w, b = logistic(np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(rows)))]), own[keep], posterior, len(chosen))
+    own = [k[k >= 0] for k in (number[f] for f in rows)]
+    w, b = logistic(np.cumsum([0, *map(len, own)]), np.concatenate(own), posterior, len(chosen))
     weights[chosen] = w
     return Model(weights, b, votes.shape[1])
 
@@ -187,10 +188,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             own = texts_of(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([features(t).tobytes() for t in own], pa.binary()), pa.array([pattern_votes(t) for t in own], pa.int32())], names=["doc_id", "features", "patterns"])
+        _WORDS.clear()
+        release()
 
     found = chosen.join(texts, "doc_id").select("doc_id", "text").mapInArrow(extract, "doc_id long, features binary, patterns int").join(chosen, "doc_id").orderBy("doc_id").limit(2 * sample_rows).toArrow()
-    rows = [np.frombuffer(x.as_py(), np.uint32) for x in found["features"]]
-    return fit(rows, found["patterns"].to_numpy().astype(np.int64), (found["toxic"].to_numpy() > 0).astype(float))
+    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in found["features"]]
+    try:
+        return fit(rows, found["patterns"].to_numpy().astype(np.int64), (found["toxic"].to_numpy() > 0).astype(float))
+    finally:
+        del rows, found
+        release()
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -206,6 +213,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
         own = Model(full, bias, 0)
         for batch in texts:
             yield pd.Series(own.scores(["" if t is None else t for t in batch]))
+        _WORDS.clear()  # a worker lives on after its task
+        release()
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(f"`{text_col}`")))
