@@ -12,7 +12,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node reachable.
 
     Each round maps every node to the smallest node next to it, follows that twice, and contracts the edges. Only
-    aggregates that combine before the shuffle and joins are used, so a node with very many edges is no hot task."""
+    aggregates that combine before the shuffle and joins are used. A node with very many edges is a hot key of the joins,
+    which the adaptive planner has to split."""
     links = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct(), "links")
     labels = None
     for _ in range(rounds):

@@ -3,8 +3,10 @@
 A text's UTF-8 bytes are cut into chunks; each chunk hashes to sum(byte * base^(bytes after it in the chunk)) modulo
 two primes, and hashes combine as left * base^len(right) + right, so the parts of a huge text can be hashed in any
 order and on their own. Texts with equal length and fingerprint are then compared chunk by chunk: an aggregate over
-(fingerprint, chunk number, chunk) leaves one row per different chunk, so a group of copies of any size is reduced
-before the shuffle. Where chunks differ under one fingerprint, the group is split by a SHA-256 of the text.
+(fingerprint, chunk number, chunk) leaves one row per different chunk. The texts of equal fingerprints are shuffled
+once by fingerprint, so a large group of copies is a hot key of that join, which the adaptive planner has to split; the
+chunks are combined before their own shuffle. A text is hashed in one call, chunk by chunk; combine() is the rule by which
+parts hashed apart would be joined. A very long text is one row. Where chunks differ under one fingerprint, the group is split by a SHA-256 of the text.
 
 Nulls: a null text is an empty one; all empty texts are copies of each other. A null doc_id never stays when a copy
 has an id; if none has, keep_id is null and the rows count as not kept. Rows that share a doc_id and a text share the

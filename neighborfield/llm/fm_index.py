@@ -6,6 +6,10 @@ is kept as a wavelet matrix of packed bits with running counts. Backward search
 once and drops a window as soon as it matches nothing but itself: its matching statistic is then below the threshold.
 Windows that reach the full length ask a range minimum over the suffix-array interval for the earliest occurrence.
 
+What it is not: contexts that are equal as a whole are settled by equality of strings, in the block and in the shard, and
+never meet the index; the suffix array is kept whole beside the wavelet matrix, not sampled; documents are not streamed
+against shards. A very long text is one block, whose words one task holds as a list.
+
 A null text has no words. Rows with the same doc_id are one document's text starting at the same place: neither is
 earlier. A null doc_id comes after all others. Documents with fewer words than a window keep them all. An empty table
 gives no rows. All input columns come back in one column named row, so that no name can clash.

@@ -4,7 +4,8 @@ Reference points (pivots) are a bounded sample of the vectors, none close to ano
 inverted list of (label, pivot) holds the vectors that have the pivot among those. Two vectors of a list are candidates
 when they share at least `shared` pivots; they are compared in the list of their smallest shared pivot only, so that
 each pair counts once, by cosine in double precision. A list longer than a block is dealt out as pairs of blocks; no
-pair leaves a task, only counts of links and a spanning forest. Equal vectors of a label collapse to one row first.
+pair leaves a task, only counts of links and a spanning forest. Equal vectors of a label collapse to one row first. Among equally near pivots the order is that of the selection, the same
+for equal vectors; vectors longer than the sample's longest are described by their first components only.
 
 A vector that is null, empty or zero, or holds a null or a component that is not finite, or whose label or vec_id is
 null, links with nothing: it has no links and is its own component (null for a null vec_id, then not kept). Vectors of

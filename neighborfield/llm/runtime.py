@@ -177,8 +177,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects; decides how many parts there are, never which rows count."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def parts_for(df: DataFrame, mb_each: int, least: int = 8) -> int:
-    """Parts of about mb_each MB of what df reads; grows with the input."""
-    return max(least, min(1 << 20, input_bytes(df) // (mb_each << 20) + 1))

@@ -8,6 +8,9 @@ is divided by one plus its correlations with the others that vote, so that ten v
 It is fitted by expectation maximisation on the votes; the given label is one more voter, right 19 times out of 20. A logistic
 regression on the features is then trained on the posteriors, never on the labels themselves, and scores every text.
 
+What it is not: the label starts the posterior and stays a voter, so accuracies are not learned from the voters' agreement
+alone; correlations discount evidence and are not factors of the generative model. A very long text is one row.
+
 Score: 0 to 1, higher for likelier toxic. Null and empty texts get the score of a text without features. Without any
 labelled row, or with labels of one kind only, the lexicon and pattern voters alone make the label model. A null label
 or doc_id is not learned from. Repeated rows are scored each. An empty table gives no rows; other columns are ignored.

@@ -64,6 +64,29 @@ def test_few_pivots_lose_no_link(spark, n, noise):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want
 
 
+@pytest.mark.parametrize("n, width, mean", [(200, 32, 2.0), (400, 64, 1.0), (600, 16, 0.5)])
+def test_recall_where_all_vectors_lean_one_way(spark, n, width, mean):
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, width)) + mean
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, base + 0.02 * rng.normal(size=base.shape)]))]
+    found = {r.vec_id: r.n_links for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = {k: links for k, (links, _) in brute(rows).items()}
+    assert sum(found.values()) >= 0.9 * sum(want.values()) > 0 and all(found[k] <= want[k] for k in want)
+
+
+def test_vectors_of_several_widths_and_ties(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for width in (4, 12, 12, 40):
+        base = rng.normal(size=(60, width))
+        rows += [(len(rows) + i, v.tolist(), i % 2) for i, v in enumerate(np.concatenate([base, base + 0.02 * rng.normal(size=base.shape)]))]
+    rows += [(1000 + i, np.eye(8)[i % 8].tolist(), 0) for i in range(24)]  # equally near to many pivots
+    found = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute(rows)
+    assert sum(n for n, _ in found.values()) >= 0.9 * sum(n for n, _ in want.values())
+    assert all(found[1000 + i] == (2, 1000 + i % 8) for i in range(24))
+
+
 def test_toxic_words_are_learned_and_held_out_rows_are_not_used(spark):
     rng = np.random.default_rng(0)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
