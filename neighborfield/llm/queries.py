@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.llm import bpe, fm_index, license_scan, line_dedup, packing, pivot_index, simhash, suffix_merge, toxicity
+from neighborfield.llm import bpe, decontaminate, fm_index, license_scan, line_dedup, packing, pivot_index, simhash, source_audit, suffix_merge, toxicity, vector_codes
 from neighborfield.llm.exact_dedup import exact_duplicates
 from neighborfield.llm.runtime import table
 
@@ -68,6 +68,21 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return coded.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,5 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_source_audit": op13_source_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.scan_sql(), "op11_vector_codes": vector_codes.SQL, "op12_decontaminate": decontaminate.SQL, "op13_source_audit": source_audit.SQL}

@@ -174,6 +174,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             at, done = to, int(ends[to - 1])
 
 
+#: Keys with more than this part of all rows count as hot.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with lookup, which has one row for each key and in `count` how many of `total` rows have the key.
+
+    Keys of more than a thousandth of all rows are fewer than a thousand for each column that takes part with `total`
+    rows, so they are broadcast; the others meet in a shuffle, where none is hot. Both tables are read twice."""
+    hot = F.col(count) * HOT_SHARE > total
+    near = rows.join(F.broadcast(lookup.filter(hot)), key)
+    far = rows.join(F.broadcast(lookup.filter(hot).select(*key)), key, "left_anti").join(lookup.filter(~hot), key)
+    return near.unionByName(far)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the optimizer expects; decides how many parts there are, never which rows count."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
