@@ -34,12 +34,13 @@ KEY = ["d", "k"]
 
 
 def line_ids(base: DataFrame) -> DataFrame:
-    """base: (d, k, text). (g, past, d, k, pos, id1, id2): each line that counts; g is its address, past the first address
-    after its document, pos its place."""
-    ids = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(x).alias("id1"), F.xxhash64(F.lit("second"), x).alias("id2")))
+    """base: (d, k, text). (g, past, d, k, pos, line, id1, id2): each line that counts; g is its address, past the first
+    address after its document, pos its place among those that count, line its number among all of the text."""
+    every = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), (F.trim(x) != "").alias("counts"), F.xxhash64(x).alias("id1"), F.xxhash64(F.lit("second"), x).alias("id2")))
+    ids = F.transform(F.filter(every, lambda z: z["counts"]), lambda z: F.struct(z["line"].alias("line"), z["id1"].alias("id1"), z["id2"].alias("id2")))
     texts = written(base.select("d", "k", ids.alias("ids")).filter("size(ids) > 0"), "line-ids")
     placed = texts.dropDuplicates(KEY).orderBy(*KEY).select("d", "k", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "id")).withColumn("g", F.monotonically_increasing_id())
-    return written(placed.select("g", (F.col("g") - F.col("pos") + F.col("n")).alias("past"), "d", "k", "pos", "id.id1", "id.id2"), "lines")
+    return written(placed.select("g", (F.col("g") - F.col("pos") + F.col("n")).alias("past"), "d", "k", "pos", "id.line", "id.id1", "id.id2"), "lines")
 
 
 def _ranked(suffixes: DataFrame, parts: list[str], length: int) -> DataFrame:
@@ -73,10 +74,10 @@ def maximal_runs(lines: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     for j in range(len(levels) - 2, -1, -1):
         here = levels[j].select(F.col("g").alias("at"), F.col("rank").alias("here"))
         there = levels[j].select(F.col("g").alias("from"), F.col("rank").alias("there"))
-        placed = runs.withColumn("at", F.col("g") + F.col("length")).withColumn("from", F.col("source") + F.col("length"))
-        same = (F.col("level") > j) & (F.col("at") < F.col("past")) & (F.col("from") < F.col("source_past")) & (F.col("here") == F.col("there"))
-        runs = placed.join(here, "at", "left").join(there, "from", "left").withColumn("length", F.col("length") + F.when(same, F.lit(1 << j)).otherwise(0))
-        runs = written(runs.drop("at", "from", "here", "there"), f"line-runs-{j}")
+        placed = runs.filter(F.col("level") > j).withColumn("at", F.col("g") + F.col("length")).withColumn("from", F.col("source") + F.col("length"))
+        same = (F.col("at") < F.col("past")) & (F.col("from") < F.col("source_past")) & (F.col("here") == F.col("there"))
+        longer = placed.join(here, "at", "left").join(there, "from", "left").withColumn("length", F.col("length") + F.when(same, F.lit(1 << j)).otherwise(0))
+        runs = written(runs.filter(F.col("level") <= j).unionByName(longer.drop("at", "from", "here", "there")), f"line-runs-{j}")
     return runs.filter(F.col("length") >= least).select("g", "source", "length")
 
 
@@ -87,13 +88,12 @@ def remove_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str
     runs = maximal_runs(lines, least).join(lines.select("g", "d", "k", "pos"), "g")
     before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("to", F.col("pos") + F.col("length")).withColumn("done", F.coalesce(F.max("to").over(before), F.lit(0)))
-    spans = runs.filter("to > done").groupBy(*KEY).agg(F.collect_list(F.struct(F.greatest("pos", "done").alias("a"), F.col("to").alias("b"))).alias("spans"))
-    own = F.split("text", "\n", -1)
-    both = base.join(spans, KEY, "left").withColumn("own", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(own))
-    filled = F.filter(F.transform("own", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
-    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["a"].cast("int"), (s["b"] - 1).cast("int"))))
-    both = both.withColumn("filled", F.when(F.col("spans").isNotNull(), filled)).withColumn("removed", F.coalesce(F.array_sort(F.transform(places, lambda p: F.get("filled", p))), F.array().cast("array<int>")))
-    rest = F.array_except(F.transform("own", lambda x, i: i), "removed")
+    # what runs cover, each line once and by its address: numbers of lines come from the lines' table, not from the text
+    covered = runs.filter("to > done").select(F.explode(F.expr("sequence(g + greatest(pos, done) - pos, g + length - 1)")).alias("g"))
+    gone = covered.join(lines.select("g", "d", "k", "line"), "g").groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    none = F.array().cast("array<int>")
+    both = base.join(gone, KEY, "left").select("doc_id", "text", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1)).alias("own"), F.coalesce("gone", none).alias("removed"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("own") - 1), "removed")
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("own", i)), "\n"))
     return both.select("doc_id", F.size("own").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", kept.alias("kept"))
 

@@ -309,3 +309,17 @@ def test_long_chains_are_one_component(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 99), (99, 100), (7, 7)], "a long, b long"))
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_lines_of_a_very_long_document_take_linear_time(spark):
+    import time
+
+    n = 200_000
+    lines = [f"line {i % 150_000}" for i in range(n)]  # the last 50,000 repeat the first
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "line 5\nline 6\n\nown")], "doc_id long, text string")
+    line_dedup.remove_repeated_lines(docs.filter("doc_id = 2")).count()
+    began = time.time()
+    found = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs).collect()}
+    assert time.time() - began < 120  # 51,000 lines took as long when a removed line cost a look at the whole document
+    assert (found[1].n_lines, found[1].n_removed) == (n, 50_000) and found[1].kept == "\n".join(lines[:150_000])
+    assert found[2].removed == [0, 1] and found[2].kept == "\nown"
