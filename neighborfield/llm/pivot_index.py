@@ -4,8 +4,11 @@ Reference points (pivots) are a bounded sample of the vectors, none close to ano
 inverted list of (label, pivot) holds the vectors that have the pivot among those. Two vectors of a list are candidates
 when they share at least `shared` pivots; they are compared in the list of their smallest shared pivot only, so that
 each pair counts once, by cosine in double precision. A list longer than a block is dealt out as pairs of blocks; no
-pair leaves a task, only counts of links and a spanning forest. Equal vectors of a label collapse to one row first. Among equally near pivots the order is that of the selection, the same
-for equal vectors; vectors longer than the sample's longest are described by their first components only.
+pair leaves a task, only counts of links and a spanning forest. Equal vectors of a label collapse to one row first. Among
+equally near pivots the order is that of the selection, the same for equal vectors.
+
+Each length of vectors has pivots of its own. A length with at most BLOCK vectors has none: all of a label are one list,
+where all pairs are compared. A vector is copied into the lists of its PREFIX pivots, and in a list of b blocks b times.
 
 A vector that is null, empty or zero, or holds a null or a component that is not finite, or whose label or vec_id is
 null, links with nothing: it has no links and is its own component (null for a null vec_id, then not kept). Vectors of
@@ -29,23 +32,15 @@ THRESHOLD = 0.93
 PREFIX, SHARED = 16, 2
 #: Largest cosine between two pivots.
 APART = 0.7
-#: Pivots: 4 * sqrt(vectors) within these bounds; the index is fitted on so many vectors, all are indexed.
-PIVOTS = (64, 4096)
+#: Pivots of a length: 4 * sqrt(vectors) within these bounds; the index is fitted on so many vectors, all are indexed.
+PIVOTS = (64, 32_768)
 BLOCK = 1024
 
 
-def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    """Rows of a list column without nulls; shorter ones are filled with zeros, longer ones cut, to width."""
-    sizes = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    width = int(sizes.max(initial=0)) if width is None else width
-    if len(sizes) and (sizes == width).all():
-        return values.reshape(-1, width)
-    out = np.zeros((len(sizes), width))
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    for i, n in enumerate(np.minimum(sizes, width).tolist()):
-        out[i, :n] = values[at[i] : at[i] + n]
-    return out
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column without nulls, all of one length."""
+    size = column.value_lengths()[0].as_py() if len(column) else 0
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size)
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -57,10 +52,15 @@ def units(x: np.ndarray) -> np.ndarray:
 def spread(x: np.ndarray, closest: float = APART) -> np.ndarray:
     """Those rows that are no closer than a cosine of `closest` to one taken before: a group of near copies, however
     large its share of the sample, gets one pivot, which all of it has in common, instead of many that split it."""
-    taken = np.zeros(len(x), bool)
-    for i in range(len(x)):
-        taken[i] = not (x[:i][taken[:i]] @ x[i] > closest).any()
-    return x[taken]
+    taken = np.zeros((0, x.shape[1]))
+    for lo in range(0, len(x), 512):
+        own = x[lo : lo + 512]
+        own = own[~(own @ taken.T > closest).any(1)]
+        free = np.zeros(len(own), bool)
+        for i in range(len(own)):
+            free[i] = not (own[:i][free[:i]] @ own[i] > closest).any()
+        taken = np.concatenate([taken, own[free]])
+    return taken
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -91,21 +91,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, F.col("v")))
     points = written(rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")), "vectors")
-    n = points.count()
-    n_pivots = int(min(PIVOTS[1], max(PIVOTS[0], 4 * n**0.5)))
-    share = min(1_000_000, int(1_000_000 * 2.6 * n_pivots / max(n, 1)) + 1)
-    sample = points.filter(F.pmod(F.xxhash64("label", "v"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("label", "v")).limit(2 * n_pivots).select("v").toArrow()["v"].combine_chunks()
-    pivots = spread(units(matrix(sample)))[:n_pivots] if len(sample) else np.zeros((1, 1))
-    width = pivots.shape[1]
-    shared = min(shared, len(pivots))  # up to PREFIX pivots are shared by all vectors, so that all pairs are compared
+    pivots: dict[int, np.ndarray] = {}
+    for width, n in points.groupBy(F.size("v").alias("width")).count().filter(F.col("count") > BLOCK).collect():
+        n_pivots = int(min(PIVOTS[1], max(PIVOTS[0], 4 * n**0.5)))
+        share = min(1_000_000, int(1_000_000 * 2.6 * n_pivots / n) + 1)
+        drawn = points.filter((F.size("v") == width) & (F.pmod(F.xxhash64("label", "v"), F.lit(1_000_000)) < share))
+        sample = drawn.orderBy(F.xxhash64("label", "v")).limit(2 * n_pivots).select("v").toArrow()["v"].combine_chunks()
+        if len(sample):
+            pivots[width] = spread(units(matrix(sample)))[:n_pivots]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
-                near = nearest_pivots(units(matrix(b["v"], width)), pivots, prefix)
-                at = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([b["label"], b["v"], b["rep"], b["copies"], pa.ListArray.from_arrays(at, pa.array(near.reshape(-1).astype(np.int32)))], names=["label", "v", "rep", "copies", "near"])
+            widths = whole["v"].value_lengths().to_numpy(zero_copy_only=False)
+            for width in np.unique(widths).tolist():
+                own = whole.filter(pa.array(widths == width))
+                rows = max(1, (1 << 22) // len(pivots.get(width, [0])))
+                for lo in range(0, own.num_rows, rows):
+                    b = own.slice(lo, rows)
+                    near = nearest_pivots(units(matrix(b["v"])), pivots[width], prefix) if width in pivots else np.zeros((b.num_rows, 1), np.int64)
+                    at = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([b["label"], b["v"], b["rep"], b["copies"], pa.ListArray.from_arrays(at, pa.array(near.reshape(-1).astype(np.int32)))], names=["label", "v", "rep", "copies", "near"])
 
     described = written(points.mapInArrow(describe, "label string, v array<double>, rep long, copies long, near array<int>"), "described")
     lists = described.select("label", F.size("v").alias("width"), F.explode("near").alias("pivot"))
@@ -121,12 +126,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
         order = np.argsort(rep, kind="stable")
         own = part["own"].to_numpy()[order]
         rep, copies = rep[order], copies[order]
+        least = min(shared, len(pivots.get(part["width"][0].as_py(), [0])))  # up to PREFIX pivots are shared by all vectors
         x, near = units(matrix(part["v"].combine_chunks()))[order], matrix(part["near"].combine_chunks())[order].astype(np.int64)
         every = np.arange(len(rep))
         links, label = np.zeros(len(rep), np.int64), every.copy()
         sides = [(every, every)] if i == j else [(every[own == i], every[own == j]), (every[own == j], every[own == i])]
         for left, right in sides:
-            for a, b in list_links(x, near, pivot, left, right, shared, threshold):
+            for a, b in list_links(x, near, pivot, left, right, least, threshold):
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
                 while True:  # join what is linked: each takes the smallest label next to it

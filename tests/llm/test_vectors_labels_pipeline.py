@@ -213,3 +213,24 @@ def test_near_copies_match_brute_force(spark):
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
     kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
     assert sorted(k for k in kept if k is not None) == sorted(k for k, v in root.items() if k == v) and kept.count(None) == 1
+
+
+def test_rare_long_vectors_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3000, 8)))]
+    tail = rng.normal(size=56) * 10
+    rows += [(10_000 + k, np.concatenate([rng.normal(size=8), tail + 0.01 * rng.normal(size=56)]).tolist(), 0) for k in range(3)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [found[10_000 + k] for k in range(3)] == [(2, 10_000)] * 3
+    want = brute(rows)
+    assert sum(n for n, _ in found.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
+def test_recall_where_pivots_are_capped(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "PIVOTS", (20, 20))
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(800, 24))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)]))]
+    found = {r.vec_id: r.n_links for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = {k: n for k, (n, _) in brute(rows).items()}
+    assert sum(found.values()) >= 0.9 * sum(want.values()) > 0 and all(found[k] <= want[k] for k in want)
