@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,25 +47,102 @@ def minmax_centre(points: DataFrame) -> DataFrame:
     return scaled.crossJoin(F.broadcast(means)).select("i", F.zip_with("x", "mean", lambda v, m: v - m).alias("x"))
 
 
+def outer_sums(points: DataFrame, means: list[float]) -> DataFrame:
+    """(a, b, s) for a <= b: sums over points of products of components less their means; a matrix for each task, of the
+    dimensions squared, and no row for a point."""
+
+    def run(batches):
+        total = np.zeros((len(means), len(means)))
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - means
+            total += x.T @ x
+        a, b = np.triu_indices(len(means))
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], names=["a", "b", "s"])
+
+    return points.select("x").mapInArrow(run, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+
+
+def component_means(points: DataFrame) -> tuple[int, list[float]]:
+    """How many points there are, and each component's mean."""
+    rows = components(points).groupBy("m").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).orderBy("m").collect()
+    return (rows[0].n if rows else 0), [r["mean"] for r in rows]
+
+
 def covariance(points: DataFrame) -> DataFrame:
-    """(a, b, cov) for a <= b: sample covariance from one pass of pairwise sums over each row's own components."""
-    sums = points.select("i", F.posexplode("x").alias("a", "va"), "x").select("a", "va", F.posexplode("x").alias("b", "vb")).filter("a <= b")
-    return sums.groupBy("a", "b").agg(F.covar_samp("va", "vb").alias("cov"))
+    """(a, b, cov) for a <= b: sample covariance from sums about the means."""
+    n, means = component_means(points)
+    return outer_sums(points, means).select("a", "b", (F.col("s") / max(n - 1, 1)).alias("cov"))
 
 
-def pca(points: DataFrame, dims: int) -> DataFrame:
-    """(i, x) projected on the `dims` leading eigenvectors of the covariance, each signed so that its largest entry is positive."""
-    rows = covariance(points).collect()  # dimensions squared, not points
-    n = 1 + max(r.b for r in rows)
-    c = np.zeros((n, n))
+def _symmetric(rows: list, n: int, value: str) -> np.ndarray:
+    out = np.zeros((n, n))
     for r in rows:
-        c[r.a, r.b] = c[r.b, r.a] = r["cov"]
-    values, vectors = np.linalg.eigh(c)
-    lead = vectors[:, np.argsort(values)[::-1][:dims]]
-    lead = lead * np.sign(lead[np.abs(lead).argmax(0), np.arange(lead.shape[1])])
-    means = [r["mean"] for r in column_stats(points).orderBy("m").collect()]
-    axis = lambda k: F.aggregate(F.zip_with("x", F.array(*(F.lit(float(u)) for u in lead[:, k])), lambda v, u: v * u), F.lit(-float(np.dot(means, lead[:, k]))), lambda s, v: s + v)
-    return points.select("i", F.array(*map(axis, range(lead.shape[1]))).alias("x"))
+        out[r["a"], r["b"]] = out[r["b"], r["a"]] = r[value]
+    return out
+
+
+def _signed(vectors: np.ndarray) -> np.ndarray:
+    """Columns turned so that the largest entry of each is positive."""
+    return vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] < 0, -1, 1)
+
+
+def pca(points: DataFrame, dims: int) -> DataFrame:
+    """(i, x) projected on the `dims` leading principal axes, each signed so that its largest entry is positive.
+
+    With more points than components the axes are eigenvectors of the covariance, with fewer those of the points' own
+    products (see pca_dual): the smaller matrix, whose size is not that of the points' table, comes to the driver."""
+    n, means = component_means(points)
+    if n <= len(means):
+        return pca_dual(points, dims)
+    values, vectors = np.linalg.eigh(_symmetric(outer_sums(points, means).collect(), len(means), "s"))
+    lead = _signed(vectors[:, np.argsort(values)[::-1][:dims]])
+    return _projected(points, np.array(means), lead)
+
+
+def _projected(points: DataFrame, means: np.ndarray, axes: np.ndarray) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            x = (batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - means) @ axes
+            at = pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch["i"], pa.ListArray.from_arrays(at, pa.array(x.reshape(-1)))], names=["i", "x"])
+
+    return points.select("i", "x").mapInArrow(run, "i long, x array<double>")
+
+
+def gram(points: DataFrame, block: int = 4096) -> DataFrame:
+    """(a, b, s) for a <= b: products of points, less the components' means, by their number in order of i. Components are
+    cut into blocks; a task has a block of all points' components, so this is for fewer points than components."""
+    numbered = points.withColumn("n", F.row_number().over(Window.orderBy("i")) - 1)  # fewer points than components
+    cut = F.expr(f"transform(sequence(0, (size(x) - 1) div {block}), k -> slice(x, k * {block} + 1, {block}))")
+    parts = numbered.select("n", F.posexplode(cut).alias("k", "x"))
+
+    def run(part: pa.Table) -> pa.Table:
+        order = np.argsort(part["n"].to_numpy())
+        x = np.stack(part["x"].to_numpy())[order]
+        x = x - x.mean(0)
+        products = x @ x.T
+        a, b = np.triu_indices(len(x))
+        return pa.table([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(products[a, b])], names=["a", "b", "s"])
+
+    return parts.groupBy("k").applyInArrow(run, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+
+
+def pca_dual(points: DataFrame, dims: int) -> DataFrame:
+    """The same projections from the eigenvectors of the points' products, for at least as many components as points.
+
+    The product matrix has the points' number squared entries; an axis is never made, only its sign is looked at."""
+    n, _ = component_means(points)
+    values, vectors = np.linalg.eigh(_symmetric(gram(points).collect(), n, "s"))
+    order = np.argsort(values)[::-1][:dims]
+    lead = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+    numbered = points.select("i", "x", (F.row_number().over(Window.orderBy("i")) - 1).alias("n"))
+    table = points.sparkSession.createDataFrame([(k, w, own) for k, (w, own) in enumerate(zip(vectors[:, order].tolist(), lead.tolist(), strict=True))], "n int, w array<double>, own array<double>")
+    both = numbered.join(F.broadcast(table), "n")  # a row for each of the few points
+    # axis m = sum over points of (x - mean) * vector; the mean falls out, for vectors with a value sum to zero
+    sums = both.select(F.posexplode("x").alias("m", "v"), "w").select("m", "v", F.posexplode("w").alias("k", "w")).groupBy("k", "m").agg(F.sum(F.col("v") * F.col("w")).alias("a"))
+    turned = dict(sums.groupBy("k").agg(F.max_by("a", F.struct(F.abs("a"), -F.col("m"))).alias("a")).collect())
+    signs = F.array(*(F.lit(-1.0 if turned[k] < 0 else 1.0) for k in range(len(order))))
+    return both.select("i", F.zip_with("own", signs, lambda v, s: v * s).alias("x"))
 
 
 def component_ranks(points: DataFrame) -> DataFrame:
@@ -78,14 +156,9 @@ def component_ranks(points: DataFrame) -> DataFrame:
 def whiten(points: DataFrame) -> DataFrame:
     """Points in which euclidean distance is the mahalanobis distance of the given ones."""
     rows = covariance(points).collect()
-    n = 1 + max(r.b for r in rows)
-    c = np.zeros((n, n))
-    for r in rows:
-        c[r.a, r.b] = c[r.b, r.a] = r["cov"]
-    values, vectors = np.linalg.eigh(c)
+    values, vectors = np.linalg.eigh(_symmetric(rows, 1 + max(r.b for r in rows), "cov"))
     root = vectors / np.sqrt(np.maximum(values, 1e-300))
-    axis = lambda k: F.aggregate(F.zip_with("x", F.array(*(F.lit(float(u)) for u in root[:, k])), lambda v, u: v * u), F.lit(0.0), lambda s, v: s + v)
-    return points.select("i", F.array(*map(axis, range(n))).alias("x"))
+    return _projected(points, np.zeros(len(root)), root)
 
 
 def permute_points(points: DataFrame, permutation: DataFrame) -> DataFrame:

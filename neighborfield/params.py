@@ -24,7 +24,8 @@ FLT_MIN, DBL_MIN, EPS = 1.1754943508222875e-38, 2.2250738585072014e-308, 2.22044
 
 @dataclass(frozen=True)
 class EmbeddingParams:
-    """d dimensions; u perplexity; lam target of the rescaling (1: none); alpha exaggeration for early_iter steps."""
+    """d dimensions; u perplexity; lam target of the rescaling (1: none); alpha exaggeration for early_iter steps;
+    repulsion is grid, exact or tree (then theta is the largest side over distance of a cell that stands for its points)."""
 
     d: int = 2
     u: float = 30.0
@@ -42,6 +43,7 @@ class EmbeddingParams:
     h: float | None = None
     drop_leaf: bool = False
     repulsion: str = "grid"
+    theta: float = 0.5
     grid: int | None = None
     tol: float = 0.0
     seed: int = 0

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,38 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neighborfield.functions.kernels import dot
-from neighborfield.operators import affinity, forces, grid, knn, preprocess
+from neighborfield.operators import affinity, forces, grid, knn, preprocess, tree_forces
 from neighborfield.sources.synthetic import normal, uniform
 from neighborfield.params import FLT_MIN, EmbeddingParams, grid_size
+from neighborfield.tables import written
 
-#: Points (with their edges) up to which a whole optimisation fits one task's memory.
-ONE_TASK_POINTS, ONE_TASK_EDGES = 200_000, 40_000_000
+#: Points and edges up to which a whole optimisation is one task's, about 50 MB; beyond, each step is distributed.
+ONE_TASK_POINTS, ONE_TASK_EDGES = 20_000, 2_000_000
 #: Points up to which repulsion is the exact sum: a grid that few points stretch over has too few in a cell, and its sum
 #: of interpolated kernels can even be negative.
 EXACT_POINTS = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="embedding-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """A written copy in the shared folder: the lineage of a long loop ends here, and losing an executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def initial_layout(ids: DataFrame, d: int, scale: float = 1e-4, seed: int = 0, gaussian: bool = True) -> DataFrame:
     """(i, y0, ..): scale * N(0, 1) (or U(0, 1)) from a hash of i and the seed, the same in any partitioning."""
     value = lambda m: (normal if gaussian else uniform)(seed, "i", F.lit(m)) * scale
@@ -64,12 +43,45 @@ def update(state: DataFrame, gradient: DataFrame, p: EmbeddingParams, momentum:
 
 
 def by_size(p: EmbeddingParams, n: int) -> EmbeddingParams:
-    return replace(p, repulsion="exact") if n <= EXACT_POINTS else p
+    return replace(p, repulsion="exact") if n <= EXACT_POINTS and p.repulsion == "grid" else p
+
+
+def repulsive_sums(y: DataFrame, p: EmbeddingParams) -> tuple[DataFrame, DataFrame]:
+    """Repulsive force (i, f0, ..) and zeta (one row), by pairs, by the grid or by the tree.
+
+    A grid that few points stretch over can give a zeta that is not positive; such a layout is summed by the tree."""
+    if p.repulsion == "exact":
+        phi = forces.kernel_sums(y)
+        zeta = forces.zeta_from_pairs(phi)
+        return forces.forces_from_phi(phi, zeta), zeta
+    if p.repulsion == "grid":
+        phi = written(grid.nuconv(y, p.spacing, p.grid, fft=True), "grid-sums")
+        zeta = forces.zeta_from_phi(phi)
+        if (zeta.first()["zeta"] or 0) > 0:
+            return forces.forces_from_phi(phi, zeta), zeta
+    sums = written(tree_forces.tree_sums(y, written, p.theta), "tree-sums")
+    zeta = sums.agg(F.sum("z").alias("zeta"))
+    return sums.crossJoin(F.broadcast(zeta)).select("i", *((F.col(f"p{c[1:]}") / F.col("zeta")).alias(f"f{c[1:]}") for c in forces.axes(y))), zeta
 
 
 def step_gradient(edges: DataFrame, y: DataFrame, p: EmbeddingParams, alpha: float) -> DataFrame:
-    repulsive = forces.repulsion(y) if p.repulsion == "exact" else grid.repulsion_grid(y, p.spacing, p.grid, fft=True)
-    return forces.gradient(forces.attraction(edges, y), repulsive, alpha)
+    return forces.gradient(forces.attraction(edges, y), repulsive_sums(y, p)[0], alpha)
+
+
+class StageTimes:
+    """What a running optimisation measures: rows (iter, stage, ms), one for each stage of a step."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, str, float]] = []
+
+    def written(self, df: DataFrame, step: int, stage: str) -> DataFrame:
+        began = time.perf_counter()
+        out = written(df, stage)
+        self.rows.append((step, stage, 1000 * (time.perf_counter() - began)))
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "iter int, stage string, ms double")
 
 
 def start_state(y: DataFrame) -> DataFrame:
@@ -82,41 +94,55 @@ def schedule(p: EmbeddingParams, step: int) -> tuple[float, float]:
     return (p.alpha if step <= p.early_iter else 1.0), (p.momentum if step <= p.momentum_iter else p.late_momentum)
 
 
-def optimise(edges: DataFrame, y: DataFrame, p: EmbeddingParams, callback: Callable[[int, DataFrame, dict], bool | None] | None = None, every: int = 50, checkpoint: int = 5) -> DataFrame:
-    """The loop with one job chain for each few steps; edges and state stay distributed. callback may stop it by True."""
-    edges = _table(edges.select("i", "j", "v"), "edges")
-    state = _table(start_state(y), "state")
+def optimise(edges: DataFrame, y: DataFrame, p: EmbeddingParams, callback: Callable[[int, DataFrame, dict], bool | None] | None = None, every: int = 50, checkpoint: int = 5, times: StageTimes | None = None) -> DataFrame:
+    """The loop with one job chain for each few steps; edges and state stay distributed. callback may stop it by True.
+
+    times: each step's attraction, repulsion and update are written and measured apart."""
+    edges = written(edges.select("i", "j", "v"), "edges")
+    state = written(start_state(y), "state")
     p = by_size(p, state.count())
     dims = forces.axes(y)
     for step in range(p.max_iter):
         alpha, momentum = schedule(p, step)
-        gradient = step_gradient(edges, state.select("i", *dims), p, alpha)
+        own = state.select("i", *dims)
+        if times is None:
+            gradient = step_gradient(edges, own, p, alpha)
+        else:
+            pull = times.written(forces.attraction(edges, own), step, "attractive")
+            push = times.written(repulsive_sums(own, p)[0], step, "repulsive")
+            gradient = forces.gradient(pull, push, alpha)
         state = update(state, gradient, p, momentum)
         last = step == p.max_iter - 1
-        if last or (step + 1) % checkpoint == 0 or callback and (step + 1) % every == 0:
-            state = _table(state, f"state-{step}")
+        if times is not None:
+            state = times.written(state, step, "update")
+        elif last or p.repulsion != "exact" or (step + 1) % checkpoint == 0 or callback and (step + 1) % every == 0:
+            state = written(state, f"state-{step}")
         if p.tol > 0 and gradient.agg(F.max(sum(F.abs(f"d{c[1:]}") for c in dims))).first()[0] < p.tol:
             break
         if callback and ((step + 1) % every == 0 or last):
             own = state.select("i", *dims)
-            phi = forces.kernel_sums(own)
-            cost = forces.kl_cost(edges, own, forces.zeta_from_pairs(phi), alpha).first()["kl"]
+            cost = forces.kl_cost(edges, own, repulsive_sums(own, p)[1], alpha).first()["kl"]
             if callback(step, own, {"iter": step, "kl": cost, "alpha": alpha}):
                 break
-    return _table(state.select("i", *dims), "layout")
+    return written(state.select("i", *dims), "layout")
+
+
+def _exact(y: np.ndarray) -> tuple[np.ndarray, float]:
+    f, z = np.zeros_like(y), 0.0
+    for lo in range(0, len(y), 512):
+        gap = y[lo : lo + 512, None] - y[None]
+        q = 1 / (1 + (gap * gap).sum(2))
+        z += q.sum() - len(q)
+        f[lo : lo + 512] = np.einsum("ij,ijm->im", q * q, gap)
+    return f / z, z
 
 
 def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
-    """Repulsive force and zeta in one process: exact, or by the padded transform of the grid."""
+    """Repulsive force and zeta in one process: exact, or by the padded transform of the grid where its zeta is positive."""
     n, d = y.shape
     if p.repulsion == "exact":
-        f, z = np.zeros_like(y), 0.0
-        for lo in range(0, n, 512):
-            gap = y[lo : lo + 512, None] - y[None]
-            q = 1 / (1 + (gap * gap).sum(2))
-            z += q.sum() - len(q)
-            f[lo : lo + 512] = np.einsum("ij,ijm->im", q * q, gap)
-        return f / z, z
+        return _exact(y)
+    raw = y
     y = y - y.min(0)
     spread = float(y.max())
     if spread <= 0:
@@ -142,8 +168,8 @@ def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
         padded = np.fft.irfftn(np.fft.rfftn(cells, [2 * side] * d, range(d)) * kernel, [2 * side] * d, range(d))
         phi[:, c] = (weight * padded[tuple(slice(0, side) for _ in range(d))].ravel()[cell]).sum(1)
     z = float(((1 + 2 * (y * y).sum(1)) * phi[:, 0] - 2 * (y * phi[:, 1:]).sum(1)).sum() - n)
-    if not z > 0:
-        raise ValueError(f"the grid's zeta is {z}: {n} points spread over {spread} are too few for {g} nodes a side")
+    if not z > 0:  # few points on a far stretched grid: the layout is summed exactly
+        return _exact(raw)
     return (y * phi[:, :1] - phi[:, 1:]) / z, z
 
 
@@ -220,15 +246,15 @@ def embed_graph(edges: DataFrame, p: EmbeddingParams | None = None, y0: DataFram
     callback(step, layout, {"iter", "kl"}) is given each `every`-th layout in order; where it returns True that layout is
     the result. A graph of one task is run to its end first, a larger one stops there."""
     p = replace(p or EmbeddingParams(), **overrides)
-    weights = _table(graph_weights(edges, p), "joint")
+    weights = written(graph_weights(edges, p), "joint")
     ids = weights.select("i").distinct()
     start = y0 if y0 is not None else initial_layout(ids, p.d, seed=p.seed)
-    small = start.count() <= ONE_TASK_POINTS and weights.count() <= ONE_TASK_EDGES
+    small = p.repulsion != "tree" and start.count() <= ONE_TASK_POINTS and weights.count() <= ONE_TASK_EDGES
     if not small:
         return optimise(weights, start, p, callback, every)
     if callback is None:
         return optimise_one_task(weights, start, p)
-    seen = _table(optimise_one_task(weights, start, p, every), "snapshots")
+    seen = written(optimise_one_task(weights, start, p, every), "snapshots")
     for step, cost in seen.filter("iter >= 0").select("iter", "kl").distinct().orderBy("iter").toLocalIterator():
         own = seen.filter(F.col("iter") == step).drop("iter", "kl")
         if callback(step, own, {"iter": step, "kl": cost}):
@@ -273,7 +299,7 @@ class GradientService:
         return step_gradient(self.edges, y, self.p, alpha)
 
     def cost(self, y: DataFrame) -> float:
-        return forces.kl_cost(self.edges, y, forces.zeta_from_pairs(forces.kernel_sums(y))).first()["kl"]
+        return forces.kl_cost(self.edges, y, repulsive_sums(y, self.p)[1]).first()["kl"]
 
     def close(self) -> None:
         self.edges.unpersist()
@@ -288,5 +314,5 @@ def twin_errors(edges: DataFrame, y: DataFrame, p: EmbeddingParams, steps: int)
         error = forces.relative_error(grid.repulsion_grid(own, p.spacing, p.grid, fft=True), forces.repulsion(own)).first()
         out.append({"iter": step, "error": error["error"]})
         alpha, momentum = schedule(p, step)
-        state = _table(update(state, step_gradient(edges, own, p, alpha), p, momentum), "twin")
+        state = written(update(state, step_gradient(edges, own, p, alpha), p, momentum), "twin")
     return out

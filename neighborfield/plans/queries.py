@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from neighborfield.functions import kernels
 from neighborfield.operators import affinity, forces, formats, grid, knn, linalg, preprocess
+from neighborfield import tables
 from neighborfield.plans import optimizer
 from neighborfield.params import EmbeddingParams
 from neighborfield.sources import readers, sinks, synthetic
@@ -376,7 +377,7 @@ query("initial_layout_uniform", f"SELECT vec_id AS i, {_r('1e-4 * ' + _u(0, 'vec
 
 
 def _file(spark: SparkSession, name: str) -> str:
-    return f"{optimizer.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("source_points_text", P + f" SELECT i, unnest(range(len(x))) AS m, {_r('unnest(x)', 'v')} FROM p")

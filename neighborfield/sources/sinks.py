@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,25 @@ def layout_binary(y: DataFrame) -> DataFrame:
     return y.orderBy("i").select("i", *dims).mapInArrow(pack, "first long, content binary")
 
 
+def points_binary(points: DataFrame, path: str, theta: float = 0.5, perplexity: float = 30.0, dims: int = 2, iterations: int = 1000) -> None:
+    """One binary file of points (i, x): int n, int d, double theta, double perplexity, int dims, int iterations, n * d doubles.
+    The format is one file, so one task writes it, batch by batch in order of i."""
+    size = points.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
+    head = struct.pack("<iiddii", size.n, size.d, theta, perplexity, dims, iterations)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        rows = 0
+        with system.open_output_stream(where) as out:
+            out.write(head)
+            for b in batches:
+                out.write(np.ascontiguousarray(b["x"].flatten().to_numpy(zero_copy_only=False), "<f8").tobytes())
+                rows += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
+
+    points.select("i", "x").repartition(1).sortWithinPartitions("i").mapInArrow(write, "rows long").collect()
+
+
 def result_binary(y: DataFrame, costs: DataFrame | None = None) -> bytes:
     """A whole result file (int n, int d, layout, landmarks, costs) for layouts that fit the driver; the format is one file."""
     dims = axes(y)

@@ -4,10 +4,11 @@ import pytest
 
 from neighborfield.params import EmbeddingParams
 from neighborfield.plans import queries as q
+from neighborfield.plans import scale_queries  # noqa: F401  registers its queries
 from tests.conftest import SF, same_rows
 
 #: Checked at the larger scale by the driver; here one of each family is enough.
-SLOW = {"perplexity_affinities", "metric_spearman", "metric_minkowski", "metric_jaccard", "metric_hamming"}
+SLOW = {"dissection_check", "perplexity_affinities", "metric_spearman", "metric_minkowski", "metric_jaccard", "metric_hamming"}
 
 
 @pytest.mark.parametrize("name", sorted(set(q.ORACLE_SQL) - SLOW))
