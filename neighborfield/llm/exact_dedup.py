@@ -3,9 +3,9 @@
 A text's UTF-8 bytes are cut into chunks; each chunk hashes to sum(byte * base^(bytes after it in the chunk)) modulo
 two primes, and hashes combine as left * base^len(right) + right, so the parts of a huge text can be hashed in any
 order and on their own. Texts with equal length and fingerprint are then compared chunk by chunk: an aggregate over
-(fingerprint, chunk number, chunk) leaves one row per different chunk. The texts of equal fingerprints are shuffled
-once by fingerprint, so a large group of copies is a hot key of that join, which the adaptive planner has to split; the
-chunks are combined before their own shuffle. A text is hashed in one call, chunk by chunk; combine() is the rule by which
+(fingerprint, chunk number, chunk) leaves one row per different chunk. Fingerprints of more than a thousandth of all rows
+are looked up where the texts are, so a large group of copies is never shuffled; texts of other equal fingerprints are,
+once, and chunks are combined before their own shuffle. A text is hashed in one call, chunk by chunk; combine() is the rule by which
 parts hashed apart would be joined. A very long text is one row. Where chunks differ under one fingerprint, the group is split by a SHA-256 of the text.
 
 Nulls: a null text is an empty one; all empty texts are copies of each other. A null doc_id never stays when a copy
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.llm.runtime import documents, releasing, utf8, written
+from neighborfield.llm.runtime import documents, looked_up, releasing, utf8, written
 
 CHUNK = 4096
 COMPARE_BYTES = 1 << 16
@@ -102,15 +102,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = documents(docs, id_col, text_col)
     rows = written(base.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256")).mapInArrow(_with_fingerprint(False, fp_bits), "n_bytes long, fp long, doc_id long, text_sha256 string"), "fingerprints")
     key = ["n_bytes", "fp"]
-    repeated = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1 and n_bytes > 0").select(*key)
+    total = rows.count()
+    repeated = written(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1 and n_bytes > 0"), "repeated")
     texts = base.select("text").mapInArrow(_with_fingerprint(True, fp_bits), "n_bytes long, fp long, text string")
     pieces = (
-        texts.join(repeated, key, "left_semi")
+        looked_up(texts, repeated, key, "n", total)
         .select(*key, F.col("text").cast("binary").alias("raw"))
         .select(*key, "raw", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_bytes - 1) div {COMPARE_BYTES} as int)"))).alias("chunk"))
         .select(*key, "chunk", F.expr(f"substring(raw, chunk * {COMPARE_BYTES} + 1, {COMPARE_BYTES})").alias("piece"))
     )
     differing = written(pieces.groupBy(*key, "chunk", "piece").agg(F.lit(1).alias("one")).groupBy(*key, "chunk").agg(F.count("*").alias("n")).filter("n > 1").select(*key).distinct().withColumn("differs", F.lit(True)), "differing")
-    rows = rows.join(differing, key, "left").withColumn("sub", F.when(F.col("differs"), F.col("text_sha256")).otherwise("")).drop("differs")
-    groups = rows.groupBy(*key, "sub").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, [*key, "sub"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    rows = written(rows.join(differing, key, "left").withColumn("sub", F.when(F.col("differs"), F.col("text_sha256")).otherwise("")).drop("differs"), "compared")
+    groups = written(rows.groupBy(*key, "sub").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "copies")
+    found = looked_up(rows, groups, [*key, "sub"], "group_size", total)
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")

@@ -189,9 +189,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_documents(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, component_id): groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-    node is the text's XXH64, component_id the smallest doc_id reachable over links.
+def text_nodes(rows: DataFrame, hashed=F.xxhash64) -> DataFrame:
+    """rows (text, text_sha256) with a number for each different text, node: its hash, or where different texts share one,
+    which their SHA-256 tells, that hash for one of them and a hash of the SHA-256 for each other."""
+    rows = rows.withColumn("node", hashed(F.col("text")))
+    shared = rows.groupBy("node").agg(F.min("text_sha256").alias("first"), F.max("text_sha256").alias("last")).filter("first <> last").select("node", "first")
+    shared = written(shared, "shared-hashes")
+    if shared.isEmpty():
+        return rows
+    other = F.when(F.col("text_sha256") != F.col("first"), F.xxhash64("text_sha256")).otherwise(F.col("node"))
+    return rows.join(shared, "node", "left").withColumn("node", other).drop("first")
+
+
+def near_documents(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", hashed=F.xxhash64) -> DataFrame:
+    """(doc_id, text_sha256, component_id): groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or
+    more. component_id is the smallest doc_id reachable over links. Texts are equal if their SHA-256 is.
 
     The trees give what fingerprints of five-word shingles link within radius bits. A similarity of 0.8 is about ten of
     64 bits, where no vantage point parts anything any more; so texts that agree on a band of minima are candidates as
@@ -199,7 +211,7 @@ def near_documents(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", tex
     (seven deviations away) are not read; each other one is verified by its
     shingles. First the members of a band's bucket meet its smallest node, which joins a group of any size without its
     pairs; then those in buckets with several groups go through an exact prefix filter."""
-    rows = documents(docs, id_col, text_col).withColumn("node", F.xxhash64("text"))
+    rows = text_nodes(documents(docs, id_col, text_col).withColumn("text_sha256", F.sha2("text", 256)), hashed)
     made = written(rows.select("node", "text").mapInArrow(releasing(shingle_links.describe), shingle_links.DESCRIBED), "shingle-minima").dropDuplicates(["node"])
     kept = ["node", "size", "bits1", "bits2"]
     every = made.select("node", F.explode("bands").alias("bucket"))
@@ -221,5 +233,5 @@ def near_documents(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", tex
     left = written(named.join(written(several, "shingle-unsettled"), "bucket", "left_semi").select("node", "label", "bits1", "bits2").distinct(), "shingle-left")
     links = links.union(shingle_links.apart(left, texts))
 
-    found = written(rows.select("doc_id", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-roots")
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "component_id")
+    found = written(rows.select("doc_id", "text_sha256", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-roots")
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_sha256", "component_id")

@@ -29,6 +29,14 @@ def test_lookups_of_hot_keys(spark):
     assert len(found) == 5000 and all(r.n == (3333 if r.k == "hot" else 1) for r in found)
 
 
+@pytest.mark.parametrize("share", [1, 6])
+def test_codes_of_parts_that_are_not_hot(spark, share, monkeypatch):
+    monkeypatch.setattr("neighborfield.llm.runtime.HOT_SHARE", share)
+    rows = [(i, [float(i % 3), float(i), 1.0, -float(i % 7)], i % 2) for i in range(40)]
+    found = vector_codes.compress(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), entries=8)[0]
+    assert sorted(map(repr, ((r.codes, r.error, r.label_error, r.codebooks_sha256) for r in found.collect()))) == sorted(map(repr, plain_codes(rows, entries=8).values()))
+
+
 def plain_codes(rows, parts=4, entries=256, rounds=4):
     """{row: (codes, error, label error)} and {width: books} by the definition, in Python's integers."""
     kept = [(n, k, x, [int(np.floor(1024 * c)) for c in v]) for n, (k, v, x) in enumerate(rows) if v is not None and all(c is not None and np.isfinite(c) for c in v)]
@@ -65,7 +73,7 @@ def test_vector_codes_match_the_definition(spark):
     df = spark.createDataFrame([(*r, n, "clash") for n, r in enumerate(rows)], "vec_id long, embedding array<double>, label int, r long, part string").repartition(5)
     want = sorted(map(repr, plain_codes(rows, entries=16).values()))
     found, books = vector_codes.compress(df, entries=16)
-    assert sorted(map(repr, (( r.codes, r.error, r.label_error, r.codebooks_sha256) for r in found.collect()))) == want
+    assert sorted(map(repr, ((r.codes, r.error, r.label_error, r.codebooks_sha256) for r in found.collect()))) == want
     assert {w: b.shape for w, b in books.items()} == {0: (4, 2, 0), 5: (4, 16, 2), 8: (4, 16, 2)}
     assert vector_codes.compress(df.limit(0))[0].count() == 0
     few, _ = vector_codes.compress(df.filter("vec_id < 10"))  # fewer vectors than entries: each is its own entry

@@ -86,6 +86,16 @@ def test_line_runs_of_any_length(spark):
 
 @pytest.mark.parametrize("bits", [62, 3])
 def test_exact_copies_even_where_fingerprints_collide(docs, bits):
+    check_exact_copies(docs, bits)
+
+
+@pytest.mark.parametrize("share", [1, 12])  # no fingerprint, or some, count as hot
+def test_exact_copies_of_hot_and_other_groups(docs, share, monkeypatch):
+    monkeypatch.setattr("neighborfield.llm.runtime.HOT_SHARE", share)
+    check_exact_copies(docs, 62)
+
+
+def check_exact_copies(docs, bits):
     plain = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     found = exact_dedup.exact_duplicates(docs, fp_bits=bits).collect()
     assert len(found) == len(plain)

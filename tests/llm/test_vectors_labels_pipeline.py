@@ -234,3 +234,16 @@ def test_recall_where_pivots_are_capped(spark, monkeypatch):
     found = {r.vec_id: r.n_links for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     want = {k: n for k, (n, _) in brute(rows).items()}
     assert sum(found.values()) >= 0.9 * sum(want.values()) > 0 and all(found[k] <= want[k] for k in want)
+
+
+def test_near_copies_where_texts_share_a_hash(spark):
+    from neighborfield.llm import simhash
+
+    r = np.random.default_rng(21)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 500, 60)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate([*texts, *(t + " end" for t in texts[:5]), texts[0], ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda df: sorted((x.doc_id, x.text_sha256, x.component_id) for x in df.collect())
+    want = groups(simhash.near_documents(docs))
+    assert [x[2] for x in want] == [*range(12), *range(5), 0, 18]
+    assert groups(simhash.near_documents(docs, hashed=lambda t: F.pmod(F.xxhash64(t), F.lit(3)))) == want
