@@ -46,9 +46,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked by five-word shingles with a similarity of 0.8 or more."""
     found = simhash.near_documents(docs)
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    keyed = _keyed(docs).withColumn("_node", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
-    return _rows(keyed.join(dropped, ["_id", "_node"], "left_anti"), docs)
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
+    return _rows(_keyed(docs).join(dropped, KEY, "left_anti"), docs)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
