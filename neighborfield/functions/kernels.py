@@ -104,11 +104,15 @@ def grid_nodes(spread: Column, h: float) -> Column:
     return (F.coalesce(F.get(F.filter(sizes, lambda s: s >= want), F.lit(0)), F.lit(FAST_GRID_SIZES[-1])) - 2).cast("int")
 
 
-def lagrange_weights(delta: Column) -> Column:
-    """Weights of the four nodes around a point that lies delta after the second; they sum to 1."""
+def lagrange_terms(delta):
+    """Weights of the four nodes around a point that lies delta after the second, of columns or arrays; they sum to 1."""
     near = lambda x: ((0.5 * x - 1) * x - 0.5) * x + 1
     far = lambda x: ((-x / 6 + 1) * x - 11 / 6) * x + 1
-    return F.array(far(1 + delta), near(delta), near(1 - delta), far(2 - delta))
+    return [far(1 + delta), near(delta), near(1 - delta), far(2 - delta)]
+
+
+def lagrange_weights(delta: Column) -> Column:
+    return F.array(*lagrange_terms(delta))
 
 
 def keys_weights(delta: Column, a: float = -0.5) -> Column:

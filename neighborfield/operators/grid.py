@@ -6,7 +6,7 @@ into it with map-side combine and never meet each other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.functions.kernels import box_basis, box_of, grid_coordinate, grid_nodes, lagrange_weights, linear_index, student
+from neighborfield.functions.kernels import box_basis, box_of, grid_coordinate, grid_nodes, lagrange_terms, lagrange_weights, linear_index, student
 from neighborfield.operators.forces import axes, forces_from_phi, zeta_from_phi
 from neighborfield.operators.linalg import kernel_product
 from neighborfield.params import BOX_POINTS, EPS, box_count
@@ -133,9 +133,85 @@ def gather(stencils: DataFrame, potentials: DataFrame) -> DataFrame:
     return stencils.join(potentials, cells).groupBy("i", *dims).agg(*(F.sum(F.col("w") * F.col(p)).alias(p) for p in phis))
 
 
+def _stencils(batch: pa.RecordBatch | pa.Table, dims: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First cell of each placed point's stencil along each axis, and its 4^d weights."""
+    t = np.stack([batch[f"t{c[1:]}"].to_numpy() for c in dims], 1)
+    first = np.floor(t).astype(np.int64)
+    each = np.stack(lagrange_terms(t - first), 2)
+    weight = np.ones((len(t), 1))
+    for m in range(len(dims)):
+        weight = (weight[:, :, None] * each[:, m][:, None, :]).reshape(len(t), -1)
+    return first, weight
+
+
+def scatter_points(points: DataFrame) -> DataFrame:
+    """scatter() of placed points' stencils: a task's batch is summed into its cells before any row is made."""
+    dims = axes(points)
+    d = len(dims)
+    places, charges = [f"c{c[1:]}" for c in dims], [f"q{m}" for m in range(d + 1)]
+    shape = np.indices([4] * d).reshape(d, -1).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first, weight = _stencils(b, dims)
+            cells, own = np.unique((first[:, None, :] + shape).reshape(-1, d), axis=0, return_inverse=True)
+            sums = [np.bincount(own.reshape(-1), (weight * (1 if m == 0 else b[dims[m - 1]].to_numpy()[:, None])).reshape(-1), len(cells)) for m in range(d + 1)]
+            n = len(cells)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells.T), pa.array(np.full(n, b["nodes"][0].as_py(), np.int32)), pa.array(np.full(n, b["step"][0].as_py())), *map(pa.array, sums)], names=[*places, "nodes", "step", *charges])
+
+    schema = ", ".join([*(f"{c} int" for c in places), "nodes int, step double", *(f"{q} double" for q in charges)])
+    cells = points.select("nodes", "step", *dims, *(f"t{c[1:]}" for c in dims)).mapInArrow(run, schema)
+    return cells.groupBy(*places).agg(F.first("nodes").alias("nodes"), F.first("step").alias("step"), *(F.sum(q).alias(q) for q in charges))
+
+
+def gather_points(points: DataFrame, potentials: DataFrame, edge: int = 32, most: int = 65_536) -> DataFrame:
+    """gather() for placed points: points go to the block of `edge` cells a side that they lie in, cells to the at most 2^d
+    blocks whose points reach them, and a task sums in the point's row. A block of more than `most` points is several chunks."""
+    dims = axes(points)
+    d = len(dims)
+    phis = sorted(c for c in potentials.columns if c.startswith("phi"))
+    block = [F.expr(f"cast(floor(t{c[1:]}) div {edge} as int)").alias(f"b{c[1:]}") for c in dims]
+    names = [f"b{c[1:]}" for c in dims]
+    placed_in = points.select("i", *dims, *(f"t{c[1:]}" for c in dims), *block)
+    full = placed_in.groupBy(*names).agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    own = placed_in.join(full, names).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int"))
+    cells = potentials
+    for c in dims:
+        m = c[1:]
+        cells = cells.withColumn(f"b{m}", F.explode(F.array_distinct(F.array(F.expr(f"cast(greatest(c{m} - 3, 0) div {edge} as int)"), F.expr(f"cast(c{m} div {edge} as int)")))))
+    cells = cells.join(full.select(*names, "chunks"), names).withColumn("part", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks")
+    cells = cells.select("part", *(F.col(n).alias(f"o{n[1:]}") for n in names), *(f"c{c[1:]}" for c in dims), *phis)
+    offsets = np.indices([4] * d).reshape(d, -1).T
+
+    def run(rows: pa.Table, grid: pa.Table) -> pa.Table:
+        n = rows.num_rows
+        out = np.zeros((len(phis), n))
+        if n and grid.num_rows:
+            corner = np.array([rows[b][0].as_py() for b in names]) * edge
+            dense = np.zeros((len(phis), *[edge + 3] * d))
+            at = tuple(grid[f"c{c[1:]}"].to_numpy() - k for c, k in zip(dims, corner, strict=True))
+            for k, p in enumerate(phis):
+                dense[k][at] = grid[p].to_numpy()
+            for lo in range(0, n, 16_384):
+                first, weight = _stencils(rows.slice(lo, 16_384), dims)
+                place = np.moveaxis((first - corner)[:, None, :] + offsets, 2, 0)
+                for k in range(len(phis)):
+                    out[k, lo : lo + 16_384] = (weight * dense[k][tuple(place)]).sum(1)
+        return pa.table([rows["i"], *(rows[c] for c in dims), *out], names=["i", *dims, *phis])
+
+    schema = ", ".join(["i long", *(f"{c} double" for c in dims), *(f"{p} double" for p in phis)])
+    return own.groupBy(*names, "chunk").cogroup(cells.groupBy(*(f"o{n[1:]}" for n in names), "part")).applyInArrow(run, schema)
+
+
 def nuconv(y: DataFrame, h: float | None = None, nodes: int | None = None, fft: bool = False, weights: Callable[[Column], Column] = lagrange_weights, padded: bool = True) -> DataFrame:
     """(i, y0.., phi0..) of the points shifted to the origin: the fast kernel sum."""
-    own = stencil(placed(shift_to_origin(y), h, nodes), weights)
+    points = placed(shift_to_origin(y), h, nodes)
+    if weights is lagrange_weights:
+        cells = scatter_points(points)
+        return gather_points(points, convolve_fft(cells, padded) if fft else convolve(cells))
+    own = stencil(points, weights)
     cells = scatter(own)
     return gather(own, convolve_fft(cells, padded) if fft else convolve(cells))
 

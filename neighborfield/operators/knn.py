@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from neighborfield.functions.kernels import squared_l2
 
 KNN = "i long, j long, d2 double"
+#: Bounds are rounded; so much of the distances is added.
+SLACK = 1e-9
 
 
 def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -73,65 +75,112 @@ def centroids(points: DataFrame, cells: int, seed: int = 0, rounds: int = 10) ->
     return np.array(KMeans(k=cells, seed=seed, maxIter=rounds).fit(data).clusterCenters())
 
 
-def ivf_knn(points: DataFrame, k: int, cells: int | None = None, probes: int = 20, seed: int = 0) -> DataFrame:
-    """Inverted cells: a point asks in the cells of its `probes` nearest centres. cells: sqrt(n) unless given."""
-    n = points.count()
-    cells = cells or max(1, int(n**0.5))
-    centres = centroids(points, cells, seed)
-    probes = min(probes, len(centres))
+def nearest_in_group(k: int, short_list: int = 0, decode=None):
+    """Of a group's queries (asks) and points, each query's k nearest within its reach.
+
+    short_list: the so many nearest by the points' codes, which decode turns into vectors, are compared by their own."""
+
+    def run(part: pa.Table) -> pa.Table:
+        asks = part["asks"].to_numpy()
+        x, i, reach = dense(part["x"]), part["i"].to_numpy(), part["reach"].to_numpy()
+        a, b, ia, ib = x[asks], x[~asks], i[asks], i[~asks]
+        bound = (reach[asks] * (1 + SLACK) + SLACK) ** 2
+        coarse = decode(dense(part.filter(pa.array(~asks))["codes"]).astype(np.int64)) if decode and len(b) else None
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        for lo in range(0, len(a) if len(b) else 0, 64):
+            own = a[lo : lo + 64]
+            if coarse is not None and short_list < len(b):
+                rough = (coarse * coarse).sum(1)[None] - 2 * own @ coarse.T
+                rough[ia[lo : lo + 64, None] == ib[None, :]] = np.inf
+                near = np.argpartition(rough, short_list - 1, axis=1)[:, :short_list]
+            else:
+                near = np.broadcast_to(np.arange(len(b)), (len(own), len(b)))
+            gaps = own[:, None, :] - (b[near] if near.shape[1] < len(b) else b[None])
+            d2 = np.einsum("qcm,qcm->qc", gaps, gaps)
+            d2[ia[lo : lo + 64, None] == ib[near]] = np.inf
+            n = min(k, d2.shape[1])
+            # the n smallest, and all that tie with the last of them: the final rank decides among ties by j
+            edge = np.minimum(np.partition(d2, n - 1, axis=1)[:, n - 1], bound[lo : lo + 64])
+            q, c = np.nonzero((d2 <= edge[:, None]) & np.isfinite(d2))
+            for column, found in zip(out, (ia[lo : lo + 64][q], ib[near[q, c]], d2[q, c]), strict=True):
+                column.append(found)
+        return pa.table([np.concatenate(c) for c in out], names=["i", "j", "d2"])
+
+    return run
+
+
+def in_cells(queries: DataFrame, listed: DataFrame, k: int, block: int = 2048, short_list: int = 0, decode=None) -> DataFrame:
+    """(i, j, d2): neighbours of queries (i, x, cell, reach) among the points listed (i, x, cell, and codes to decode) in
+    the same cell, at most k (and ties) for each query and group.
+
+    A cell of more than `block` points is dealt into blocks, its queries into chunks, so a group is bounded however hot its
+    cell is; only such cells are in the tables of sizes. No pair of points is a row."""
+    large = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name)).filter(F.col(name) > 1)
+    blocks, chunks = large(listed, "blocks"), large(queries, "chunks")
+    sized = lambda df: df.join(blocks, "cell", "left").join(chunks, "cell", "left").fillna(1, ["blocks", "chunks"])
+    codes = F.col("codes") if "codes" in listed.columns else F.lit(None).cast("array<int>")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "i"), F.col(n)).cast("int")
+    asking = sized(queries).select("cell", every("blocks").alias("block"), own("chunk", "chunks").alias("chunk"), F.lit(True).alias("asks"), "i", "x", "reach", F.lit(None).cast("array<int>").alias("codes"))
+    asked = sized(listed).select("cell", own("block", "blocks").alias("block"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "i", "x", F.lit(0.0).alias("reach"), codes.alias("codes"))
+    return asking.unionByName(asked).groupBy("cell", "block", "chunk").applyInArrow(nearest_in_group(k, short_list, decode), KNN)
+
+
+def _dealt(points: DataFrame, centres: np.ndarray, probes: int, code=None) -> DataFrame:
+    """(i, x, cells, codes): numbers of each point's nearest centres, nearest first, and its codes."""
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.reshape(-1).astype(np.int32)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = dense(b["x"])
             d2 = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
-            order = np.argsort(d2, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            cells_of = pa.ListArray.from_arrays(np.arange(0, order.size + 1, probes, dtype=np.int32), order.reshape(-1))
-            yield pa.RecordBatch.from_arrays([b["i"], b["x"], cells_of], names=["i", "x", "cells"])
+            order = np.argsort(d2, axis=1, kind="stable")[:, :probes]
+            codes = lists(code(x)) if code else pa.nulls(b.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b["i"], b["x"], lists(order), codes], names=["i", "x", "cells", "codes"])
+
+    return points.select("i", "x").mapInArrow(near, "i long, x array<double>, cells array<int>, codes array<int>")
+
 
-    dealt = points.select("i", "x").mapInArrow(near, "i long, x array<double>, cells array<int>")
-    queries = dealt.select("i", F.col("x").alias("xi"), F.explode("cells").alias("cell"))
-    listed = dealt.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.get("cells", F.lit(0)).alias("cell"))
-    return ranked(queries.join(listed, "cell").filter("i <> j").select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), k)
+def ivf_knn(points: DataFrame, k: int, cells: int | None = None, probes: int = 20, seed: int = 0) -> DataFrame:
+    """Inverted cells: a point asks in the cells of its `probes` nearest centres. cells: sqrt(n) unless given."""
+    cells = cells or max(1, int(points.count() ** 0.5))
+    centres = centroids(points, cells, seed)
+    dealt = _dealt(points, centres, min(probes, len(centres)))
+    queries = dealt.select("i", "x", F.explode("cells").alias("cell"), F.lit(float("inf")).alias("reach"))
+    return ranked(in_cells(queries, dealt.select("i", "x", F.get("cells", F.lit(0)).alias("cell")), k), k)
 
 
 def ivfpq_knn(points: DataFrame, k: int, cells: int | None = None, probes: int = 20, parts: int = 2, codes: int = 256, seed: int = 0, short_list: int = 32) -> DataFrame:
-    """As ivf_knn, but distances are to the nearest code of each of `parts` sub-vectors of the other point; the nearest
-    short_list * k by them are ranked by their true distance."""
+    """As ivf_knn, but points are compared by the nearest code of each of `parts` sub-vectors first; the nearest
+    short_list * k of a group by them are ranked by their true distance."""
     n, width = points.count(), len(points.first()["x"])
     edges = np.linspace(0, width, parts + 1).astype(int)
     books = [centroids(points.select(F.slice("x", int(a) + 1, int(b - a)).alias("x")), min(codes, n), seed) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    cells = cells or max(1, int(n**0.5))
-    centres = centroids(points, cells, seed)
-    probes = min(probes, len(centres))
+    centres = centroids(points, cells or max(1, int(n**0.5)), seed)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = dense(b["x"])
-            d2 = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
-            order = np.argsort(d2, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            coded = np.concatenate([book[np.argmin(((x[:, None, lo:hi] - book[None]) ** 2).sum(2), axis=1)] for book, lo, hi in zip(books, edges[:-1], edges[1:], strict=True)], axis=1)
-            lists = lambda v, size: pa.ListArray.from_arrays(np.arange(0, v.size + 1, size, dtype=np.int32), v.reshape(-1))
-            yield pa.RecordBatch.from_arrays([b["i"], b["x"], lists(coded, width), lists(order, probes)], names=["i", "x", "coded", "cells"])
+    def code(x: np.ndarray) -> np.ndarray:
+        parted = zip(books, edges[:-1], edges[1:], strict=True)
+        return np.stack([((book * book).sum(1)[None] - 2 * x[:, lo:hi] @ book.T).argmin(1) for book, lo, hi in parted], 1)
+
+    def decode(c: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[c[:, m]] for m, book in enumerate(books)], 1)
 
-    dealt = points.select("i", "x").mapInArrow(near, "i long, x array<double>, coded array<double>, cells array<int>")
-    queries = dealt.select("i", F.col("x").alias("xi"), F.explode("cells").alias("cell"))
-    listed = dealt.select(F.col("i").alias("j"), F.col("coded").alias("xj"), F.get("cells", F.lit(0)).alias("cell"))
-    nearest = ranked(queries.join(listed, "cell").filter("i <> j").select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), short_list * k)
-    both = nearest.select("i", "j").join(points.select("i", F.col("x").alias("xi")), "i").join(points.select(F.col("i").alias("j"), F.col("x").alias("xj")), "j")
-    return ranked(both.select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), k)
+    dealt = _dealt(points, centres, min(probes, len(centres)), code)
+    queries = dealt.select("i", "x", F.explode("cells").alias("cell"), F.lit(float("inf")).alias("reach"))
+    return ranked(in_cells(queries, dealt.select("i", "x", F.get("cells", F.lit(0)).alias("cell"), "codes"), k, short_list=short_list * k, decode=decode), k)
 
 
 def lsh_knn(points: DataFrame, k: int, bucket: float, tables: int = 8, seed: int = 0) -> DataFrame:
-    """Random projections: points that share a bucket of any of `tables` hashes are compared."""
+    """Random projections: points that share a bucket of any of `tables` hashes are compared, bucket by bucket."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     data = points.select("i", "x", array_to_vector("x").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(data)
-    hashed = model.transform(data).select("i", "x", F.posexplode("hashes").alias("table", "h")).select("i", "x", "table", F.get(vector_to_array("h"), F.lit(0)).cast("long").alias("h"))
-    a, b = hashed.withColumnRenamed("x", "xi"), hashed.select(F.col("i").alias("j"), F.col("x").alias("xj"), "table", "h")
-    pairs = a.join(b, ["table", "h"]).filter("i <> j").dropDuplicates(["i", "j"])
-    return ranked(pairs.select("i", "j", squared_l2(F.col("xi"), F.col("xj")).alias("d2")), k)
+    hashed = model.transform(data).select("i", "x", F.posexplode("hashes").alias("table", "h"))
+    hashed = hashed.select("i", "x", F.struct("table", F.get(vector_to_array("h"), F.lit(0)).cast("long").alias("h")).alias("cell"))
+    found = in_cells(hashed.withColumn("reach", F.lit(float("inf"))), hashed, k)
+    return ranked(found.dropDuplicates(["i", "j"]), k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neighborfield.operators.formats import full_from_upper, transpose
+from neighborfield.operators.line_fft import circular_convolution, shape_of
 
 
 @dataclass(frozen=True)
@@ -104,21 +103,27 @@ def toeplitz_edges(lags: DataFrame, n: int) -> DataFrame:
 
 def toeplitz_multiply(lags: DataFrame, x: DataFrame) -> DataFrame:
     """(i0, .., x): sum over places j of lags[i - j] * x[j], for lags (l0, .., v) and a vector (i0, .., x) of places from 0
-    in one or several dimensions (a block-Toeplitz matrix). By Fourier transforms of the padded vector, in one task: both
-    tables are those of a grid, which is bounded."""
+    in one or several dimensions (a block-Toeplitz matrix). By Fourier transforms in two steps over bands, for any size.
+
+    Several dimensions are written one after the other with room for every lag between them, so that the matrix is part of
+    one with a single dimension. Lags that join no two places do nothing."""
     places, steps = sorted(c for c in x.columns if c != "x"), sorted(c for c in lags.columns if c != "v")
-    both = x.select(F.lit(True).alias("vector"), *(F.col(c).cast("long").alias(f"p{m}") for m, c in enumerate(places)), F.col("x").alias("v"))
-    both = both.unionByName(lags.select(F.lit(False).alias("vector"), *(F.col(c).cast("long").alias(f"p{m}") for m, c in enumerate(steps)), "v"))
-
-    def run(part: pa.Table) -> pa.Table:
-        own = part["vector"].to_numpy()
-        at, v = np.stack([part[f"p{m}"].to_numpy() for m in range(len(places))]), part["v"].to_numpy()
-        size = at[:, own].max(1) + 1
-        near = ~own & (np.abs(at) < size[:, None]).all(0)
-        values, kernel = np.zeros(2 * size), np.zeros(2 * size)
-        values[tuple(at[:, own])] = v[own]
-        kernel[tuple(at[:, near] % (2 * size)[:, None])] = v[near]
-        out = np.fft.irfftn(np.fft.rfftn(values) * np.fft.rfftn(kernel), values.shape)
-        return pa.table([*at[:, own], out[tuple(at[:, own])]], names=[*places, "x"])
-
-    return both.groupBy(F.lit(0).alias("whole")).applyInArrow(run, ", ".join([*(f"{c} long" for c in places), "x double"]))
+    most = x.agg(*(F.coalesce(F.max(c), F.lit(-1)).alias(c) for c in places)).first()
+    sizes = [most[c] + 1 for c in places]
+    if 0 in sizes:
+        return x.select(*places, "x")
+    strides, n = [], 1
+    for size in reversed(sizes):
+        strides.insert(0, n)
+        n *= 2 * size
+    rows, columns = shape_of(n)
+    whole = rows * columns
+    flat = lambda names: sum(F.col(c).cast("long") * stride for c, stride in zip(names, strides, strict=True))
+    inside = [F.abs(F.col(c)) < size for c, size in zip(steps, sizes, strict=True)]
+    kernel = lags
+    for condition in inside:
+        kernel = kernel.filter(condition)
+    kernel = kernel.groupBy(F.pmod(flat(steps), F.lit(whole)).alias("i")).agg(F.sum("v").alias("x"))
+    vector = x.groupBy(flat(places).alias("i")).agg(F.sum("x").alias("x"))
+    found = circular_convolution(vector, kernel, whole, vector.select("i"))
+    return x.select(*places, flat(places).alias("i")).join(found, "i").select(*places, "x")

@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.operators.knn import KNN, dense, ranked
+from neighborfield.operators.knn import SLACK, dense, in_cells, ranked
 
 #: Points of a leaf or block, sampled points of a leaf, and leaves at most.
 LEAF, SAMPLE, LEAVES = 2048, 16, 8192
-#: Bounds are rounded; so much of the distances is added.
-SLACK = 1e-9
 
 
 @dataclass
@@ -93,43 +91,6 @@ def visits(node: Node, x: np.ndarray, reach: np.ndarray, rows: np.ndarray, own:
     yield from visits(node.right, x, reach, rows, own)
 
 
-def nearest_in_block(k: int):
-    """Of a group's queries and points, each query's k nearest within its reach."""
-
-    def run(part: pa.Table) -> pa.Table:
-        asks = part["asks"].to_numpy()
-        x, i, reach = dense(part["x"]), part["i"].to_numpy(), part["reach"].to_numpy()
-        a, b, ia, ib = x[asks], x[~asks], i[asks], i[~asks]
-        bound = (reach[asks] * (1 + SLACK) + SLACK) ** 2
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for lo in range(0, len(a) if len(b) else 0, 64):
-            gaps = a[lo : lo + 64, None, :] - b[None, :, :]
-            d2 = np.einsum("qcm,qcm->qc", gaps, gaps)
-            d2[ia[lo : lo + 64, None] == ib[None, :]] = np.inf
-            n = min(k, d2.shape[1])
-            edge = np.minimum(np.partition(d2, n - 1, axis=1)[:, n - 1], bound[lo : lo + 64])
-            q, c = np.nonzero((d2 <= edge[:, None]) & np.isfinite(d2))  # all that tie with the last: rank decides by j
-            for column, own in zip(out, (ia[lo : lo + 64][q], ib[c], d2[q, c]), strict=True):
-                column.append(own)
-        return pa.table([np.concatenate(c) for c in out], names=["i", "j", "d2"])
-
-    return run
-
-
-def _asked(queries: DataFrame, dealt: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Neighbours of queries (i, x, leaf, reach) among the points (i, x, leaf) of their leaf: groups of a block of points
-    and a chunk of queries. sizes (leaf, blocks) is a row for each leaf."""
-    blocks = F.broadcast(sizes)
-    chunks = queries.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("chunks"))
-    asking = queries.join(F.broadcast(chunks), "leaf").join(blocks, "leaf").select(
-        "leaf", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), "i", "x", "reach"
-    )
-    asked = dealt.join(F.broadcast(chunks), "leaf").join(blocks, "leaf").select(
-        "leaf", F.pmod(F.xxhash64(F.lit("block"), "i"), F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(False).alias("asks"), "i", "x", F.lit(0.0).alias("reach")
-    )
-    return asking.unionByName(asked).groupBy("leaf", "block", "chunk").applyInArrow(nearest_in_block(k), KNN)
-
-
 def tree_knn(points: DataFrame, k: int, write, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """points (i, x). (i, j, rank, d2) of the k nearest, ties by j; and (i, leaf), the visits beyond a point's own leaf.
 
@@ -160,11 +121,10 @@ def tree_knn(points: DataFrame, k: int, write, leaf: int = LEAF) -> tuple[DataFr
             yield pa.RecordBatch.from_arrays([b["i"], b["x"], own.astype(np.int32), away], names=["i", "x", "leaf", "away"])
 
     dealt = write(points.select("i", "x").mapInArrow(deal, "i long, x array<double>, leaf int, away double"), "tree-points")
-    sizes = dealt.groupBy("leaf").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
-    found = sizes.collect()  # a row for each leaf
-    cover(root, {r.leaf: r.radius for r in found})
-    sizes = points.sparkSession.createDataFrame([(r.leaf, r.blocks) for r in found], "leaf int, blocks int")
-    first = write(ranked(_asked(dealt.select("i", "x", "leaf", F.lit(float("inf")).alias("reach")), dealt, sizes, k), k).drop("rank"), "tree-first")
+    sizes = dealt.groupBy("leaf").agg(F.max("away").alias("radius"))
+    cover(root, dict(sizes.collect()))  # a row for each leaf
+    listed = dealt.select("i", "x", F.col("leaf").alias("cell"))
+    first = write(ranked(in_cells(listed.withColumn("reach", F.lit(float("inf"))), listed, k, LEAF), k).drop("rank"), "tree-first")
     reach = first.groupBy("i").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).alias("r"))
     bounded = dealt.join(reach, "i", "left").select("i", "x", "leaf", F.coalesce("r", F.lit(float("inf"))).alias("reach"))
 
@@ -176,5 +136,5 @@ def tree_knn(points: DataFrame, k: int, write, leaf: int = LEAF) -> tuple[DataFr
                 yield pa.RecordBatch.from_arrays([b["i"].take(at), b["x"].take(at), pa.array(np.full(len(rows), number, np.int32)), b["reach"].take(at)], names=["i", "x", "leaf", "reach"])
 
     sent = write(bounded.mapInArrow(search, "i long, x array<double>, leaf int, reach double"), "tree-visits")
-    second = _asked(sent, dealt, sizes, k)
+    second = in_cells(sent.withColumnRenamed("leaf", "cell"), listed, k, LEAF)
     return ranked(first.unionByName(second), k), sent.select("i", "leaf")

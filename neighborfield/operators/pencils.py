@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.operators.grid import _cell_axes, gather, placed, scatter, shift_to_origin, stencil
+from neighborfield.operators.grid import _cell_axes, gather_points, placed, scatter_points, shift_to_origin
 
 #: Bytes of the pencils that a task holds at once, about.
 PENCIL_BYTES = 32 << 20
@@ -193,5 +193,5 @@ def convolve_pencils(cells: DataFrame, kernel: Kernel = student2, edge: int | No
 
 def nuconv_pencils(y: DataFrame, h: float | None = None, nodes: int | None = None, edge: int | None = None) -> DataFrame:
     """(i, y0.., phi0..): the grid's fast kernel sum for grids beyond a task."""
-    own = stencil(placed(shift_to_origin(y), h, nodes))
-    return gather(own, convolve_pencils(scatter(own), edge=edge))
+    points = placed(shift_to_origin(y), h, nodes)
+    return gather_points(points, convolve_pencils(scatter_points(points), edge=edge))

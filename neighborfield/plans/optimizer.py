@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.functions.kernels import dot
+from neighborfield.functions.kernels import dot, lagrange_terms
 from neighborfield.operators import affinity, forces, grid, knn, preprocess, tree_forces
 from neighborfield.sources.synthetic import normal, uniform
 from neighborfield.params import FLT_MIN, EmbeddingParams, grid_size
@@ -152,8 +152,7 @@ def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
     t = np.minimum(y / spread, 1 - 2.220446049250313e-16) * (g - 1)
     f = np.floor(t).astype(int)
     x = t - f
-    far, near = (lambda v: ((-v / 6 + 1) * v - 11 / 6) * v + 1), (lambda v: ((0.5 * v - 1) * v - 0.5) * v + 1)
-    w = np.stack([far(1 + x), near(x), near(1 - x), far(2 - x)], 2)  # n, d, 4
+    w = np.stack(lagrange_terms(x), 2)  # n, d, 4
     side = g + 2
     cell, weight = np.zeros((n, 1), int), np.ones((n, 1))
     for m in range(d):

@@ -257,3 +257,49 @@ def test_a_stretched_grid_is_summed_by_the_tree(spark):
     push, z = optimizer._exact(bad)
     got, zeta = optimizer.repulsive_sums(frame(spark, bad), p)
     assert abs(zeta.first()["zeta"] / z - 1) < 1e-3 and np.allclose(by_id(got, "f0", "f1"), push, rtol=1e-2, atol=1e-6 * np.abs(push).max())
+
+
+@pytest.mark.parametrize("band", [16, 3])
+def test_toeplitz_products_of_any_size(spark, monkeypatch, band):
+    from neighborfield.operators import line_fft, linalg
+
+    monkeypatch.setattr(line_fft, "BAND", band)
+    rng = np.random.default_rng(15)
+    lag, x = rng.normal(size=599), rng.normal(size=300)
+    lags = spark.createDataFrame([(k - 299, float(v)) for k, v in enumerate(lag)] + [(500, 9.0)], "l0 long, v double")
+    got = {r.i0: r.x for r in linalg.toeplitz_multiply(lags, spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i0 long, x double")).collect()}
+    assert np.allclose([got[i] for i in range(300)], [sum(lag[i - j + 299] * x[j] for j in range(300)) for i in range(300)])
+    grid2, far = rng.normal(size=(7, 11)), rng.normal(size=(13, 21))
+    rows = spark.createDataFrame([(i, j, float(grid2[i, j])) for i in range(7) for j in range(11)], "i0 long, i1 long, x double")
+    two = spark.createDataFrame([(a - 6, b - 10, float(far[a, b])) for a in range(13) for b in range(21)], "l0 long, l1 long, v double")
+    got = {(r.i0, r.i1): r.x for r in linalg.toeplitz_multiply(two, rows).collect()}
+    want = {(i, j): sum(far[i - a + 6, j - b + 10] * grid2[a, b] for a in range(7) for b in range(11)) for i in range(7) for j in range(11)}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert linalg.toeplitz_multiply(two, rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("edge, most", [(32, 65_536), (3, 20)])
+def test_points_gather_from_blocks_of_cells(spark, edge, most):
+    rng = np.random.default_rng(16)
+    y = frame(spark, np.concatenate([rng.normal(size=(150, 2)) * 5, np.full((90, 2), 3.0)]))
+    points = grid.placed(grid.shift_to_origin(y), nodes=14)
+    rows = grid.stencil(points)
+    cells = {(r.c0, r.c1): (r.q0, r.q1, r.q2) for r in grid.scatter(rows).collect()}
+    fast = {(r.c0, r.c1): (r.q0, r.q1, r.q2) for r in grid.scatter_points(points).collect()}
+    assert cells.keys() == fast.keys() and all(np.allclose(cells[k], fast[k]) for k in cells)
+    phi = grid.convolve_fft(grid.scatter(rows)).persist()
+    names = ("phi0", "phi1", "phi2")
+    assert np.allclose(by_id(grid.gather_points(points, phi, edge, most), *names), by_id(grid.gather(rows, phi), *names))
+
+
+def test_neighbours_in_hot_cells(spark):
+    from neighborfield.operators import knn
+
+    x = np.random.default_rng(17).normal(size=(90, 3))
+    listed = point_frame(spark, x).withColumn("cell", F.when(F.col("i") < 70, 0).otherwise(F.col("i") % 2 + 1))
+    found = knn.ranked(knn.in_cells(listed.withColumn("reach", F.lit(float("inf"))), listed, 4, block=16), 4)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    cell = np.where(np.arange(90) < 70, 0, np.arange(90) % 2 + 1)
+    d2[cell[:, None] != cell[None]] = np.inf
+    np.fill_diagonal(d2, np.inf)
+    assert {(r.i, r.j) for r in found.collect()} == {(i, int(j)) for i in range(90) for j in np.argsort(d2[i])[:4]}
