@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from neighborfield.functions.array_metrics import MEASURES, PREPARED, Measure
 from neighborfield.functions.kernels import squared_l2
+from neighborfield.operators import preprocess
 
 KNN = "i long, j long, d2 double"
 #: Bounds are rounded; so much of the distances is added.
@@ -75,10 +77,11 @@ def centroids(points: DataFrame, cells: int, seed: int = 0, rounds: int = 10) ->
     return np.array(KMeans(k=cells, seed=seed, maxIter=rounds).fit(data).clusterCenters())
 
 
-def nearest_in_group(k: int, short_list: int = 0, decode=None):
+def nearest_in_group(k: int, short_list: int = 0, decode=None, measure: Measure | None = None):
     """Of a group's queries (asks) and points, each query's k nearest within its reach.
 
-    short_list: the so many nearest by the points' codes, which decode turns into vectors, are compared by their own."""
+    short_list: the so many nearest by the points' codes, which decode turns into vectors, are compared by their own.
+    measure: another distance than the euclidean one; d2 is its square."""
 
     def run(part: pa.Table) -> pa.Table:
         asks = part["asks"].to_numpy()
@@ -95,8 +98,11 @@ def nearest_in_group(k: int, short_list: int = 0, decode=None):
                 near = np.argpartition(rough, short_list - 1, axis=1)[:, :short_list]
             else:
                 near = np.broadcast_to(np.arange(len(b)), (len(own), len(b)))
-            gaps = own[:, None, :] - (b[near] if near.shape[1] < len(b) else b[None])
-            d2 = np.einsum("qcm,qcm->qc", gaps, gaps)
+            if measure is not None:
+                d2 = measure(own, b) ** 2
+            else:
+                gaps = own[:, None, :] - (b[near] if near.shape[1] < len(b) else b[None])
+                d2 = np.einsum("qcm,qcm->qc", gaps, gaps)
             d2[ia[lo : lo + 64, None] == ib[near]] = np.inf
             n = min(k, d2.shape[1])
             # the n smallest, and all that tie with the last of them: the final rank decides among ties by j
@@ -109,7 +115,7 @@ def nearest_in_group(k: int, short_list: int = 0, decode=None):
     return run
 
 
-def in_cells(queries: DataFrame, listed: DataFrame, k: int, block: int = 2048, short_list: int = 0, decode=None) -> DataFrame:
+def in_cells(queries: DataFrame, listed: DataFrame, k: int, block: int = 2048, short_list: int = 0, decode=None, measure: Measure | None = None) -> DataFrame:
     """(i, j, d2): neighbours of queries (i, x, cell, reach) among the points listed (i, x, cell, and codes to decode) in
     the same cell, at most k (and ties) for each query and group.
 
@@ -123,7 +129,24 @@ def in_cells(queries: DataFrame, listed: DataFrame, k: int, block: int = 2048, s
     own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "i"), F.col(n)).cast("int")
     asking = sized(queries).select("cell", every("blocks").alias("block"), own("chunk", "chunks").alias("chunk"), F.lit(True).alias("asks"), "i", "x", "reach", F.lit(None).cast("array<int>").alias("codes"))
     asked = sized(listed).select("cell", own("block", "blocks").alias("block"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "i", "x", F.lit(0.0).alias("reach"), codes.alias("codes"))
-    return asking.unionByName(asked).groupBy("cell", "block", "chunk").applyInArrow(nearest_in_group(k, short_list, decode), KNN)
+    return asking.unionByName(asked).groupBy("cell", "block", "chunk").applyInArrow(nearest_in_group(k, short_list, decode, measure), KNN)
+
+
+def metric_knn(points: DataFrame, k: int, distance: str) -> DataFrame:
+    """The k nearest by any distance of array_metrics: (i, j, rank, d2), d2 its square. All pairs are compared, in blocks."""
+    if distance == "seuclidean":
+        sd = preprocess.column_stats(points).agg(F.sort_array(F.collect_list(F.struct("m", "sd"))).alias("s"))
+        points = points.crossJoin(F.broadcast(sd)).select("i", F.zip_with("x", "s", lambda v, s: F.when(s["sd"] > 0, v / s["sd"]).otherwise(0.0)).alias("x"))
+    elif distance == "mahalanobis":
+        points = preprocess.whiten(points)
+    elif distance == "spearman":
+        points = preprocess.component_ranks(points)
+    name = PREPARED.get(distance, distance)
+    if name not in MEASURES:
+        raise ValueError(f"no distance {distance}")
+    listed = points.select("i", "x", F.lit(0).alias("cell"))
+    measure = None if name == "euclidean" else MEASURES[name]
+    return ranked(in_cells(listed.withColumn("reach", F.lit(float("inf"))), listed, k, measure=measure), k)
 
 
 def _dealt(points: DataFrame, centres: np.ndarray, probes: int, code=None) -> DataFrame:

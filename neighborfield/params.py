@@ -42,6 +42,7 @@ class EmbeddingParams:
     least_gain: float = 0.01
     h: float | None = None
     drop_leaf: bool = False
+    stochastic: bool = False
     repulsion: str = "grid"
     theta: float = 0.5
     grid: int | None = None

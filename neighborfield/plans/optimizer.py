@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neighborfield.functions.kernels import dot, lagrange_terms
-from neighborfield.operators import affinity, forces, grid, knn, preprocess, tree_forces
+from neighborfield.operators import affinity, forces, grid, knn, metric_tree, preprocess, tree_forces
 from neighborfield.sources.synthetic import normal, uniform
 from neighborfield.params import FLT_MIN, EmbeddingParams, grid_size
 from neighborfield.tables import written
@@ -232,8 +232,8 @@ def optimise_one_task(edges: DataFrame, y: DataFrame, p: EmbeddingParams, every:
 
 
 def graph_weights(edges: DataFrame, p: EmbeddingParams) -> DataFrame:
-    """The joint weights of a weighted graph (i, j, v): stochastic, rescaled, symmetric, total 1."""
-    rows = affinity.row_stochastic(affinity.drop_diagonal(edges))
+    """The joint weights of a weighted graph (i, j, v): stochastic (unless it is said to be), rescaled, symmetric, total 1."""
+    rows = edges.select("i", "j", "v") if p.stochastic else affinity.row_stochastic(affinity.drop_diagonal(edges))
     if p.lam != 1:
         rows = affinity.lambda_rescale(rows, p.lam, drop_leaf=p.drop_leaf).select("i", "j", "v")
     return affinity.joint(rows)
@@ -272,19 +272,23 @@ def cost_log(edges: DataFrame, p: EmbeddingParams | None = None, every: int = 50
 def embed_points(points: DataFrame, p: EmbeddingParams | None = None, neighbours: str = "exact", y0: DataFrame | None = None, callback=None, every: int = 50, distance: str = "euclidean", standardise: bool = False, pca: int | None = None, **overrides) -> DataFrame:
     """(i, y0, ..) of points (i, x): prepared, neighbours, perplexity, then embed_graph.
 
-    distance: euclidean, cosine (of unit vectors) or mahalanobis (of whitened ones); pca: so many components first."""
+    distance: one of array_metrics', for exact neighbours; cells take euclidean, cosine (of unit vectors; a zero vector
+    stays zero) and mahalanobis (of whitened ones). pca: so many components first. neighbours: exact, tree, ivf or ivfpq."""
     p = replace(p or EmbeddingParams(), **overrides)
     if standardise:
         points = preprocess.standardise(points)
     if pca:
         points = preprocess.pca(points, pca)
+    if neighbours == "exact" and distance != "euclidean":
+        return embed_graph(affinity.perplexity_edges(knn.metric_knn(points, p.k, distance), p.u), p, y0, callback, every)
     if distance == "cosine":
-        points = points.select("i", F.transform("x", lambda v: v / F.sqrt(dot(F.col("x"), F.col("x")))).alias("x"))
+        size = F.sqrt(dot(F.col("x"), F.col("x")))
+        points = points.select("i", F.transform("x", lambda v: F.when(size > 0, v / size).otherwise(0.0)).alias("x"))
     elif distance == "mahalanobis":
         points = preprocess.whiten(points)
     elif distance != "euclidean":
-        raise ValueError(f"no distance {distance}")
-    find = {"exact": knn.exact_knn, "ivf": knn.ivf_knn, "ivfpq": knn.ivfpq_knn}[neighbours]
+        raise ValueError(f"{neighbours} neighbours know no distance {distance}")
+    find = {"exact": knn.exact_knn, "tree": lambda x, k: metric_tree.tree_knn(x, k, written)[0], "ivf": knn.ivf_knn, "ivfpq": knn.ivfpq_knn}[neighbours]
     return embed_graph(affinity.perplexity_edges(find(points, p.k), p.u), p, y0, callback, every)
 
 

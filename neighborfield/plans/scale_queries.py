@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborfield.operators import blocked, grid, lowrank, metric_tree, nbody, pencils, preprocess, separators, solvers, tree_forces
+from neighborfield.operators import affinity, blocked, formats, grid, knn, linalg, lowrank, metric_tree, nbody, pencils, preprocess, separators, solvers, tree_forces
 from neighborfield.params import EmbeddingParams
 from neighborfield.plans import optimizer
 from neighborfield.plans import queries as q
@@ -42,6 +42,49 @@ _FLAT = Y + """, p AS (SELECT i, y0 + i * 0.000137::DOUBLE AS x0, y1 + i * 0.000
 k AS (SELECT i, j, d2, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM (SELECT a.i, b.i AS j, (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 AS d2 FROM p a JOIN p b ON a.i <> b.i))"""
 query("knn_tree_layout_k10", _FLAT + f" SELECT i, j, rank, {_r('d2', 'd2')} FROM k WHERE rank <= 10")(lambda s, d: rounded(metric_tree.tree_knn(flat_points(s, d), 10, written, leaf=32)[0]))
 
+# neighbours by other distances
+
+_PAIR = "list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))"
+_BY = {
+    "cosine": "list_cosine_distance(a.x, b.x)",
+    "correlation": "list_cosine_distance(list_transform(a.x, lambda v: v - list_avg(a.x)), list_transform(b.x, lambda v: v - list_avg(b.x)))",
+    "cityblock": f"list_sum({_PAIR})",
+    "chebychev": f"list_max({_PAIR})",
+    "minkowski": "list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]) ** 3)) ** (1 / 3.0)",
+}
+for _name, _value in _BY.items():
+    query(f"knn_{_name}_k5", f"{P}, m AS (SELECT a.i, b.i AS j, ({_value}) ** 2 AS d2 FROM p a JOIN p b ON a.i <> b.i), k AS (SELECT i, j, d2, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM m) SELECT i, j, rank, {_r('d2', 'd2')} FROM k WHERE rank <= 5")(lambda s, d, n=_name: rounded(knn.metric_knn(points(s, d), 5, n)))
+
+# a graph of customers and suppliers, which grows with the tables
+
+_C = """e AS (SELECT o_custkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+
+
+def purchases(s: SparkSession, d: str) -> DataFrame:
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_quantity")
+    orders = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return lines.join(orders, "l_orderkey").groupBy(F.col("o_custkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+def accounts(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"))
+
+
+_S = "x AS (SELECT s_suppkey AS i, s_acctbal AS x FROM supplier)"
+query("spmv_purchases", f"{_C}, {_S} SELECT e.i, {_r('sum(v * x)', 'x', 2)} FROM e JOIN x ON e.j = x.i GROUP BY e.i")(lambda s, d: rounded(linalg.spmv(purchases(s, d), accounts(s, d)), 2))
+query("spmv_min_plus_purchases", f"{_C}, {_S} SELECT e.i, {_r('min(v + x)', 'x', 2)} FROM e JOIN x ON e.j = x.i GROUP BY e.i")(lambda s, d: rounded(linalg.spmv(purchases(s, d), accounts(s, d), linalg.MIN_PLUS), 2))
+query("stochastic_purchases", f"{_C} SELECT i, j, {_r('v / sum(v) OVER (PARTITION BY i)', 'v', 9)} FROM e")(lambda s, d: rounded(affinity.row_stochastic(purchases(s, d)), 9))
+query("offsets_purchases", f"{_C}, g AS (SELECT i, count(*) AS n FROM e GROUP BY i) SELECT i, (sum(n) OVER (ORDER BY i) - n)::BIGINT AS start, n AS degree FROM g")(lambda s, d: rounded(formats.csr_offsets(purchases(s, d))))
+query("gram_purchases", f"{_C} SELECT a.j AS i, b.j AS j, {_r('sum(a.v * b.v)', 'v', 2)} FROM e a JOIN e b ON a.i = b.i GROUP BY a.j, b.j")(lambda s, d: rounded(linalg.multiply(formats.transpose(purchases(s, d)), purchases(s, d)), 2))
+query("toeplitz_line", f"x AS (SELECT vec_id AS i, (vec_id % 17)::DOUBLE AS x FROM embeddings) SELECT a.i AS i0, {_r('sum(b.x / (1 + abs(a.i - b.i)))', 'x', 4)} FROM x a, x b GROUP BY a.i")(lambda s, d: rounded(linalg.toeplitz_multiply(_lags(s, d), s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i0"), (F.col("vec_id") % 17).cast("double").alias("x"))), 4))
+
+
+def _lags(s: SparkSession, d: str) -> DataFrame:
+    """1 / (1 + distance) for every distance of two of the table's ids."""
+    ids = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id")
+    return ids.select(F.explode(F.array_distinct(F.array("vec_id", -F.col("vec_id")))).alias("l0")).withColumn("v", 1 / (1 + F.abs("l0")))
+
+
 # repulsion by a tree
 
 _DEPTH = 7

@@ -47,23 +47,49 @@ def layout_binary(y: DataFrame) -> DataFrame:
     return y.orderBy("i").select("i", *dims).mapInArrow(pack, "first long, content binary")
 
 
+def _one_file(rows: DataFrame, path: str, pieces) -> None:
+    """Rows with i, in order of it, through one task to one file: pieces(batches) gives its bytes, part by part."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        done = 0
+        with system.open_output_stream(where) as out:
+            for piece in pieces(batches):
+                done += out.write(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["bytes"])
+
+    rows.repartition(1).sortWithinPartitions("i").mapInArrow(write, "bytes long").collect()
+
+
 def points_binary(points: DataFrame, path: str, theta: float = 0.5, perplexity: float = 30.0, dims: int = 2, iterations: int = 1000) -> None:
     """One binary file of points (i, x): int n, int d, double theta, double perplexity, int dims, int iterations, n * d doubles.
     The format is one file, so one task writes it, batch by batch in order of i."""
     size = points.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
-    head = struct.pack("<iiddii", size.n, size.d, theta, perplexity, dims, iterations)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        rows = 0
-        with system.open_output_stream(where) as out:
-            out.write(head)
-            for b in batches:
-                out.write(np.ascontiguousarray(b["x"].flatten().to_numpy(zero_copy_only=False), "<f8").tobytes())
-                rows += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([rows])], names=["rows"])
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        yield struct.pack("<iiddii", size.n, size.d, theta, perplexity, dims, iterations)
+        for b in batches:
+            yield np.ascontiguousarray(b["x"].flatten().to_numpy(zero_copy_only=False), "<f8").tobytes()
+
+    _one_file(points.select("i", "x"), path, pieces)
+
+
+def result_file(y: DataFrame, path: str) -> None:
+    """One binary result file of a layout: int n, int d, the layout, n landmark numbers, n costs (zeros); in order of i."""
+    dims = axes(y)
+    n = y.count()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        yield struct.pack("<ii", n, len(dims))
+        for b in batches:
+            yield np.ascontiguousarray(np.stack([b[c].to_numpy() for c in dims], 1), "<f8").tobytes()
+        for lo in range(0, n, 1 << 16):
+            yield np.arange(lo, min(n, lo + (1 << 16)), dtype="<i4").tobytes()
+        for lo in range(0, n, 1 << 16):
+            yield bytes(8 * (min(n, lo + (1 << 16)) - lo))
 
-    points.select("i", "x").repartition(1).sortWithinPartitions("i").mapInArrow(write, "rows long").collect()
+    _one_file(y.select("i", *dims), path, pieces)
 
 
 def result_binary(y: DataFrame, costs: DataFrame | None = None) -> bytes:
