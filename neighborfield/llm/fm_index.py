@@ -316,3 +316,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         return pa.table([row, pa.array(np.diff(at)), pa.array(n_removed), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=["row", "n_words", "n_removed", "spans", "kept"])
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+
+
+#: The definition for DuckDB: windows of 20 words as strings.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, coalesce(text, '')) AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+w AS (SELECT r, s, array_to_string(words[s + 1 : s + 20], ' ') AS w FROM (SELECT r, words, unnest(range(len(words) - 19)) AS s FROM d WHERE len(words) >= 20)),
+f AS (SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY w ORDER BY r, s) AS nth FROM w) WHERE nth > 1),
+c AS (SELECT DISTINCT r, unnest(range(s, s + 20)) AS p FROM f),
+x AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
+k AS (SELECT r, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL) AS kept FROM x LEFT JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_decontaminate": op12_decontaminate,
     "op13_source_audit": op13_source_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": OP2_SQL, "op4_license_scan": license_scan.scan_sql(), "op11_vector_codes": vector_codes.SQL, "op12_decontaminate": decontaminate.SQL, "op13_source_audit": source_audit.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": OP2_SQL, "op3_fm_index": fm_index.SQL, "op4_license_scan": license_scan.scan_sql(), "op7_pivot_index": pivot_index.SQL, "op9_suffix_merge": suffix_merge.SQL, "op11_vector_codes": vector_codes.SQL, "op12_decontaminate": decontaminate.SQL, "op13_source_audit": source_audit.SQL}

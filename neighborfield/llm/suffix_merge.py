@@ -339,3 +339,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         return pa.table([row, pa.array(np.diff(at)), pa.array(n_removed), pa.array(n_spans), kept], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing(finish), schema)
+
+
+#: The definition for DuckDB: strings of 50 bytes in hexadecimal; texts are cut into stretches first, for short substrings.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+q AS (SELECT doc_id, x, unnest(range((strlen(x) + 999) // 1000)) AS n FROM d),
+s AS MATERIALIZED (SELECT doc_id, n, x[1000 * n + 1 : 1000 * n + 1098] AS x FROM q),
+b AS MATERIALIZED (SELECT doc_id, 500 * n + p AS p, x[2 * p + 1 : 2 * p + 2] AS byte, CASE WHEN 2 * p + 100 <= strlen(x) THEN x[2 * p + 1 : 2 * p + 100] END AS w FROM (SELECT doc_id, n, x, unnest(range(least(500, strlen(x) // 2))) AS p FROM s)),
+f AS (SELECT doc_id, p, byte, w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id AS starts FROM b),
+g AS (SELECT doc_id, p, byte, coalesce(max(CASE WHEN starts THEN p END) OVER (PARTITION BY doc_id ORDER BY p) > p - 50, false) AS gone FROM f),
+h AS (SELECT doc_id, p, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM g),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM h GROUP BY doc_id)
+SELECT doc_id, strlen(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

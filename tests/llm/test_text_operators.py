@@ -25,7 +25,7 @@ def docs(spark):
     return h.documents(spark).persist()
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_exact_dedup", "op4_license_scan"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_exact_dedup", "op3_fm_index", "op4_license_scan", "op7_pivot_index", "op9_suffix_merge"])
 def test_query_matches_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, SF), duck, queries.ORACLE_SQL[name])
 
