@@ -15,7 +15,7 @@ from neighborfield.functions.kernels import dot, lagrange_terms
 from neighborfield.operators import affinity, forces, grid, knn, metric_tree, preprocess, tree_forces
 from neighborfield.sources.synthetic import normal, uniform
 from neighborfield.params import FLT_MIN, EmbeddingParams, grid_size
-from neighborfield.tables import written
+from neighborfield.tables import drop, noted, written
 
 #: Points and edges up to which a whole optimisation is one task's, about 50 MB; beyond, each step is distributed.
 ONE_TASK_POINTS, ONE_TASK_EDGES = 20_000, 2_000_000
@@ -97,11 +97,21 @@ def schedule(p: EmbeddingParams, step: int) -> tuple[float, float]:
 def optimise(edges: DataFrame, y: DataFrame, p: EmbeddingParams, callback: Callable[[int, DataFrame, dict], bool | None] | None = None, every: int = 50, checkpoint: int = 5, times: StageTimes | None = None) -> DataFrame:
     """The loop with one job chain for each few steps; edges and state stay distributed. callback may stop it by True.
 
-    times: each step's attraction, repulsion and update are written and measured apart."""
-    edges = written(edges.select("i", "j", "v"), "edges")
-    state = written(start_state(y), "state")
+    times: each step's attraction, repulsion and update are written and measured apart. What a step has written is dropped
+    when the next state is there, so a layout given to callback is to be read while it is called."""
+    with noted() as made:
+        edges = written(edges.select("i", "j", "v"), "edges")
+        kept = made.pop()  # the edges, until the end
+        state = written(start_state(y), "state")
+        layout = written(_steps(edges, state, p, callback, every, checkpoint, times, made).select("i", *forces.axes(y)), "layout")
+        drop(layout.sparkSession, [*made[:-1], kept])
+    return layout
+
+
+def _steps(edges: DataFrame, state: DataFrame, p: EmbeddingParams, callback, every: int, checkpoint: int, times: StageTimes | None, made: list[str]) -> DataFrame:
+    """The state after all steps. made: paths of what was written; only the newest state is kept."""
     p = by_size(p, state.count())
-    dims = forces.axes(y)
+    dims = [c for c in state.columns if c.startswith("y")]
     for step in range(p.max_iter):
         alpha, momentum = schedule(p, step)
         own = state.select("i", *dims)
@@ -111,20 +121,25 @@ def optimise(edges: DataFrame, y: DataFrame, p: EmbeddingParams, callback: Calla
             pull = times.written(forces.attraction(edges, own), step, "attractive")
             push = times.written(repulsive_sums(own, p)[0], step, "repulsive")
             gradient = forces.gradient(pull, push, alpha)
+        if p.tol > 0:
+            gradient = written(gradient, "gradient")  # the state and the norm read it
         state = update(state, gradient, p, momentum)
         last = step == p.max_iter - 1
-        if times is not None:
-            state = times.written(state, step, "update")
-        elif last or p.repulsion != "exact" or (step + 1) % checkpoint == 0 or callback and (step + 1) % every == 0:
-            state = written(state, f"state-{step}")
-        if p.tol > 0 and gradient.agg(F.max(sum(F.abs(f"d{c[1:]}") for c in dims))).first()[0] < p.tol:
+        settled = times is not None or last or p.repulsion != "exact" or (step + 1) % checkpoint == 0 or bool(callback) and (step + 1) % every == 0
+        if settled:
+            state = written(state, f"state-{step}") if times is None else times.written(state, step, "update")
+        small = p.tol > 0 and gradient.agg(F.max(sum(F.abs(f"d{c[1:]}") for c in dims))).first()[0] < p.tol
+        if settled:
+            drop(state.sparkSession, made[:-1])
+            del made[:-1]
+        if small:
             break
         if callback and ((step + 1) % every == 0 or last):
             own = state.select("i", *dims)
             cost = forces.kl_cost(edges, own, repulsive_sums(own, p)[1], alpha).first()["kl"]
             if callback(step, own, {"iter": step, "kl": cost, "alpha": alpha}):
                 break
-    return written(state.select("i", *dims), "layout")
+    return state
 
 
 def _exact(y: np.ndarray) -> tuple[np.ndarray, float]:

@@ -303,3 +303,19 @@ def test_neighbours_in_hot_cells(spark):
     d2[cell[:, None] != cell[None]] = np.inf
     np.fill_diagonal(d2, np.inf)
     assert {(r.i, r.j) for r in found.collect()} == {(i, int(j)) for i in range(90) for j in np.argsort(d2[i])[:4]}
+
+
+@pytest.mark.parametrize("options", [{"repulsion": "exact"}, {"repulsion": "tree"}, {"repulsion": "exact", "tol": 1e-30}])
+def test_a_loop_drops_what_it_wrote(spark, options):
+    import os
+
+    from neighborfield.tables import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    ring = np.roll(np.eye(12), 1, 1) + np.roll(np.eye(12), -1, 1)
+    seen = []
+    y = optimizer.optimise(edge_frame(spark, ring / ring.sum()), frame(spark, np.random.default_rng(5).normal(size=(12, 2))), EmbeddingParams(max_iter=5, eta=1.0, **options), lambda step, own, cost: seen.append((step, own.count())), every=2, checkpoint=3)
+    assert y.count() == 12 and seen == [(1, 12), (3, 12), (4, 12)]
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"layout"}
