@@ -10,7 +10,7 @@ frequencies on the driver and the broadcast prefix table have a size that no inp
 Beside the templates' labels come those of phrases whose words stand consecutively, with their places.
 
 A null text is empty: no words, no labels, score 0. Rows with equal doc_id and equal text share their result. A null
-doc_id stays null. An empty table gives no rows. Other columns of the input are ignored.
+doc_id stays null. A very long text is one row with its words in an array. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Pieces find their place by their rank among the pieces of their length; ranks co
 (length, block), so that a length that a third of all pieces have is dealt over many tasks.
 
 Nulls: a null text is empty; its document is the end id alone. A null doc_id stays null. Repeated rows are documents
-of their own. An empty table gives no rows. Other columns of the input are ignored.
+of their own. A very long text is one row, of which a task holds the ids. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations

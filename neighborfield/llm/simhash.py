@@ -9,7 +9,7 @@ what it found instead of all pairs.
 
 Nulls: a null text is empty; texts without words have fingerprint zero and link like any other. A null doc_id is in
 its component but never names it, unless no row of the component has an id (component_id is then null). Repeated rows
-stay. An empty table gives no rows. Other columns of the input are ignored.
+stay. A very long text is one row, shingled in its task. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
