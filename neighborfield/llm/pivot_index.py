@@ -105,7 +105,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
             widths = whole["v"].value_lengths().to_numpy(zero_copy_only=False)
             for width in np.unique(widths).tolist():
                 own = whole.filter(pa.array(widths == width))
-                rows = max(1, (1 << 22) // len(pivots.get(width, [0])))
+                rows = max(1, (1 << 20) // len(pivots.get(width, [0])))
                 for lo in range(0, own.num_rows, rows):
                     b = own.slice(lo, rows)
                     near = nearest_pivots(units(matrix(b["v"])), pivots[width], prefix) if width in pivots else np.zeros((b.num_rows, 1), np.int64)
