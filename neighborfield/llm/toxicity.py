@@ -2,14 +2,16 @@
 
 Texts become sets of hashed features: lower-cased words and their beginnings. From a bounded sample of labelled rows
 (SAMPLE_ROWS, chosen by a hash of doc_id) come the voters: a public lexicon of insults, patterns of writing, and the
-features that go most with the label. The label model has a class share, and for each voter how often it votes in
-either class; correlations between voters within a class are estimated from their joint votes, and a voter's evidence
-is divided by one plus its correlations with the others that vote, so that ten voters that say the same thing count about once.
-It is fitted by expectation maximisation on the votes; the given label is one more voter, right 19 times out of 20. A logistic
-regression on the features is then trained on the posteriors, never on the labels themselves, and scores every text.
+features that go most with the label; the given label is one more voter. The label model is generative: a class share,
+for each voter how often it votes in either class, and for pairs of voters that go together within the classes a factor:
+voters form a forest, a voter's rates depend on the class and on its parent's vote, and the forest is that of the largest mutual
+information given the class, edges that pay for their two parameters only (by BIC). Everything is estimated by expectation
+maximisation from the voters' agreement, starting from how many of them vote; the label's own error rates are estimated like
+any other's. The label is no voter's parent or child, and tells which class is the toxic one. Copies of a text count once.
+A logistic regression on the features is then trained on the posteriors, never on the labels themselves, and scores every text.
 
-What it is not: the label starts the posterior and stays a voter, so accuracies are not learned from the voters' agreement
-alone; correlations discount evidence and are not factors of the generative model. A very long text is one row.
+What it is not: which features become voters is found with the label; a forest has one parent for each voter, so a voter that goes
+with several others is tied to the nearest. A very long text is one row.
 
 Score: 0 to 1, higher for likelier toxic. Null and empty texts get the score of a text without features. Without any
 labelled row, or with labels of one kind only, the lexicon and pattern voters alone make the label model. A null label
@@ -85,30 +87,65 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: rows x voters, 0 or 1. start: first posterior. (posterior, votes in class 1 and 0 by voter, evidence share)."""
-    posterior, votes = start.astype(float), votes.astype(np.float32)
-    m = votes.shape[1]
-    anchor = np.log(start / (1 - start))  # one more voter, whose accuracy is given: without it the classes may swap roles
-    fired, quiet = votes, np.ones(m)
+def joint_votes(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """[a, b, j, k]: weighted rows where voter j votes a and voter k votes b."""
+    w = weight.astype(np.float32)
+    both = sum(((votes[a : a + 1000] * w[a : a + 1000, None]).T @ votes[a : a + 1000]).astype(float) for a in range(0, len(votes), 1000))
+    own, total = np.diag(both), float(weight.sum())
+    return np.maximum(np.array([[total - own[:, None] - own + both, own - both], [own[:, None] - both, both]]), 0)
+
+
+def information(joint: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters, times the rows' weight."""
+    own, other, total = joint.sum(1, keepdims=True), joint.sum(0, keepdims=True), joint.sum((0, 1)) + 1e-9
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(joint > 1e-9, joint * np.log(joint * total / (own * other)), 0).sum((0, 1))
+
+
+def forest(gain: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent, -1 if none, in the maximum spanning forest over the gains above `least`."""
+    m = len(gain)
+    parent, best, left = np.full(m, -1), np.full(m, least, float), np.ones(m, bool)
+    for _ in range(m):
+        j = int(np.argmax(np.where(left, best, -np.inf)))
+        left[j] = False
+        closer = left & (gain[j] > best)
+        best[closer], parent[closer] = gain[j][closer], j
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray | None = None, alone: int = 0, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """votes: rows x voters, 0 or 1. start: first posterior. weight: how much a row counts. The last `alone` voters have
+    no factors with others. (posterior, vote rates in class 1 and 0 by voter, parent of each voter)."""
+    votes = votes.astype(np.float32)
+    n, m = votes.shape
+    weight = np.ones(n) if weight is None else weight
+    posterior, parent, own = start.astype(float), np.full(m, -1), np.arange(m)
     for step in range(rounds):
-        fit = posterior.astype(np.float32)
-        on = (fit @ votes + 0.5) / (posterior.sum() + 2)
-        off = ((1 - fit) @ votes + 0.05) / ((1 - posterior).sum() + 2)
-        if step % 5 == 0:  # correlations within a class, beyond what the class explains
-            strength = np.zeros((m, m))
-            for weight, rate in ((posterior, on), (1 - posterior, off)):
-                total = weight.sum() + 1e-9
-                both = sum((votes[a : a + 1000] * weight[a : a + 1000, None]).T @ votes[a : a + 1000] for a in range(0, len(votes), 1000)) / total - np.outer(rate, rate)
-                spread = np.sqrt(rate * (1 - rate)) + 1e-6
-                strength = np.maximum(strength, np.clip(both / np.outer(spread, spread), 0, 1) * min(1.0, total / 20))
-            np.fill_diagonal(strength, 0)
-            fired = np.concatenate([votes[a : a + 1000] / (1 + votes[a : a + 1000] @ strength) for a in range(0, len(votes), 1000)], dtype=np.float32)  # a vote counts less beside others that it goes with
-            quiet = 1 / (1 + strength.sum(1))
-        prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-        z = anchor + np.log(prior / (1 - prior)) + fired @ np.log(on / off).astype(np.float32) + (silent := quiet * np.log((1 - on) / (1 - off))).sum() - votes @ silent.astype(np.float32)
+        classes = (posterior * weight, (1 - posterior) * weight)
+        joint = [joint_votes(votes, c) for c in classes]
+        if step % 5 == 0:
+            # The first posterior is no estimate yet: taken as it is, the class itself would show as factors.
+            gain = sum(map(information, joint if step else [joint_votes(votes, weight * side) for side in (posterior > 0.5, posterior <= 0.5)]))
+            gain[m - alone :], gain[:, m - alone :] = 0, 0
+            parent = forest(gain, np.log(max(2.0, weight.sum())))
+        child = np.flatnonzero(parent >= 0)
+        above = parent[child]
+        prior = np.clip(classes[0].sum() / max(1e-9, weight.sum()), 1e-4, 1 - 1e-4)
+        z, rates = np.full(n, np.log(prior / (1 - prior))), []
+        for sign, j, c, floor in ((1, joint[0], classes[0], 0.5), (-1, joint[1], classes[1], 0.05)):
+            rate = np.clip((j[1, 1, own, own] + floor) / (c.sum() + 2), 1e-6, 1 - 1e-6)
+            # Log odds of a vote, and log chance of none, given the parent's vote 0 or 1; rates draw towards the voter's own.
+            given = [np.clip((j[1, b, child, above] + rate[child]) / (j[:, b, child, above].sum(0) + 1), 1e-6, 1 - 1e-6) for b in (0, 1)]
+            base = rate.copy()
+            base[child] = given[0]
+            none, odds = np.log(1 - base), np.log(base / (1 - base))
+            linear = odds + np.bincount(above, weights=np.log((1 - given[1]) / (1 - given[0])), minlength=m)
+            pairs = np.log(given[1] / (1 - given[1])) - odds[child]
+            z += sign * (none.sum() + votes @ linear.astype(np.float32) + (votes[:, child] * votes[:, above]) @ pairs.astype(np.float32))
+            rates.append(rate)
         posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return posterior, np.stack([on, off]), quiet
+    return posterior, np.stack(rates), parent
 
 
 def logistic(at: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, steps: int = 250, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -162,8 +199,13 @@ def fit(rows: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray) -> Mode
     for i in range(len(PATTERNS)):
         votes[:, len(voters) + i] = patterns >> i & 1
     lexical = votes[:, number[[hashed("w " + w) for w in LEXICON]]].max(1)
-    start = np.clip(toxic, 0.05, 0.95) if both_kinds else np.clip(lexical, 0.05, 0.95)
-    posterior, _, _ = label_model(votes, start)
+    if both_kinds:
+        agreed = votes[:, : len(voters)].sum(1)
+        posterior, rates, _ = label_model(np.column_stack([votes, toxic]), np.where(agreed > 1, 0.95, np.where(agreed == 1, 0.7, 0.02)), counts, alone=1)
+        if rates[0, -1] < rates[1, -1]:  # the class where the label is rarer
+            posterior = 1 - posterior
+    else:
+        posterior, _, _ = label_model(votes, np.clip(lexical, 0.05, 0.95), counts)
     chosen = np.argsort(-evidence, kind="stable")[:FEATURES]
     chosen = np.unique(np.concatenate([chosen[evidence[chosen] >= FEATURE_EVIDENCE], voters]))
     number = np.full(size, -1)

@@ -124,6 +124,26 @@ def test_label_model_discounts_voters_that_repeat_each_other():
     assert ((posterior > 0.5) == truth).mean() > ((odds > 1) == truth).mean() - 0.01 and np.all(rates[0][:3] > 5 * rates[1][:3])
 
 
+def test_label_model_finds_factors_and_error_rates_from_agreement():
+    rng = np.random.default_rng(1)
+    n = 6000
+    truth = rng.random(n) < 0.3
+
+    def voter(on, off):
+        return rng.random(n) < np.where(truth, on, off)
+
+    first, label = voter(0.6, 0.05), voter(0.8, 0.1)
+    echo = np.where(rng.random(n) < 0.9, first, voter(0.6, 0.05))
+    votes = np.stack([first, echo, voter(0.7, 0.03), voter(0.5, 0.05), voter(0.6, 0.1), label], 1).astype(float)
+    agreed = votes[:, :5].sum(1)
+    posterior, rates, parent = toxicity.label_model(votes, np.where(agreed > 1, 0.9, 0.1), alone=1)
+    assert {parent[0], parent[1]} in ({-1, 0}, {-1, 1}) and np.all(parent[2:] == -1)
+    assert abs(rates[0, 5] - 0.8) < 0.05 and abs(rates[1, 5] - 0.1) < 0.03 and abs(rates[0, 2] - 0.7) < 0.05  # no row's truth was given
+    assert ((posterior > 0.5) == truth).mean() > (votes[:, 5].astype(bool) == truth).mean() + 0.04
+    once, again = (toxicity.label_model(np.repeat(votes, k, 0), np.repeat(np.where(agreed > 1, 0.9, 0.1), k), np.full(n * k, 1 / k), alone=1)[0] for k in (1, 3))
+    assert np.allclose(np.repeat(once, 3), again, atol=1e-3)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
