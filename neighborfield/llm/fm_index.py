@@ -2,13 +2,15 @@
 
 Windows reach the shard of their anchor's hash (anchored.py), so a shard indexes only what may repeat and is searched
 only by that. A shard's different contexts, earliest first, are concatenated; the Burrows-Wheeler transform of the text
-is kept as a wavelet matrix of packed bits with running counts. Backward search runs for all windows of the shard at
-once and drops a window as soon as it matches nothing but itself: its matching statistic is then below the threshold.
-Windows that reach the full length ask a range minimum over the suffix-array interval for the earliest occurrence.
+is kept as a wavelet matrix of packed bits with counts by blocks of 512 bits. Of the suffix array two things stay: where the
+suffixes' first size and size - 1 symbols change, and for each interval of size symbols the earliest place. The contexts are streamed
+against the index from their last word to their first: a step of backward search lengthens the match by one word, and a match of
+the full length is first cut to size - 1, whose interval the kept borders give. So a word costs one step, and each window's
+matching statistic (capped at the window's size) comes with the earliest place of its interval. A window is removed where that place is
+earlier than its own; copies of whole contexts are decided by the same comparison.
 
-What it is not: contexts that are equal as a whole are settled by equality of strings, in the block and in the shard, and
-never meet the index; the suffix array is kept whole beside the wavelet matrix, not sampled; documents are not streamed
-against shards. A very long text is one block, whose words one task holds as a list.
+Equal contexts are written into a shard's text once, at their earliest place, and a block sends each different context once, so that
+a passage with very many copies is one string of the index. A very long text is one block, whose words one task holds as a list.
 
 A null text has no words. Rows with the same doc_id are one document's text starting at the same place: neither is
 earlier. A null doc_id comes after all others. Documents with fewer words than a window keep them all. An empty table
@@ -17,6 +19,8 @@ gives no rows. All input columns come back in one column named row, so that no n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,15 +45,17 @@ class WaveletMatrix:
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.words, self.before, self.zeros = [], [], []
+        self.words, self.before, self.inside, self.zeros = [], [], [], []
         own = symbols
         for level in range(self.levels - 1, -1, -1):
             bit = (own >> level & 1).astype(bool)
-            padded = np.zeros(-(-(len(own) + 1) // 64) * 64, np.uint8)
+            padded = np.zeros(-(-(len(own) + 1) // 512) * 512, np.uint8)
             padded[: len(own)] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
+            ones = np.bitwise_count(words).reshape(-1, 8).cumsum(1)
             self.words.append(words)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int64))
+            self.before.append(np.concatenate([[0], np.cumsum(ones[:-1, -1])]).astype(np.int32 if len(own) < 1 << 31 else np.int64))  # ones before a block of 512
+            self.inside.append(np.concatenate([np.zeros((len(ones), 1), np.int64), ones[:, :-1]], 1).astype(np.int16).reshape(-1))  # and in it, before a word
             self.zeros.append(int(len(own) - bit.sum()))
             own = np.concatenate([own[~bit], own[bit]])
         self.starts = self._walk(np.arange(1 << self.levels, dtype=np.int64), np.zeros(1 << self.levels, np.int64))
@@ -57,7 +63,7 @@ class WaveletMatrix:
     def _walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         for i in range(self.levels):
             word = at >> 6
-            ones = self.before[i][word] + np.bitwise_count(self.words[i][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = self.before[i][word >> 3].astype(np.int64) + self.inside[i][word] + np.bitwise_count(self.words[i][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
             at = np.where(symbols >> (self.levels - 1 - i) & 1, self.zeros[i] + ones, at - ones)
         return at
 
@@ -65,46 +71,65 @@ class WaveletMatrix:
         return self._walk(symbols, at) - self.starts[symbols]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text sorted by at least their first depth symbols."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes of text sorted by at least their first depth symbols; ranks by the first `span` symbols, and that span:
+    the largest power of two below depth, or less where ranks by fewer symbols already tell all suffixes apart."""
     n, rank, span = len(text), text.astype(np.int64), 1
     while True:
         ahead = np.zeros(n, np.int64)
         if span < n:
             ahead[: n - span] = rank[span:] + 1
-        if span == 1:
-            key = rank * (int(rank.max()) + 2) + ahead
-        else:
-            key = rank * (n + 2) + ahead
+        key = rank * (max(n, int(rank.max())) + 2) + ahead
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        if 2 * span >= depth:
+            return order, rank, span
         rank = np.empty(n, np.int64)
         rank[order] = new
+        if new[-1] == n - 1:
+            return order, rank, span
         span *= 2
-        if span >= depth or new[-1] == n - 1:
-            return order
 
 
 class FMIndex:
-    """Backward search over a text of symbols >= 1; depth bounds the length of patterns."""
+    """Backward search over a text of symbols >= 1; depth bounds the length of patterns. With `values`, one for each symbol,
+    each interval of `depth` symbols has the least value of its places."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, values: np.ndarray | None = None):
         text = np.concatenate([text, [0]])
         sigma = int(text.max()) + 1
-        self.order = suffix_order(text, depth + 1)
-        self.wavelet = WaveletMatrix(text[self.order - 1], sigma)
+        order, rank, span = suffix_order(text, depth)
+        self.size, self.depth = len(text), depth
+        self.wavelet = WaveletMatrix(text[order - 1], sigma)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+        if values is not None:
+            self.full, self.shorter = (self._borders(order, rank, span, n) for n in (depth, depth - 1))
+            self.least = np.minimum.reduceat(np.append(values, values.max(initial=0))[order], self.full)
+
+    def _borders(self, order: np.ndarray, rank: np.ndarray, span: int, n: int) -> np.ndarray:
+        """Where the first n symbols of the ordered suffixes change."""
+        change = np.zeros(self.size, bool)
+        change[0] = True
+        if n > 0:
+            ends = np.concatenate([rank, np.full(n, -1)])
+            for at in ({0, n - span} if n > span else {0}):
+                own = ends[order + at]
+                change[1:] |= own[1:] != own[:-1]
+        return np.flatnonzero(change).astype(np.int32 if self.size < 1 << 31 else np.int64)
+
+    def step(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the patterns that are one symbol longer to the left."""
+        ends = self.wavelet.rank(np.concatenate([symbols, symbols]), np.concatenate([lo, hi]))
+        return self.first[symbols] + ends[: len(symbols)], self.first[symbols] + ends[len(symbols) :]
 
     def search(self, patterns: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For rows of patterns: (length of the longest suffix with at least `least` occurrences, its interval)."""
         n, size = patterns.shape
-        lo, hi, length = np.zeros(n, np.int64), np.full(n, len(self.order), np.int64), np.zeros(n, np.int64)
+        lo, hi, length = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
         active = np.arange(n)
         for step in range(size):
-            c = patterns[active, size - 1 - step].astype(np.int64)
-            ends = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo[active], hi[active]]))
-            new_lo, new_hi = self.first[c] + ends[: len(c)], self.first[c] + ends[len(c) :]
+            new_lo, new_hi = self.step(patterns[active, size - 1 - step].astype(np.int64), lo[active], hi[active])
             enough = new_hi - new_lo >= least
             active = active[enough]
             if not len(active):
@@ -113,19 +138,29 @@ class FMIndex:
             length[active] = step + 1
         return length, lo, hi
 
-
-def interval_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(values[lo:hi]) for each non-empty interval."""
-    out = np.empty(len(lo), values.dtype)
-    level, table, size = 0, values, hi - lo
-    depth = np.floor(np.log2(size)).astype(np.int64)
-    while True:
-        own = depth == level
-        out[own] = np.minimum(table[lo[own]], table[hi[own] - (1 << level)])
-        if level >= depth.max(initial=0):
-            return out
-        table = np.minimum(table[: -(1 << level)], table[1 << level :])
-        level += 1
+    def stream(self, symbols: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts symbols[begin : begin + depth - 1 + windows] read from their ends: (text, window, least value) for the windows that
+        occur, a window of each text at a time, the last first."""
+        last = windows.astype(np.int64) - 1
+        text = np.flatnonzero(last >= 0)
+        at = begin + last
+        length, lo, hi = self.search(symbols[at[text, None] + np.arange(self.depth)[None, :]], 1)
+        for back in range(int(last.max(initial=-1)) + 1):
+            whole = length == self.depth
+            yield text[whole], last[text[whole]] - back, self.least[np.searchsorted(self.full, lo[whole], "right") - 1]
+            own = last[text] > back
+            text, length, lo, hi = text[own], length[own], lo[own], hi[own]
+            # The match without its last symbol, then with the symbol before it.
+            group = np.searchsorted(self.shorter, lo, "right") - 1
+            whole = length == self.depth
+            lo = np.where(whole, self.shorter[group], 0)
+            hi = np.where(whole, np.append(self.shorter, self.size)[group + 1], self.size)
+            new = at[text] - back - 1
+            lo, hi = self.step(symbols[new], lo, hi)
+            length = np.where(whole & (hi > lo), self.depth, 0)
+            lost = np.flatnonzero(~whole)  # nothing to cut: such a window is searched anew
+            if len(lost):
+                length[lost], lo[lost], hi[lost] = self.search(symbols[new[lost, None] + np.arange(self.depth)[None, :]], 1)
 
 
 class _Hashes(dict):
@@ -169,9 +204,9 @@ def _contexts(rows: pa.Table, replies: pa.Table, read, w: Windows, ids: np.ndarr
     return at, words, place, first, last, doc, start, number, list(numbers), earliest, of
 
 
-def earliest_windows(keys: list[tuple[int, bytes]], docs: np.ndarray, starts: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For different contexts, each with its earliest place: (context, offset, document, start) of the earliest
-    occurrence of each window that more than one place of the contexts has."""
+def earliest_windows(keys: list[tuple[int, bytes]], docs: np.ndarray, starts: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For different contexts, each with its earliest place: [context, window] the number of the place where the window
+    occurs first, -1 if there is no such window; the places' documents and starts."""
     order = np.lexsort((starts, docs))
     ids: dict[bytes, int] = {}
     symbols: list[int] = []
@@ -184,27 +219,17 @@ def earliest_windows(keys: list[tuple[int, bytes]], docs: np.ndarray, starts: np
     sizes = np.diff(np.concatenate([begin[order], [len(text)]]))
     doc_at, start_at = np.repeat(docs[order], sizes), np.repeat(starts[order] - begin[order], sizes) + np.arange(len(text))
     by_place = np.lexsort((start_at, doc_at))
-    place = np.empty(len(text) + 1, np.int64)
-    new = np.concatenate([[0], np.cumsum((doc_at[by_place][1:] != doc_at[by_place][:-1]) | (start_at[by_place][1:] != start_at[by_place][:-1]))])
-    place[by_place] = new
-    place[-1] = len(text)
-    index = FMIndex(text, w.size)
+    new = np.concatenate([[True], (doc_at[by_place][1:] != doc_at[by_place][:-1]) | (start_at[by_place][1:] != start_at[by_place][:-1])])
+    place = np.empty(len(text), np.int32 if len(text) < 1 << 31 else np.int64)
+    place[by_place] = np.cumsum(new) - 1
     n_windows = np.zeros(len(keys), np.int64)
     n_windows[order] = sizes - 1 - w.size + 1
-    context = np.repeat(np.arange(len(keys)), n_windows)
-    nth = np.arange(len(context)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    at = begin[context] + nth
-    values = place[index.order]
-    found: list[tuple] = []
-    for lo in range(0, len(at), 1 << 15):
-        own = slice(lo, lo + (1 << 15))
-        length, left, right = index.search(text[at[own, None] + np.arange(w.size)[None, :]])
-        hit = np.flatnonzero(length == w.size)
-        if len(hit):
-            least = by_place[np.searchsorted(new, interval_minima(values, left[hit], right[hit]))]
-            anchor = np.array([keys[i][0] for i in context[own][hit].tolist()])
-            found.append((context[own][hit], anchor - nth[own][hit], doc_at[least], start_at[least]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    found = np.full((len(keys), w.steps), -1, place.dtype)
+    index = FMIndex(text, w.size, place)
+    for lo in range(0, len(keys), 1 << 15):
+        for context, window, least in index.stream(text, begin[lo : lo + (1 << 15)], n_windows[lo : lo + (1 << 15)]):
+            found[lo + context, window] = least
+    return found, doc_at[by_place[new]], start_at[by_place[new]]
 
 
 def _resolve(w: Windows):
@@ -212,7 +237,7 @@ def _resolve(w: Windows):
         """For each block: places of contexts, and a bit for each offset whose window starts earlier."""
         blocks = part["block"].to_pylist()
         numbers: dict[tuple[int, bytes], int] = {}
-        number, grams = [], {}
+        number = []
         for raw, offsets in zip(part["contexts"], part["offsets"], strict=True):
             for key in zip(unpacked(offsets.as_py(), "<u2").tolist(), zstandard.ZstdDecompressor().decompress(raw.as_py()).split(b"\n"), strict=True):
                 number.append(numbers.setdefault(key, len(numbers)))
@@ -223,26 +248,15 @@ def _resolve(w: Windows):
         run = np.repeat(np.arange(len(blocks)), [len(s) for s in spots])
         by = np.lexsort((starts, docs, number))
         first = by[np.searchsorted(number[by], np.arange(len(keys)))]
-        later = (docs > docs[first[number]]) | ((docs == docs[first[number]]) & (starts > starts[first[number]]))
-        offset = np.array([k[0] for k in keys])
-        windows = np.array([k[1].count(b" ") + 1 for k in keys]) - w.size + 1
-        # A context that comes first somewhere else: every window of it, offsets from windows' first to last.
-        full = np.array([sum(1 << (o - i) for i in range(n)) for o, n in zip(offset.tolist(), windows.tolist(), strict=True)], np.uint64)
-        mask = np.where(later, full[number], np.uint64(0))
-        for i, (o, text) in enumerate(keys):
-            grams.setdefault(b" ".join(text.split(b" ", o + w.gram)[o : o + w.gram]), []).append(i)
-        shared = np.array(sorted(i for x in grams.values() if len(x) > 1 for i in x), np.int64)
-        if len(shared):
-            context, at, doc, start = earliest_windows([keys[i] for i in shared.tolist()], docs[first[shared]], starts[first[shared]], w)
-            context = shared[context]
-            member_by = np.argsort(number, kind="stable")
-            edge = np.searchsorted(number[member_by], np.arange(len(keys) + 1))
-            n = edge[context + 1] - edge[context]
-            of = np.repeat(np.arange(len(context)), n)
-            member = member_by[np.repeat(edge[context], n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
-            own = starts[member] + offset[context[of]] - at[of]
-            hit = (doc[of] < docs[member]) | ((doc[of] == docs[member]) & (start[of] < own))
-            np.bitwise_or.at(mask, member[hit], np.uint64(1) << at[of][hit].astype(np.uint64))
+        offset = np.array([k[0] for k in keys])[number]
+        earliest, doc_of, start_of = earliest_windows(keys, docs[first], starts[first], w)
+        mask = np.zeros(len(number), np.uint64)
+        for nth in range(w.steps):
+            least = earliest[number, nth]
+            hit = np.flatnonzero(least >= 0)
+            least = least[hit]
+            hit = hit[(doc_of[least] < docs[hit]) | ((doc_of[least] == docs[hit]) & (start_of[least] < starts[hit] + nth))]
+            mask[hit] |= np.uint64(1) << (offset[hit] - nth).astype(np.uint64)
         rows = []
         for i, (b, s) in enumerate(zip(blocks, spots, strict=True)):
             m = mask[run == i]

@@ -137,6 +137,30 @@ def test_fm_index_lengths_and_intervals():
         assert (length[i], hi[i] - lo[i]) == (k, n)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 6, 8])
+def test_texts_streamed_against_an_fm_index(size):
+    rng = np.random.default_rng(size)
+    text, others = rng.integers(1, 5, 1500), rng.integers(1, 6, 400)
+    text[-1] = 5
+    values = rng.permutation(1500)
+    index = fm_index.FMIndex(text, size, values)
+    begin, windows = np.array([0, 100, 120, 390, 200]), np.array([60, 1, 33, 0, 90])
+    found = {(t, w): v for part in index.stream(others, begin, windows) for t, w, v in zip(*(x.tolist() for x in part), strict=True)}
+    want = {}
+    for t, (b, n) in enumerate(zip(begin.tolist(), windows.tolist(), strict=True)):
+        for w in range(n):
+            own = others[b + w : b + w + size]
+            at = [int(values[a]) for a in range(1500 - size + 1) if (text[a : a + size] == own).all()]
+            if at:
+                want[t, w] = min(at)
+    assert found == want and found
+    apart = np.arange(1, 61)
+    apart[[20, 27]] = apart[[0, 7]]  # suffixes that few symbols tell apart, and whose ends agree
+    for _, _, least in fm_index.FMIndex(apart, size, np.arange(60)[::-1].copy()).stream(apart, np.array([0, 20]), np.array([1, 1])):
+        assert least.tolist() == ([59 - 20, 59 - 20] if size == 1 else [59, 39])
+    assert index.wavelet.inside[0].dtype == np.int16 and index.wavelet.before[0].dtype == np.int32
+
+
 @pytest.mark.parametrize(("size", "gram"), [(50, 24), (12, 8)])
 def test_byte_windows(docs, size, gram):
     found = suffix_merge.remove_repeats(docs, size, gram).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
