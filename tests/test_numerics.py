@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neighborfield.functions import kernels
-from neighborfield.operators import affinity, forces, formats, grid, knn, linalg, preprocess
+from neighborfield.operators import affinity, forces, formats, grid, knn, linalg, pair_blocks, preprocess
 from neighborfield.params import EmbeddingParams, grid_size
 from neighborfield.plans import optimizer
 from neighborfield.sources import synthetic
@@ -118,3 +118,22 @@ def test_preparation(spark):
     gap = x[0] - x[1]
     assert abs(np.linalg.norm(w[0] - w[1]) - np.sqrt(gap @ np.linalg.inv(np.cov(x.T)) @ gap)) < 1e-9
     assert grid_size(20.2, 0.7) == 30 and grid_size(0.1, 0.7) == 14 and grid_size(1e6, 0.7) == 510
+
+
+def test_all_pairs_keep_ties_and_leave_out_what_is_not_finite(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 3, (150, 3)), np.full((1, 3), np.nan), rng.normal(size=(60, 3)) + 1e6]).astype(float)
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i long, x array<double>").repartition(7)
+    d2 = ((x[:, None] - x[None]) ** 2).cumsum(2)[:, :, -1]
+    np.fill_diagonal(d2, np.inf)
+    want = {(i, int(j), r + 1) for i in range(len(x)) if i != 150 for r, j in enumerate([j for j in np.lexsort((np.arange(len(x)), d2[i])) if j != 150][:6])}
+    assert want == {(r.i, r.j, r["rank"]) for r in knn.exact_knn(points, 6, block=40).collect()}
+
+
+def test_all_pairs_send_points_to_a_bounded_number_of_chunks(spark, monkeypatch):
+    """Blocks of a fixed size made the copies of a point grow with the points."""
+    seen, pack = [], pair_blocks._packed
+    monkeypatch.setattr(pair_blocks, "_packed", lambda p, chunks, asks: seen.append(chunks) or pack(p, chunks, asks))
+    for n in (10, 20_000, 1_000_000):
+        knn.exact_knn(spark.range(n).select(F.col("id").alias("i"), F.array(F.col("id").cast("double")).alias("x")), 3)
+    assert seen == [1, 1, 48, 48, 48, 48]
