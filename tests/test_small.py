@@ -107,3 +107,28 @@ def test_gradient_service_and_twin_errors(spark, ring):
     service.close()
     errors = optimizer.twin_errors(ring, y, EmbeddingParams(eta=1.0, h=0.2), 2)
     assert [e["iter"] for e in errors] == [0, 1] and all(e["error"] < 1e-2 for e in errors)
+
+
+@pytest.mark.parametrize("name", sorted(array_metrics.PAIRS))
+def test_distances_of_all_pairs_by_tiles(name):
+    """Tiles and rows of pairs give a distance alike, equal points and far ones included, and no near pair is ruled out."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(-2, 3, (40, 20)), rng.normal(size=(40, 20)), np.full((3, 20), 2.0), rng.normal(size=(20, 20)) * 1e-3 + 1e5])
+    pairs, plain = array_metrics.PAIRS[name], array_metrics.MEASURES[name](x, x)
+    own = pairs.prepare(x)
+    r, c = (v.ravel() for v in np.indices(plain.shape))
+    assert np.allclose(pairs.tile(own, own), plain, rtol=1e-9, atol=1e-9)
+    assert np.allclose(pairs.squared(own[r], own[c]), plain[r, c] ** 2, rtol=1e-9, atol=1e-9)
+    limit = np.sqrt(np.sort(pairs.squared(own[r], own[c]).reshape(plain.shape), axis=1)[:, 7])
+    near = pairs.near(own, pairs.ready(own), limit)
+    assert near[pairs.squared(own[r], own[c]).reshape(plain.shape) <= (limit * limit)[:, None]].all()
+
+
+def test_summaries_of_all_pairs_are_no_rows_of_pairs(spark):
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    d = array_metrics.cityblock(x, x)
+    apart = d[~np.eye(300, dtype=bool)].reshape(300, 299)
+    found = knn.metric_summaries(point_frame(spark, x), "cityblock")
+    got = {r.i: (r.least, r.most, r.total) for r in found.collect()}
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert all(np.allclose(got[i], (a.min(), a.max(), a.sum())) for i, a in enumerate(apart))
