@@ -2,8 +2,8 @@
 
 The tree is fitted on a bounded sample and every point is dealt by it. A point first asks in its own leaf; the distance
 of its k-th neighbour there bounds what is left, and it is sent only to leaves whose ball it reaches. Where distances
-hardly differ (independent components in many dimensions) no bound prunes, and each point visits each leaf, as in the
-block form. A leaf of more than `leaf` points, however hot, is dealt into blocks, its queries into chunks.
+hardly differ (independent components in many dimensions) no bound prunes; a point that would visit more than an eighth of
+the leaves isn't sent to them, all points pass by it in packed blocks instead (pair_blocks). A leaf of more than `leaf` points, however hot, is dealt into blocks, its queries into chunks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neighborfield.functions.array_metrics import PAIRS
+from neighborfield.operators import pair_blocks
 from neighborfield.operators.knn import SLACK, dense, in_cells, ranked
 
 #: Points of a leaf or block, sampled points of a leaf, and leaves at most.
@@ -131,10 +133,16 @@ def tree_knn(points: DataFrame, k: int, write, leaf: int = LEAF) -> tuple[DataFr
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, own = dense(b["x"]), b["leaf"].to_numpy()
-            for rows, number in visits(root, x, b["reach"].to_numpy(), np.arange(len(x)), own):
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b["i"].take(at), b["x"].take(at), pa.array(np.full(len(rows), number, np.int32)), b["reach"].take(at)], names=["i", "x", "leaf", "reach"])
-
-    sent = write(bounded.mapInArrow(search, "i long, x array<double>, leaf int, reach double"), "tree-visits")
-    second = in_cells(sent.withColumnRenamed("leaf", "cell"), listed, k, LEAF)
-    return ranked(first.unionByName(second), k), sent.select("i", "leaf")
+            found = [(rows, np.full(len(rows), number, np.int32)) for rows, number in visits(root, x, b["reach"].to_numpy(), np.arange(len(x)), own)]
+            rows, leaf = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.int32)), *found, strict=True))
+            order = np.argsort(rows, kind="stable")
+            starts = np.searchsorted(rows[order], np.arange(len(x) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b["i"], b["x"], b["reach"], pa.ListArray.from_arrays(pa.array(starts), pa.array(leaf[order]))], names=["i", "x", "reach", "leaves"])
+
+    sent = write(bounded.mapInArrow(search, "i long, x array<double>, reach double, leaves array<int>"), "tree-visits")
+    many = F.size("leaves") > max(pair_blocks.CHUNKS, leaves // 8)
+    second = in_cells(sent.filter(~many).select("i", "x", F.explode("leaves").alias("cell"), "reach"), listed, k, LEAF)
+    found = ranked(first.join(sent.filter(many).select("i"), "i", "left_anti").unionByName(second), k)
+    if leaves > pair_blocks.CHUNKS:
+        found = found.unionByName(pair_blocks.nearest(sent.filter(many), dealt, k, PAIRS["euclidean"]))
+    return found, sent.select("i", F.explode("leaves").alias("leaf"))

@@ -319,3 +319,28 @@ def test_a_loop_drops_what_it_wrote(spark, options):
     assert y.count() == 12 and seen == [(1, 12), (3, 12), (4, 12)]
     left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
     assert left == {"layout"}
+
+
+def test_tree_points_that_visit_most_leaves_are_not_sent_to_them(spark, monkeypatch):
+    seen, cells = [], metric_tree.in_cells
+    monkeypatch.setattr(metric_tree, "in_cells", lambda q, *a: seen.append(q.count()) or cells(q, *a))
+    x = np.random.default_rng(4).normal(size=(800, 12))
+    found, visits = metric_tree.tree_knn(point_frame(spark, x), 3, written, leaf=8)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    assert {(r.i, r.j, r["rank"]) for r in found.collect()} == {(i, int(j), k + 1) for i in range(800) for k, j in enumerate(np.argsort(d2[i])[:3])}
+    assert visits.count() > 800 * 50 and seen[1] < 800 * 20
+
+
+@pytest.mark.parametrize("bucket", [0.05, 6.0])
+def test_coarse_and_fine_buckets_give_what_shares_one(spark, monkeypatch, bucket):
+    from neighborfield.operators import knn, pair_blocks
+
+    passed, own = [], pair_blocks.nearest
+    monkeypatch.setattr(pair_blocks, "nearest", lambda *a: passed.append(1) or own(*a))
+    points = point_frame(spark, np.random.default_rng(6).normal(size=(300, 5)))
+    rows = lambda df: {(r.i, r.j, r["rank"], round(r.d2, 9)) for r in df.collect()}
+    found = rows(knn.lsh_knn(points, 4, bucket, tables=3))
+    assert bool(passed) == (bucket > 1)
+    monkeypatch.setattr(knn, "MEET", 0 if passed else 1e9)  # the other way
+    assert found == rows(knn.lsh_knn(points, 4, bucket, tables=3))
