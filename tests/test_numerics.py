@@ -137,3 +137,21 @@ def test_all_pairs_send_points_to_a_bounded_number_of_chunks(spark, monkeypatch)
     for n in (10, 20_000, 1_000_000):
         knn.exact_knn(spark.range(n).select(F.col("id").alias("i"), F.array(F.col("id").cast("double")).alias("x")), 3)
     assert seen == [1, 1, 48, 48, 48, 48]
+
+
+def test_gram_of_rows_that_batches_cut(spark, monkeypatch):
+    """Equal to the product, without a row for each pair of entries."""
+    monkeypatch.setattr(linalg, "PRODUCTS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        rng = np.random.default_rng(4)
+        a = rng.integers(1, 9, (20, 11)) * (rng.random((20, 11)) < 0.5)
+        i, j = np.nonzero(a)
+        edges = spark.createDataFrame([(int(r), int(c), float(a[r, c])) for r, c in zip(i, j, strict=True)], "i long, j long, v double")
+        found = linalg.gram(edges)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        rows = found.collect()
+        assert len(rows) == len({(r.i, r.j) for r in rows}) == np.count_nonzero(a.T @ a) and all(r.v == (a.T @ a)[r.i, r.j] for r in rows)
+        assert linalg.gram(edges.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
