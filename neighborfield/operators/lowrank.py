@@ -25,27 +25,31 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def kernel_times(points: DataFrame, vectors: DataFrame, kernel: Kernel) -> DataFrame:
-    """(i, u): the kernel matrix of points (i, x) times vectors (i, u array). Blocks of points meet in tasks; n * blocks
-    rows are shuffled and no pair of points is a row."""
-    blocks = max(1, -(-points.count() // BLOCK))
-    own = points.join(vectors, "i").withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    """(i, u): the kernel matrix of points (i, x) times vectors (i, u array). Equal points have equal rows and
+    columns, so each different point stands once, with the sum of its vectors. Blocks of these meet in tasks; no pair is a row."""
+    both = points.join(vectors, "i")
+    known = both.select("x", F.posexplode("u").alias("m", "v")).groupBy("x", "m").agg(F.sum("v").alias("v"))
+    known = known.groupBy("x").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "v"))), lambda z: z["v"]).alias("u"))
+    blocks = max(1, -(-points.select("x").distinct().count() // BLOCK))
+    own = known.withColumn("b", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
     every = F.explode(F.expr(f"sequence(0, {blocks - 1})"))
-    rows = own.select(F.col("b").alias("p"), every.alias("c"), F.lit(True).alias("asks"), "i", "x", "u")
-    others = own.select(every.alias("p"), F.col("b").alias("c"), F.lit(False).alias("asks"), "i", "x", "u")
+    rows = own.select(F.col("b").alias("p"), every.alias("c"), F.lit(True).alias("asks"), "x", "u")
+    others = own.select(every.alias("p"), F.col("b").alias("c"), F.lit(False).alias("asks"), "x", "u")
 
     def meet(part: pa.Table) -> pa.Table:
         asks = part["asks"].to_numpy()
-        x, u, i = dense(part["x"]), dense(part["u"]), part["i"].to_numpy()
+        x, u = dense(part["x"]), dense(part["u"])
         a, b, given = x[asks], x[~asks], u[~asks]
         out = np.zeros((len(a), u.shape[1]))
         for lo in range(0, len(a), 128):
             gap = a[lo : lo + 128, None, :] - b[None]
             out[lo : lo + 128] = kernel(np.einsum("abm,abm->ab", gap, gap)) @ given
-        return pa.table([pa.array(i[asks]), _lists(out)], names=["i", "u"])
+        return pa.table([_lists(a), _lists(out)], names=["x", "u"])
 
-    met = rows.unionByName(others).groupBy("p", "c").applyInArrow(meet, "i long, u array<double>")
-    summed = met.select("i", F.posexplode("u").alias("m", "v")).groupBy("i", "m").agg(F.sum("v").alias("v"))
-    return summed.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "v"))), lambda z: z["v"]).alias("u"))
+    met = rows.unionByName(others).groupBy("p", "c").applyInArrow(meet, "x array<double>, u array<double>")
+    summed = met.select("x", F.posexplode("u").alias("m", "v")).groupBy("x", "m").agg(F.sum("v").alias("v"))
+    summed = summed.groupBy("x").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "v"))), lambda z: z["v"]).alias("u"))
+    return points.join(summed, "x").select("i", "u")
 
 
 def triangular(vectors: DataFrame, write: Write) -> np.ndarray:

@@ -344,3 +344,15 @@ def test_coarse_and_fine_buckets_give_what_shares_one(spark, monkeypatch, bucket
     assert bool(passed) == (bucket > 1)
     monkeypatch.setattr(knn, "MEET", 0 if passed else 1e9)  # the other way
     assert found == rows(knn.lsh_knn(points, 4, bucket, tables=3))
+
+
+def test_kernel_products_of_equal_points_meet_once(spark):
+    x = np.repeat(np.arange(5.0), 20)[:, None]
+    u = np.random.default_rng(3).normal(size=(100, 2))
+
+    def kernel(d2):
+        assert d2.size <= 25  # five different points
+        return 1 / (1 + d2)
+
+    found = lowrank.kernel_times(point_frame(spark, x), spark.createDataFrame([(i, r) for i, r in enumerate(u.tolist())], "i long, u array<double>"), kernel)
+    assert np.allclose(by_id(found, "u")[:, 0], 1 / (1 + (x - x.T) ** 2) @ u)
