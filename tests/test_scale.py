@@ -356,3 +356,11 @@ def test_kernel_products_of_equal_points_meet_once(spark):
 
     found = lowrank.kernel_times(point_frame(spark, x), spark.createDataFrame([(i, r) for i, r in enumerate(u.tolist())], "i long, u array<double>"), kernel)
     assert np.allclose(by_id(found, "u")[:, 0], 1 / (1 + (x - x.T) ** 2) @ u)
+
+
+def test_components_as_points_are_gathered_from_runs(spark):
+    x = np.random.default_rng(9).normal(size=(37, 4))
+    found = preprocess.turned(point_frame(spark, x).repartition(3), run=5)
+    assert {r.i: r.x for r in found.collect()} == {m: x[:, m].tolist() for m in range(4)}
+    assert "posexplode" not in found._jdf.queryExecution().toString()  # no row for a value
+    assert preprocess.turned(point_frame(spark, x).limit(0)).count() == 0
