@@ -364,3 +364,12 @@ def test_components_as_points_are_gathered_from_runs(spark):
     assert {r.i: r.x for r in found.collect()} == {m: x[:, m].tolist() for m in range(4)}
     assert "posexplode" not in found._jdf.queryExecution().toString()  # no row for a value
     assert preprocess.turned(point_frame(spark, x).limit(0)).count() == 0
+
+
+def test_axes_of_few_points_are_signed_by_blocks(spark):
+    x = np.random.default_rng(10).normal(size=(6, 50))
+    own = x - x.mean(0)
+    axes = np.linalg.svd(own, full_matrices=False)[2][:3]
+    axes *= np.sign(axes[np.arange(3), np.abs(axes).argmax(1)])[:, None]
+    got = by_id(preprocess.pca_dual(point_frame(spark, x), 3, block=7), "x")[:, 0]
+    assert np.allclose(got, own @ axes.T)
