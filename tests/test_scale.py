@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from neighborfield.operators import blocked, forces, grid, lowrank, metric_tree, nbody, pencils, preprocess, separators, solvers, tree_forces
+from neighborfield.functions import array_metrics
+from neighborfield.operators import blocked, forces, grid, lowrank, metric_tree, nbody, pair_blocks, pencils, preprocess, separators, solvers, tree_forces
 from neighborfield.params import EmbeddingParams
 from neighborfield.plans import optimizer
 from neighborfield.sources import ranges, sinks
@@ -373,3 +374,16 @@ def test_axes_of_few_points_are_signed_by_blocks(spark):
     axes *= np.sign(axes[np.arange(3), np.abs(axes).argmax(1)])[:, None]
     got = by_id(preprocess.pca_dual(point_frame(spark, x), 3, block=7), "x")[:, 0]
     assert np.allclose(got, own @ axes.T)
+
+
+@pytest.mark.parametrize("size, middle", [(1.0, 0.0), (1.0, 3e4), (1e-25, 0.0), (1e25, 0.0), (1e-3, 1e14)])
+def test_float_products_rule_no_neighbour_out(size, middle):
+    x = np.random.default_rng(3).normal(size=(400, 8)) * size + middle
+    own = pair_blocks.Nearest(np.arange(400), x, 5, array_metrics.PAIRS["euclidean"])
+    own.see(np.arange(400), x)
+    gaps = x[:, None] - x[None]
+    d2 = np.cumsum(gaps * gaps, axis=2)[:, :, -1]
+    d2[np.diag_indices(400)] = np.inf
+    j = np.lexsort((np.broadcast_to(np.arange(400), d2.shape), d2), axis=-1)[:, :5]
+    own._settle()
+    assert (own.j == j).all() and (own.d2 == np.take_along_axis(d2, j, 1)).all()
