@@ -77,7 +77,7 @@ def block_graph(edges: DataFrame, box: DataFrame, buckets: int | None = None) ->
     names = [f"blocked_{kind}_{uuid.uuid4().hex}" for kind in ("edges", "needs")]
     placed = edges.join(box, "i").select("box", "i", "j", "v")
     placed.repartition(n, "box").write.bucketBy(n, "box").sortBy("box", "i").saveAsTable(names[0])
-    needs = spark.table(names[0]).select("box", F.col("j").alias("i")).union(spark.table(names[0]).select("box", "i")).distinct()
+    needs = spark.table(names[0]).select("box", F.explode(F.array("j", "i")).alias("i")).distinct()
     lists = needs.groupBy("i").agg(F.collect_list("box").alias("boxes"))
     lists.repartition(n, "i").write.bucketBy(n, "i").saveAsTable(names[1])
     return BlockedGraph(spark, *names, n)

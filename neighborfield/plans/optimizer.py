@@ -251,7 +251,7 @@ def graph_weights(edges: DataFrame, p: EmbeddingParams) -> DataFrame:
     rows = edges.select("i", "j", "v") if p.stochastic else affinity.row_stochastic(affinity.drop_diagonal(edges))
     if p.lam != 1:
         rows = affinity.lambda_rescale(rows, p.lam, drop_leaf=p.drop_leaf).select("i", "j", "v")
-    return affinity.joint(rows)
+    return affinity.joint(rows, written)
 
 
 def embed_graph(edges: DataFrame, p: EmbeddingParams | None = None, y0: DataFrame | None = None, callback: Callable[[int, DataFrame, dict], bool | None] | None = None, every: int = 50, **overrides) -> DataFrame:

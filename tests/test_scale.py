@@ -1,6 +1,7 @@
 """Operators that divide what others do in one task or over all pairs."""
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -8,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from neighborfield.functions import array_metrics
-from neighborfield.operators import blocked, forces, grid, lowrank, metric_tree, nbody, pair_blocks, pencils, preprocess, separators, solvers, tree_forces
+from neighborfield.operators import blocked, forces, grid, knn, lowrank, metric_tree, nbody, pair_blocks, pencils, preprocess, separators, solvers, tree_forces
 from neighborfield.params import EmbeddingParams
-from neighborfield.plans import optimizer
+from neighborfield.plans import optimizer, queries, scale_queries  # noqa: F401  the last registers its queries
 from neighborfield.sources import ranges, sinks
 from neighborfield.tables import written
+from tests.conftest import SF
 
 
 def frame(spark, y):
@@ -376,6 +378,34 @@ def test_axes_of_few_points_are_signed_by_blocks(spark):
     assert np.allclose(got, own @ axes.T)
 
 
+def noted_rows(df, folder):
+    """df, and how many of its rows have been made so far."""
+    folder.mkdir()
+
+    def note(batches):
+        for b in batches:
+            with open(folder / uuid.uuid4().hex, "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    return df.mapInArrow(note, df.schema), lambda: sum(int(f.read_text()) for f in folder.iterdir())
+
+
+@pytest.mark.parametrize("name, k", [("gradient_step", 10), ("attractive_blocked", 10), ("dist_max_normalised", 10), ("joint_affinity", 90)])
+def test_neighbours_are_found_once(spark, monkeypatch, tmp_path, name, k):
+    seen, find = [], knn.exact_knn
+
+    def found(points, k):
+        df, rows = noted_rows(find(points, k), tmp_path / str(len(seen)))
+        seen.append(rows)
+        return df
+
+    monkeypatch.setattr(knn, "exact_knn", found)
+    n = queries.QUERIES[name](spark, SF).select("i").distinct().count()
+    queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    assert seen[1]() == k * n
+
+
 @pytest.mark.parametrize("size, middle", [(1.0, 0.0), (1.0, 3e4), (1e-25, 0.0), (1e25, 0.0), (1e-3, 1e14)])
 def test_float_products_rule_no_neighbour_out(size, middle):
     x = np.random.default_rng(3).normal(size=(400, 8)) * size + middle
