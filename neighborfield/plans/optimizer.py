@@ -51,7 +51,7 @@ def repulsive_sums(y: DataFrame, p: EmbeddingParams) -> tuple[DataFrame, DataFra
 
     A grid that few points stretch over can give a zeta that is not positive; such a layout is summed by the tree."""
     if p.repulsion == "exact":
-        phi = forces.kernel_sums(y)
+        phi = written(forces.kernel_sums(y), "exact-sums")
         zeta = forces.zeta_from_pairs(phi)
         return forces.forces_from_phi(phi, zeta), zeta
     if p.repulsion == "grid":

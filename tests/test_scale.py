@@ -406,6 +406,31 @@ def test_neighbours_are_found_once(spark, monkeypatch, tmp_path, name, k):
     assert seen[1]() == k * n
 
 
+@pytest.mark.parametrize("name", ["gradient_step", "repulsive_exact"])
+def test_pairs_of_a_layout_are_summed_once(spark, monkeypatch, tmp_path, name):
+    seen, sums = [], forces.kernel_sums
+
+    def summed(y):
+        df, rows = noted_rows(sums(y), tmp_path / str(len(seen)))
+        seen.append(rows)
+        return df
+
+    monkeypatch.setattr(forces, "kernel_sums", summed)
+    n = queries.layout(spark, SF).count()
+    queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    assert [rows() for rows in seen] == [n]
+
+
+def test_kernel_sums_of_chunks_and_blocks(spark, monkeypatch):
+    """Each point is sent once to each chunk of queries, however many blocks there are."""
+    monkeypatch.setattr(pair_blocks, "PACKED", 32)
+    y = np.random.default_rng(2).normal(size=(300, 3)) * 5
+    rows = by_id(forces.kernel_sums(frame(spark, y), block=70), "phi0", "phi1", "phi2", "phi3", "z")
+    q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+    want = np.concatenate([(q * q).sum(1)[:, None], (q * q) @ y, q.sum(1)[:, None] - 1], 1)
+    assert np.allclose(rows, want, rtol=1e-12, atol=1e-12)
+
+
 @pytest.mark.parametrize("size, middle", [(1.0, 0.0), (1.0, 3e4), (1e-25, 0.0), (1e25, 0.0), (1e-3, 1e14)])
 def test_float_products_rule_no_neighbour_out(size, middle):
     x = np.random.default_rng(3).normal(size=(400, 8)) * size + middle
