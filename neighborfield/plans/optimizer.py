@@ -110,7 +110,9 @@ def optimise(edges: DataFrame, y: DataFrame, p: EmbeddingParams, callback: Calla
 
 def _steps(edges: DataFrame, state: DataFrame, p: EmbeddingParams, callback, every: int, checkpoint: int, times: StageTimes | None, made: list[str]) -> DataFrame:
     """The state after all steps. made: paths of what was written; only the newest state is kept."""
-    p = by_size(p, state.count())
+    n = state.count()
+    p = by_size(p, n)
+    chained = p.repulsion == "exact" and n <= EXACT_POINTS  # so few points that a step costs less than its files
     dims = [c for c in state.columns if c.startswith("y")]
     for step in range(p.max_iter):
         alpha, momentum = schedule(p, step)
@@ -125,7 +127,7 @@ def _steps(edges: DataFrame, state: DataFrame, p: EmbeddingParams, callback, eve
             gradient = written(gradient, "gradient")  # the state and the norm read it
         state = update(state, gradient, p, momentum)
         last = step == p.max_iter - 1
-        settled = times is not None or last or p.repulsion != "exact" or (step + 1) % checkpoint == 0 or bool(callback) and (step + 1) % every == 0
+        settled = times is not None or last or not chained or (step + 1) % checkpoint == 0 or bool(callback) and (step + 1) % every == 0
         if settled:
             state = written(state, f"state-{step}") if times is None else times.written(state, step, "update")
         small = p.tol > 0 and gradient.agg(F.max(sum(F.abs(f"d{c[1:]}") for c in dims))).first()[0] < p.tol

@@ -442,3 +442,43 @@ def test_float_products_rule_no_neighbour_out(size, middle):
     j = np.lexsort((np.broadcast_to(np.arange(400), d2.shape), d2), axis=-1)[:, :5]
     own._settle()
     assert (own.j == j).all() and (own.d2 == np.take_along_axis(d2, j, 1)).all()
+
+
+def test_two_steps_are_those_of_the_sql_beyond_few_points(spark, duck, monkeypatch):
+    made = []
+    monkeypatch.setattr(optimizer, "EXACT_POINTS", 100)
+    monkeypatch.setattr(optimizer, "written", lambda df, name: made.append(name) or written(df, name))
+    found = {r["i"]: (r["y0"], r["y1"]) for r in queries.QUERIES["optimise_two_steps"](spark, SF).collect()}
+    want = {i: y for i, *y in duck.execute(queries.ORACLE_SQL["optimise_two_steps"]).fetchall()}
+    assert len(found) > 100 and found.keys() == want.keys()
+    assert max(abs(a - b) for i in want for a, b in zip(found[i], want[i], strict=True)) < 1.5e-5  # the last digit at most
+    assert [n for n in made if n.startswith(("exact-sums", "grid", "state-"))] == ["exact-sums", "state-0", "exact-sums", "state-1"]
+
+
+@pytest.mark.parametrize("spread", [20.0, 1e7])
+def test_kernel_sums_are_exact_however_far_points_are(spread):
+    rng = np.random.default_rng(3)
+    y = np.repeat(rng.uniform(0, spread, size=(150, 2)), 2, 0) + 1e6
+    y[1::2] += rng.normal(size=(150, 2))  # a near one for each
+    sums = forces.KernelSums(np.arange(300), y)
+    for lo in range(0, 300, 128):
+        sums.see(np.arange(lo, min(lo + 128, 300)), y[lo : lo + 128])
+    gap = y[:, None] - y[None]
+    q = 1 / (1 + (gap * gap).sum(2))
+    want = np.concatenate([(q * q).sum(1, keepdims=True), q * q @ y, q.sum(1, keepdims=True)], 1)
+    assert np.allclose(sums.sums, want, rtol=1e-11, atol=0)
+
+
+def test_neighbours_of_a_block_are_looked_for_in_few_rows(monkeypatch):
+    rng, looked = np.random.default_rng(4), []
+    x = rng.normal(size=(16_384, 16))
+    own = pair_blocks.Nearest(np.arange(64), x[:64], 1, array_metrics.PAIRS["euclidean"])
+    find = np.flatnonzero
+    monkeypatch.setattr(pair_blocks.np, "flatnonzero", lambda v: looked.append(np.size(v)) or find(v))
+    for lo in range(0, len(x), 1024):
+        own.see(np.arange(lo, lo + 1024), x[lo : lo + 1024])
+    own._settle()
+    d2 = ((x[:64, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2[:, :64], np.inf)
+    assert (own.j[:, 0] == d2.argmin(1)).all()
+    assert sum(looked) < 64 * len(x) / 2  # of all pairs
