@@ -6,14 +6,15 @@ orthonormal basis of a tall matrix comes from its tasks' triangular factors, whi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborfield.operators.knn import dense
+from neighborfield.operators import pair_blocks
+from neighborfield.operators.pair_blocks import dense
 
 Write = Callable[[DataFrame, str], DataFrame]
 Kernel = Callable[[np.ndarray], np.ndarray]
@@ -123,30 +124,45 @@ def rank_errors(points: DataFrame, kernel: Kernel, ranks: list[int], write: Writ
     return points.sparkSession.createDataFrame(rows, "rank int, error double")
 
 
+class _Sums:
+    """Of each query (x) the sum over all points (x, q) of kernel(squared distance) * q."""
+
+    def __init__(self, x: np.ndarray, kernel: Kernel):
+        self.x, self.kernel, self.f = x[:, 0], kernel, np.zeros(len(x))
+
+    def see(self, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, pair_blocks.TILE // len(x))
+        for lo in range(0, len(self.x), step):
+            gap = self.x[lo : lo + step, None] - x[:, 0]
+            self.f[lo : lo + step] += self.kernel(gap * gap) @ x[:, 1]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(self.x)), pa.array(self.f)], names=["x", "f"])
+
+
 def interpolation_errors(points: DataFrame, charges: DataFrame, kernel, nodes: list[int], low: float, high: float) -> DataFrame:
     """(nodes, error): relative error of kernel sums over one-dimensional points (i, x) with charges (i, q) when the kernel
-    is interpolated between so many equispaced nodes from low to high. kernel is a function of Columns' squared distance."""
-    own = points.select("i", F.get("x", F.lit(0)).alias("x")).join(charges, "i")
-    other = own.select(F.col("x").alias("_x"), F.col("q").alias("_q"))
-    exact = own.crossJoin(other).groupBy("i").agg(F.sum(kernel((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))) * F.col("_q")).alias("f"))
-    out = None
+    is interpolated between so many equispaced nodes from low to high. kernel is a function of the squared distance, as a
+    Column (between nodes) and as an array (between points).
+
+    Equal points have equal sums, so each different point stands once, with the sum of its charges. All pairs of these are
+    compared in blocks (pair_blocks): no pair is a row."""
+    own = points.select("i", F.get("x", F.lit(0)).alias("x")).join(charges, "i").groupBy("x").agg(F.sum("q").alias("q"), F.count("*").alias("n"))
+    asked = own.select(F.xxhash64("x").alias("i"), F.array("x").alias("x"))
+    exact = pair_blocks.meet(asked, own.select(F.xxhash64("x").alias("i"), F.array("x", "q").alias("x")), lambda _, x: _Sums(x, kernel), "x double, f double")
+    terms = []
     for n in nodes:
         spots = [low + (high - low) * k / (n - 1) for k in range(n)] if n > 1 else [low]
-        basis = []
         for k in range(n):
             value = F.lit(1.0)
             for m in range(n):
                 if m != k:
                     value = value * ((F.col("x") - spots[m]) / (spots[k] - spots[m]))
-            basis.append(value)
-        weighted = own.select("i", "q", F.posexplode(F.array(*basis)).alias("k", "w"))
-        at_nodes = weighted.groupBy("k").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
-        spot = F.get(F.array(*map(F.lit, spots)), F.col("k"))
-        sums = at_nodes.select("k", "s", spot.alias("z"))
-        between = sums.select(F.col("z").alias("_z"), F.col("s").alias("_s")).crossJoin(sums.select("k", "z"))  # nodes squared rows
-        potential = between.groupBy("k").agg(F.sum(kernel((F.col("z") - F.col("_z")) * (F.col("z") - F.col("_z"))) * F.col("_s")).alias("p"))
-        close = weighted.join(F.broadcast(potential), "k").groupBy("i").agg(F.sum(F.col("w") * F.col("p")).alias("g"))
-        gap = F.col("f") - F.col("g")
-        one = exact.join(close, "i").agg(F.lit(n).alias("nodes"), F.sqrt(F.sum(gap * gap) / F.sum(F.col("f") * F.col("f"))).alias("error"))
-        out = one if out is None else out.unionByName(one)
-    return out
+            terms.append(F.struct(F.lit(n).alias("nodes"), F.lit(spots[k]).alias("z"), value.alias("w")))
+    weighted = own.select("x", "q", F.explode(F.array(*terms)).alias("t")).select("x", "q", "t.*")
+    sums = weighted.groupBy("nodes", "z").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+    between = sums.select("nodes", F.col("z").alias("_z"), F.col("s").alias("_s")).join(sums.select("nodes", "z"), "nodes")  # nodes squared rows
+    potential = between.groupBy("nodes", "z").agg(F.sum(kernel((F.col("z") - F.col("_z")) * (F.col("z") - F.col("_z"))) * F.col("_s")).alias("p"))
+    close = weighted.join(F.broadcast(potential), ["nodes", "z"]).groupBy("x", "nodes").agg(F.sum(F.col("w") * F.col("p")).alias("g"))
+    gap, f = F.col("f") - F.col("g"), F.col("f")
+    return exact.join(own.select("x", "n"), "x").join(close, "x").groupBy("nodes").agg(F.sqrt(F.sum(F.col("n") * gap * gap) / F.sum(F.col("n") * f * f)).alias("error"))

@@ -482,3 +482,18 @@ def test_neighbours_of_a_block_are_looked_for_in_few_rows(monkeypatch):
     np.fill_diagonal(d2[:, :64], np.inf)
     assert (own.j[:, 0] == d2.argmin(1)).all()
     assert sum(looked) < 64 * len(x) / 2  # of all pairs
+
+
+@pytest.mark.parametrize("different", [7, 3000])
+def test_interpolation_errors_compare_different_points_in_blocks(spark, different):
+    rng = np.random.default_rng(different)
+    x, q = rng.uniform(size=different)[np.arange(3000) % different], rng.normal(size=3000)
+    charges = spark.createDataFrame(list(enumerate(q.tolist())), "i long, q double")
+    found = lowrank.interpolation_errors(point_frame(spark, x[:, None]), charges, lambda d2: 1 / (1 + d2), [1, 3], 0.0, 1.0)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan  # a row for each pair of points
+    f = (1 / (1 + (x[:, None] - x) ** 2)) @ q
+    for n, z in ((1, np.zeros(1)), (3, np.array([0.0, 0.5, 1.0]))):
+        w = np.stack([np.prod([(x - z[m]) / (z[k] - z[m]) for m in range(n) if m != k], axis=0) * np.ones(len(x)) for k in range(n)], 1)
+        g = w @ ((1 / (1 + (z[:, None] - z) ** 2)) @ (w.T @ q))
+        assert np.isclose(found.filter(F.col("nodes") == n).first()["error"], np.sqrt(((f - g) ** 2).sum() / (f * f).sum()), rtol=1e-9)
