@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neighborfield.functions.kernels import dot, lagrange_terms
@@ -19,6 +20,9 @@ from neighborfield.tables import drop, noted, written
 
 #: Points and edges up to which a whole optimisation is one task's, about 50 MB; beyond, each step is distributed.
 ONE_TASK_POINTS, ONE_TASK_EDGES = 20_000, 2_000_000
+#: Points whose places are sent whole to all tasks of a step, 8 MB in two dimensions (what Spark broadcasts by itself);
+#: beyond, places are joined with edges. Edges of a block, and how many of them are looked at at once.
+ROUNDS_POINTS, BLOCK_EDGES, SOME_EDGES = 500_000, 1_000_000, 1 << 16
 #: Points up to which repulsion is the exact sum: a grid that few points stretch over has too few in a cell, and its sum
 #: of interpolated kernels can even be negative.
 EXACT_POINTS = 1024
@@ -144,26 +148,27 @@ def _steps(edges: DataFrame, state: DataFrame, p: EmbeddingParams, callback, eve
     return state
 
 
-def _exact(y: np.ndarray) -> tuple[np.ndarray, float]:
-    f, z = np.zeros_like(y), 0.0
-    for lo in range(0, len(y), 512):
-        gap = y[lo : lo + 512, None] - y[None]
-        q = 1 / (1 + (gap * gap).sum(2))
-        z += q.sum() - len(q)
-        f[lo : lo + 512] = np.einsum("ij,ijm->im", q * q, gap)
-    return f / z, z
+def _exact(y: np.ndarray, own: slice) -> tuple[np.ndarray, float]:
+    mine = y[own]
+    f, z = np.zeros_like(mine), 0.0
+    for lo in range(0, len(mine), 512):
+        for at in range(0, len(y), SOME_EDGES):
+            gap = mine[lo : lo + 512, None] - y[None, at : at + SOME_EDGES]
+            q = 1 / (1 + (gap * gap).sum(2))
+            z += q.sum()
+            f[lo : lo + 512] += np.einsum("ij,ijm->im", q * q, gap)
+    return f, z - len(mine)
 
 
-def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
-    """Repulsive force and zeta in one process: exact, or by the padded transform of the grid where its zeta is positive."""
+def _sums(y: np.ndarray, p: EmbeddingParams, own: slice = slice(None)) -> tuple[np.ndarray, float]:
+    """Repulsion times zeta on some of all points, and their part of zeta: exact, or by the padded transform of the grid."""
     n, d = y.shape
     if p.repulsion == "exact":
-        return _exact(y)
-    raw = y
+        return _exact(y, own)
     y = y - y.min(0)
     spread = float(y.max())
     if spread <= 0:
-        return np.zeros_like(y), float(n * (n - 1)) or 1.0
+        return np.zeros_like(y[own]), float(len(y[own]) * (n - 1)) or 1.0
     g = p.grid or grid_size(spread, p.spacing)
     h = spread / (g - 1 - 2.220446049250313e-16)
     t = np.minimum(y / spread, 1 - 2.220446049250313e-16) * (g - 1)
@@ -177,16 +182,30 @@ def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
         weight = (weight[:, :, None] * w[:, m][:, None, :]).reshape(n, -1)
     lags = (np.fft.fftfreq(2 * side) * 2 * side) * h
     kernel = np.fft.rfftn(1 / (1 + sum(np.meshgrid(*[lags * lags] * d, indexing="ij"))) ** 2)
-    phi = np.zeros((n, d + 1))
+    mine, phi = y[own], np.zeros((len(y[own]), d + 1))
     for c in range(d + 1):
         charge = weight if c == 0 else weight * y[:, c - 1, None]
         cells = np.bincount(cell.ravel(), weights=charge.ravel(), minlength=side**d).reshape([side] * d)
         padded = np.fft.irfftn(np.fft.rfftn(cells, [2 * side] * d, range(d)) * kernel, [2 * side] * d, range(d))
-        phi[:, c] = (weight * padded[tuple(slice(0, side) for _ in range(d))].ravel()[cell]).sum(1)
-    z = float(((1 + 2 * (y * y).sum(1)) * phi[:, 0] - 2 * (y * phi[:, 1:]).sum(1)).sum() - n)
+        phi[:, c] = (weight[own] * padded[tuple(slice(0, side) for _ in range(d))].ravel()[cell[own]]).sum(1)
+    z = float(((1 + 2 * (mine * mine).sum(1)) * phi[:, 0] - 2 * (mine * phi[:, 1:]).sum(1)).sum() - len(mine))
+    return mine * phi[:, :1] - phi[:, 1:], z
+
+
+def _repulsion(y: np.ndarray, p: EmbeddingParams) -> tuple[np.ndarray, float]:
+    """Repulsive force and zeta in one process."""
+    f, z = _sums(y, p)
     if not z > 0:  # few points on a far stretched grid: the layout is summed exactly
-        return _exact(raw)
-    return (y * phi[:, :1] - phi[:, 1:]) / z, z
+        f, z = _exact(y, slice(None))
+    return f / z, z
+
+
+def _moved(y: np.ndarray, u: np.ndarray, gains: np.ndarray, dy: np.ndarray, p: EmbeddingParams, momentum: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, steps and gains after a step by the gradient dy."""
+    gains = np.maximum(np.where(np.sign(dy) != np.sign(u), gains + p.gain_up, gains * p.gain_down), p.least_gain)
+    u = momentum * u - p.eta * gains * dy
+    y = y + u
+    return y - y.mean(0), u, gains
 
 
 def descend(y: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, p: EmbeddingParams, every: int = 50) -> list[tuple[int, float, np.ndarray]]:
@@ -209,10 +228,7 @@ def descend(y: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, p: Embed
         pull = np.stack([np.bincount(i, weights=v * q * gap[:, m], minlength=n) for m in range(d)], 1)
         push, _ = _repulsion(y, p)
         dy = alpha * pull - push
-        gains = np.maximum(np.where(np.sign(dy) != np.sign(u), gains + p.gain_up, gains * p.gain_down), p.least_gain)
-        u = momentum * u - p.eta * gains * dy
-        y = y + u
-        y = y - y.mean(0)
+        y, u, gains = _moved(y, u, gains, dy, p, momentum)
         done = step == p.max_iter - 1 or p.tol > 0 and np.abs(dy).sum(1).max() < p.tol
         if done or (step + 1) % every == 0:
             look(step)
@@ -248,6 +264,127 @@ def optimise_one_task(edges: DataFrame, y: DataFrame, p: EmbeddingParams, every:
     return both.groupBy(F.lit(0).alias("whole")).applyInArrow(run, ", ".join(schema if every is None else ["iter int", "kl double", *schema]))
 
 
+def _edge_blocks(edges: DataFrame, numbers: DataFrame, tasks: int) -> DataFrame:
+    """(task, a, b, v): each task's edges between points' numbers, by a, in blocks of bytes."""
+    ends = edges.join(numbers.select("i", "task", F.col("k").alias("a")), "i").join(numbers.select(F.col("i").alias("j"), F.col("k").alias("b")), "j")
+    ends = ends.select("task", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "v").repartitionById(tasks, "task").sortWithinPartitions("task", "a", "b")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held)
+            own = [pa.array([part[c].to_numpy().tobytes()], pa.binary()) for c in ("a", "b", "v")]
+            held.clear()
+            return pa.RecordBatch.from_arrays([part["task"].combine_chunks().slice(0, 1), *own], names=["task", "a", "b", "v"])
+
+        for batch in batches:
+            if held and held[0]["task"][0] != batch["task"][0]:
+                yield block()
+            held.append(batch)
+            if sum(len(b) for b in held) >= BLOCK_EDGES:
+                yield block()
+        if held:
+            yield block()
+
+    return ends.mapInArrow(pack, "task int, a binary, b binary, v binary")
+
+
+def _pull(y: np.ndarray, blocks, own: slice, z: float | None) -> tuple[np.ndarray, float]:
+    """Attraction of a task's points without exaggeration; with zeta its part of the cost instead."""
+    pull, cost, columns = np.zeros_like(y[own]), 0.0, list(np.ascontiguousarray(y.T))
+    for a, b, v in blocks:
+        a, b, v = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32), np.frombuffer(v)
+        for lo in range(0, len(a), SOME_EDGES):
+            i, j, w = a[lo : lo + SOME_EDGES].astype(np.intp), b[lo : lo + SOME_EDGES].astype(np.intp), v[lo : lo + SOME_EDGES]
+            gaps = [c.take(i, mode="clip") - c.take(j, mode="clip") for c in columns]
+            q = 1 / (1 + sum(gap * gap for gap in gaps))
+            if z is not None:
+                cost += float((w * np.log((w + FLT_MIN) / (q / z + FLT_MIN))).sum())
+                continue
+            q *= w
+            first = i[0]
+            i -= first
+            for m, gap in enumerate(gaps):
+                part = np.bincount(i, weights=q * gap)
+                pull[first - own.start : first - own.start + len(part), m] += part
+    return pull, cost
+
+
+def rounds(edges: DataFrame, y: DataFrame, p: EmbeddingParams, every: int | None = None, tasks: int | None = None) -> Iterator[tuple[int, float | None, DataFrame]]:
+    """(step, cost, layout) as descend(), of each `every`-th step or (None) of the last one without its cost.
+
+    Each step is one job: tasks hold their points' edges, are told the places of all points (a broadcast, 16 bytes a point
+    in two dimensions) and give the forces on their own; only places, steps and gains are moved where the loop is."""
+    spark, dims, n = y.sparkSession, forces.axes(y), y.count()
+    context, p = spark.sparkContext, by_size(p, n)
+    tasks = tasks or max(1, min(context.defaultParallelism, -(-n // 1024)))
+    dealt = y.select("i", F.pmod(F.xxhash64("i"), F.lit(tasks)).cast("int").alias("task"))
+    counts = dict(dealt.groupBy("task").count().collect())
+    starts = [sum(counts.get(t, 0) for t in range(task)) for task in range(tasks + 1)]
+    place = F.row_number().over(Window.partitionBy("task").orderBy("i")) - 1 + F.get(F.array(*map(F.lit, starts)), F.col("task"))
+    numbers = written(dealt.withColumn("k", place), "numbers")
+    blocks = _edge_blocks(edges, numbers, tasks).rdd.map(lambda r: (r.task, bytes(r.a), bytes(r.b), bytes(r.v))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def ask(at: np.ndarray, how: EmbeddingParams, zeta: float | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Attraction, repulsion times zeta, zeta and cost; with zeta the cost alone."""
+        told = context.broadcast(at)
+
+        def run(part: int, rows) -> Iterator[tuple]:
+            own = slice(starts[part], starts[part + 1])
+            pull, cost = _pull(told.value, (r[1:] for r in rows), own, zeta)
+            push, z = (np.zeros((0, 0)), 0.0) if zeta is not None else _sums(told.value, how, own)
+            yield part, pull.tobytes(), push.tobytes(), z, cost
+
+        try:
+            found = sorted(blocks.mapPartitionsWithIndex(run).collect())
+        finally:
+            told.destroy()
+        shaped = lambda c: np.frombuffer(b"".join(r[c] for r in found)).reshape(-1, len(dims))
+        return shaped(1), shaped(2), sum(r[3] for r in found), sum(r[4] for r in found)
+
+    def forces_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        pull, push, z, _ = ask(at, p)
+        if not z > 0:
+            pull, push, z, _ = ask(at, replace(p, repulsion="exact"))
+        return pull, push / z, z
+
+    def layout(at: np.ndarray) -> DataFrame:
+        known = spark.createDataFrame(pa.table([np.arange(n), *np.ascontiguousarray(at.T)], names=["k", *dims]))
+        return written(numbers.select("i", "k").join(known, "k").select("i", *dims), "layout")
+
+    try:
+        first = numbers.join(y, "i").select("k", *dims).toArrow()
+        order = np.argsort(first["k"].to_numpy())
+        at = np.stack([first[c].to_numpy()[order] for c in dims], 1)
+        u, gains = np.zeros_like(at), np.ones_like(at)
+        pull, push, z = forces_at(at)
+        if every:
+            yield -1, ask(at, p, z)[3], layout(at)
+        for step in range(p.max_iter):
+            alpha, momentum = schedule(p, step)
+            dy = alpha * pull - push
+            at, u, gains = _moved(at, u, gains, dy, p, momentum)
+            done = step == p.max_iter - 1 or p.tol > 0 and np.abs(dy).sum(1).max() < p.tol
+            if done and not every:
+                yield step, None, layout(at)
+                break
+            pull, push, z = forces_at(at)
+            if done or (step + 1) % every == 0 if every else False:
+                yield step, ask(at, p, z)[3], layout(at)
+            if done:
+                break
+    finally:
+        blocks.unpersist()
+
+
+def loop_kind(points: int, edges: int, p: EmbeddingParams) -> str:
+    """How a graph is optimised: whole in one task, in rounds of tasks that are told all places, or by joins."""
+    if p.repulsion == "tree" or points > ROUNDS_POINTS:
+        return "joins"
+    return "whole" if points <= ONE_TASK_POINTS and edges <= ONE_TASK_EDGES else "rounds"
+
+
 def graph_weights(edges: DataFrame, p: EmbeddingParams) -> DataFrame:
     """The joint weights of a weighted graph (i, j, v): stochastic (unless it is said to be), rescaled, symmetric, total 1."""
     rows = edges.select("i", "j", "v") if p.stochastic else affinity.row_stochastic(affinity.drop_diagonal(edges))
@@ -265,9 +402,14 @@ def embed_graph(edges: DataFrame, p: EmbeddingParams | None = None, y0: DataFram
     weights = written(graph_weights(edges, p), "joint")
     ids = weights.select("i").distinct()
     start = y0 if y0 is not None else initial_layout(ids, p.d, seed=p.seed)
-    small = p.repulsion != "tree" and start.count() <= ONE_TASK_POINTS and weights.count() <= ONE_TASK_EDGES
-    if not small:
+    kind = loop_kind(start.count(), weights.count(), p)
+    if kind == "joins":
         return optimise(weights, start, p, callback, every)
+    if kind == "rounds":
+        for step, cost, own in rounds(weights, start, p, every if callback else None):
+            if callback and step >= 0 and callback(step, own, {"iter": step, "kl": cost}):
+                break
+        return own
     if callback is None:
         return optimise_one_task(weights, start, p)
     seen = written(optimise_one_task(weights, start, p, every), "snapshots")
@@ -279,11 +421,21 @@ def embed_graph(edges: DataFrame, p: EmbeddingParams | None = None, y0: DataFram
 
 
 def cost_log(edges: DataFrame, p: EmbeddingParams | None = None, every: int = 50, **overrides) -> DataFrame:
-    """(iter, kl) along the optimisation of a graph that fits a task; iter -1 is the start."""
+    """(iter, kl) along the optimisation of a graph; iter -1 is the start."""
     p = replace(p or EmbeddingParams(), **overrides)
-    weights = graph_weights(edges, p)
+    weights = written(graph_weights(edges, p), "joint")
     start = initial_layout(weights.select("i").distinct(), p.d, seed=p.seed)
-    return optimise_one_task(weights, start, p, every).groupBy("iter").agg(F.first("kl").alias("kl"))
+    n = start.count()
+    kind = loop_kind(n, weights.count(), p)
+    if kind == "whole":
+        return optimise_one_task(weights, start, p, every).groupBy("iter").agg(F.first("kl").alias("kl"))
+    if kind == "rounds":
+        rows = [(step, cost) for step, cost, _ in rounds(weights, start, p, every)]
+    else:
+        cost = lambda y: forces.kl_cost(weights, y, repulsive_sums(y, by_size(p, n))[1]).first()["kl"]
+        rows = [(-1, cost(start))]
+        optimise(weights, start, p, lambda step, y, _: rows.append((step, cost(y))), every)
+    return start.sparkSession.createDataFrame(rows, "iter int, kl double")
 
 
 def embed_points(points: DataFrame, p: EmbeddingParams | None = None, neighbours: str = "exact", y0: DataFrame | None = None, callback=None, every: int = 50, distance: str = "euclidean", standardise: bool = False, pca: int | None = None, **overrides) -> DataFrame:

@@ -497,3 +497,38 @@ def test_interpolation_errors_compare_different_points_in_blocks(spark, differen
         w = np.stack([np.prod([(x - z[m]) / (z[k] - z[m]) for m in range(n) if m != k], axis=0) * np.ones(len(x)) for k in range(n)], 1)
         g = w @ ((1 / (1 + (z[:, None] - z) ** 2)) @ (w.T @ q))
         assert np.isclose(found.filter(F.col("nodes") == n).first()["error"], np.sqrt(((f - g) ** 2).sum() / (f * f).sum()), rtol=1e-9)
+
+
+@pytest.mark.parametrize("repulsion", ["grid", "exact"])
+def test_rounds_of_tasks_equal_one_task(spark, monkeypatch, repulsion):
+    monkeypatch.setattr(optimizer, "EXACT_POINTS", 0)
+    monkeypatch.setattr(optimizer, "SOME_EDGES", 64)  # edges and points come in several parts
+    rng = np.random.default_rng(5)
+    a = np.triu((rng.uniform(size=(90, 90)) < 0.1) * rng.uniform(size=(90, 90)), 1)
+    a = (a + a.T) / (2 * a.sum())
+    y = rng.normal(size=(90, 2)) * 8
+    p = EmbeddingParams(max_iter=4, early_iter=2, eta=10.0, repulsion=repulsion)
+    known = optimizer.descend(y, *np.nonzero(a), a[np.nonzero(a)], p, 2)
+    found = list(optimizer.rounds(edge_frame(spark, a), frame(spark, y), p, 2, tasks=3))
+    for (step, cost, layout), (true_step, true_cost, true) in zip(found, known, strict=True):
+        assert step == true_step and abs(cost - true_cost) < 1e-9 and np.allclose(by_id(layout, "y0", "y1"), true, atol=1e-9)
+
+
+def test_graphs_beyond_one_task_run_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(optimizer, "ONE_TASK_POINTS", 10)
+    monkeypatch.setattr(optimizer, "optimise", None)
+    monkeypatch.setattr(optimizer, "optimise_one_task", None)
+    edges = edge_frame(spark, np.ones((30, 30)) - np.eye(30))
+    assert optimizer.embed_graph(edges, max_iter=3).count() == 30
+    steps = []
+    optimizer.embed_graph(edges, max_iter=4, every=2, callback=lambda step, y, cost: steps.append((step, y.count())) or True)
+    assert steps == [(1, 30)]
+    assert {r.iter for r in optimizer.cost_log(edges, max_iter=4, every=2).collect()} == {-1, 1, 3}
+
+
+def test_costs_beyond_rounds_are_logged_from_the_start(spark, monkeypatch):
+    edges = edge_frame(spark, np.ones((12, 12)) - np.eye(12))
+    known = {r.iter: r.kl for r in optimizer.cost_log(edges, max_iter=2, early_iter=1, every=1).collect()}
+    monkeypatch.setattr(optimizer, "ROUNDS_POINTS", 1)
+    found = {r.iter: r.kl for r in optimizer.cost_log(edges, max_iter=2, early_iter=1, every=1).collect()}
+    assert sorted(found) == [-1, 0, 1] and all(abs(found[k] - known[k]) < 1e-9 for k in known)
