@@ -155,3 +155,15 @@ def test_gram_of_rows_that_batches_cut(spark, monkeypatch):
         assert linalg.gram(edges.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_gram_adds_up_rows_that_share_columns_before_they_are_sent(spark):
+    """Entries that stand twice count as their sum, and what is sent grows with the result and not with the products."""
+    rng = np.random.default_rng(6)
+    rows, a = [], np.zeros((4000, 12))
+    for i, j, v in zip(rng.integers(0, 4000, 30000).tolist(), rng.integers(0, 12, 30000).tolist(), rng.integers(1, 9, 30000).tolist(), strict=True):
+        rows.append((i, j, float(v)))
+        a[i, j] += v
+    edges = spark.createDataFrame(rows, "i long, j long, v double").repartition(4)
+    assert {(r.i, r.j): r.v for r in linalg.gram(edges).collect()} == {(i, j): (a.T @ a)[i, j] for i in range(12) for j in range(12)}
+    assert sum(len(r.v) // 8 for r in linalg.packed_sums(edges).collect()) <= 4 * 78  # four ranges of rows, 78 sums with i <= j
