@@ -132,3 +132,38 @@ def test_summaries_of_all_pairs_are_no_rows_of_pairs(spark):
     got = {r.i: (r.least, r.most, r.total) for r in found.collect()}
     assert "Join" not in found._jdf.queryExecution().toString()
     assert all(np.allclose(got[i], (a.min(), a.max(), a.sum())) for i, a in enumerate(apart))
+
+
+@pytest.mark.parametrize("name", ["cityblock", "chebychev", "minkowski"])
+@pytest.mark.parametrize("odd", ["plain", "far", "equal", "wide", "shifted"])
+def test_codes_rule_out_no_near_pair_and_most_others(name, odd):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(70, 64)) * 0.125, rng.normal(size=(4096, 64)) * 0.125
+    if odd == "far":
+        b[::100, 3] = 1e9
+        a[1] = b[100]
+    elif odd == "equal":
+        a[:], b[:] = 0.25, 0.25
+    elif odd == "wide":
+        a, b = np.tile(a, 20), np.tile(b[:300], 20)
+    elif odd == "shifted":
+        a, b = a + 1e9, b + 1e9
+    pairs = array_metrics.PAIRS[name]
+    true = np.concatenate([array_metrics.MEASURES[name](a, b[lo : lo + 64]) for lo in range(0, len(b), 64)], 1)
+    for part in (0.0, 0.001, 0.5):
+        limit = np.quantile(true, part, axis=1)
+        near = pairs.near(a, pairs.ready(b), limit)
+        assert near[true <= limit[:, None]].all()
+        assert part != 0.001 or odd != "plain" or near.mean() < 0.05
+    assert pairs.near(a, pairs.ready(b), np.full(len(a), np.inf)).all()
+
+
+def test_sums_of_differences_are_told_apart_by_whole_numbers(monkeypatch):
+    """Floats, which take several times as long, are for components only that codes don't tell apart."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(30, 64)), rng.normal(size=(2000, 64))
+    for name in ("cityblock", "chebychev", "minkowski"):
+        pairs = array_metrics.PAIRS[name]
+        monkeypatch.setattr(pairs, "_near_in_floats", None, raising=False)
+        monkeypatch.setattr(pairs, "_add", None)
+        assert pairs.near(a, pairs.ready(b), np.full(len(a), 0.1)).sum() == 0
